@@ -1,0 +1,89 @@
+"""Read the given tables and see them as the engine's inputs.
+
+The tables know nothing of agents, so event types stand for session events: an error is a failing
+step, a purchase a passing one, a click a change, a view a read, a signup everything else; the number
+``k`` in ``props`` spreads rows over the vocabulary. ``SESSION_EVENTS_SQL`` says the same in SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SESSION_COLUMNS = """
+  concat('e', event_id) AS id,
+  concat('u', user_id) AS session_id,
+  CASE WHEN k % 6 = 0 THEN concat('e', event_id - 1) END AS parent_id,
+  CASE WHEN type IN ('SUBAGENT_STARTED', 'SUBAGENT_COMPLETED') THEN concat('a', 1 + k % 3)
+       WHEN event_id % 16 = 7 THEN 'a4' WHEN event_id % 4 = 2 THEN 'a1' WHEN event_id % 4 = 3 THEN 'a2'
+       ELSE 'main' END AS agent_id,
+  CASE WHEN type = 'SUBAGENT_STARTED' AND k % 20 <> 0 THEN concat('a', 1 + tens % 3) END AS parent_agent_id,
+  type,
+  ts_ms,
+  event_id AS input_index,
+  CAST(NULL AS double) AS duration_ms,
+  'events' AS source,
+  CASE WHEN type = 'MESSAGE' THEN concat(CASE WHEN k = 42 THEN '/model ' ELSE 'message ' END, k) END AS summary,
+  CASE WHEN type = 'MESSAGE' THEN CASE WHEN k % 20 = 2 THEN 'user' ELSE 'assistant' END END AS meta_role,
+  CASE WHEN type = 'SUBAGENT_STARTED' THEN concat('task', tens % 4) END AS meta_task,
+  CASE WHEN type = 'SESSION_STARTED' THEN concat('/home/dev/proj', k) END AS meta_cwd,
+  CASE WHEN type = 'SESSION_COMPLETED' THEN CASE WHEN event_id % 3 = 0 THEN 'success' WHEN event_id % 3 = 2 THEN 'failure' END END AS meta_outcome,
+  CAST(NULL AS {string}) AS meta_status,
+  CASE WHEN type = 'TEST_FAILED' AND k % 3 <> 0 THEN CAST(floor(value) % 10 AS double) END AS meta_tests_failed,
+  CASE WHEN type IN ('FILE_CHANGED', 'FILE_CREATED') THEN CAST(floor(value) AS double) END AS meta_additions,
+  CASE WHEN type IN ('FILE_CHANGED', 'FILE_CREATED') AND k % 2 = 0 THEN CAST(k AS double) END AS meta_deletions,
+  CASE WHEN type LIKE 'FILE_%' OR (type = 'ERROR' AND k % 4 = 0) THEN concat('src/f', k % 20, '.ts') END AS file_path,
+  CASE WHEN type LIKE 'COMMAND_%' AND k % 13 <> 0 THEN concat('npm run task', k % 3)
+       WHEN type LIKE 'TEST_%' AND k % 2 = 0 THEN 'npm test' END AS command,
+  CASE WHEN type = 'TOOL_RESULT' THEN 'edit' END AS tool_name,
+  CASE WHEN type = 'TOOL_RESULT' THEN 'error'
+       WHEN type = 'SUBAGENT_COMPLETED' THEN CASE WHEN k % 3 = 0 THEN 'error' WHEN k % 3 = 1 THEN 'ok' END
+       WHEN type = 'COMMAND_COMPLETED' AND event_type = 'error' THEN CASE WHEN k % 4 = 0 THEN 'timeout' WHEN k % 8 = 2 THEN 'aborted' ELSE 'error' END
+       WHEN type = 'COMMAND_COMPLETED' THEN 'ok' END AS status,
+  CASE WHEN type = 'TOOL_RESULT' THEN concat('edit failed', chr(10), 'second line')
+       WHEN type = 'SUBAGENT_COMPLETED' AND k % 2 = 1 THEN 'quota exceeded for this key'
+       WHEN type = 'ERROR' THEN CASE k % 5 WHEN 0 THEN 'HTTP 429 too many requests' WHEN 1 THEN 'connect ECONNRESET'
+            WHEN 2 THEN 'TypeError: x is undefined' WHEN 4 THEN 'API Error: 500' END END AS error,
+  CASE WHEN type = 'COMMAND_COMPLETED' AND event_type = 'error' AND k % 4 <> 0 AND k % 8 <> 2 THEN 1
+       WHEN type = 'COMMAND_COMPLETED' AND event_type <> 'error' THEN 0 END AS exit_code
+"""
+_TYPE = """
+CASE event_type
+  WHEN 'error' THEN CASE k % 6 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'BUILD_FAILED' WHEN 2 THEN 'COMMAND_COMPLETED' WHEN 4 THEN 'TOOL_RESULT' ELSE 'TEST_FAILED' END
+  WHEN 'purchase' THEN CASE k % 4 WHEN 0 THEN 'BUILD_PASSED' WHEN 1 THEN 'COMMAND_COMPLETED' ELSE 'TEST_PASSED' END
+  WHEN 'click' THEN CASE WHEN k % 7 = 0 THEN 'FILE_CREATED' WHEN k % 11 = 0 THEN 'FILE_DELETED' ELSE 'FILE_CHANGED' END
+  WHEN 'view' THEN 'FILE_READ'
+  ELSE CASE WHEN k % 10 = 0 THEN 'SUBAGENT_STARTED' WHEN k % 10 = 1 THEN 'SUBAGENT_COMPLETED' WHEN k % 10 = 2 THEN 'MESSAGE'
+            WHEN k = 93 THEN 'SESSION_COMPLETED' WHEN k IN (3, 13) THEN 'SESSION_STARTED' WHEN k % 10 = 3 THEN 'TEST_STARTED'
+            WHEN k % 10 = 4 THEN 'BUILD_STARTED' ELSE 'COMMAND_STARTED' END
+END
+"""
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        "*",
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+    )
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = [c for c in _SESSION_COLUMNS.format(string="string").split(",\n")]
+    return (
+        raw_events(spark, sf_dir)
+        .withColumn("tens", F.floor(F.col("k") / 10).cast("int"))
+        .withColumn("type", F.expr(_TYPE))
+        .selectExpr(*cols)
+    )
+
+
+SESSION_EVENTS_SQL = f"""
+ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 1000 AS ts_ms FROM events),
+ev2 AS (SELECT *, k // 10 AS tens, {_TYPE} AS type FROM ev),
+se AS (SELECT {_SESSION_COLUMNS.format(string='varchar')} FROM ev2)"""
