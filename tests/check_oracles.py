@@ -26,7 +26,7 @@ def canon(df: pd.DataFrame) -> list[tuple]:
         if hasattr(v, "item"):
             v = v.item()
         if isinstance(v, float):
-            return repr(round(v, 6))
+            return str(int(v)) if v == int(v) and abs(v) < 2**53 else repr(round(v, 6))
         return f"{v}"
 
     return sorted(tuple(cell(v) for v in row) for row in df.itertuples(index=False))
@@ -51,8 +51,9 @@ def compare(spark, con, name: str, sf_dir: str) -> str:
         return f"COLUMNS {sorted(got.columns)} vs {sorted(want.columns)}"
     a, b = canon(got), canon(want)
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:3]
-        only_b = [r for r in b if r not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a = [r for r in a if r not in in_b][:3]
+        only_b = [r for r in b if r not in in_a][:3]
         return f"DIFF {len(a)} vs {len(b)} cols={sorted(got.columns)}\n   spark {only_a}\n   sql   {only_b}"
     kinds = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got.columns if str(got[c].dtype) != str(want[c].dtype)}
     return f"ok {len(a)}" + (f" dtypes {kinds}" if kinds else "")

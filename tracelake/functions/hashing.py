@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .text import redact_secrets
 
@@ -32,7 +32,7 @@ def record_hash(record: Column) -> Column:
     return F.sha2(canonical_json(record), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_nfc(text: pd.Series) -> pd.Series:
     """Unicode composition; Spark has no built-in for it."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

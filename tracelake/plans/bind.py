@@ -87,3 +87,108 @@ SESSION_EVENTS_SQL = f"""
 ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 1000 AS ts_ms FROM events),
 ev2 AS (SELECT *, k // 10 AS tens, {_TYPE} AS type FROM ev),
 se AS (SELECT {_SESSION_COLUMNS.format(string='varchar')} FROM ev2)"""
+
+
+_REPLAY_COLUMNS = """
+  concat('u', user_id) AS session_id,
+  CASE WHEN user_id % 2 = 0 THEN 'claude' ELSE 'codex' END AS source,
+  event_id AS seq,
+  CASE event_type WHEN 'click' THEN 'implementation' WHEN 'view' THEN 'observation' WHEN 'signup' THEN 'other' ELSE 'verification' END AS event_type,
+  ts_ms - start_ms AS ts_offset,
+  CASE event_type WHEN 'click' THEN CASE WHEN k % 5 = 0 THEN 'Write' ELSE 'Edit' END WHEN 'view' THEN 'Read' WHEN 'signup' THEN 'Task' ELSE 'Bash' END AS tool_name,
+  CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 17 > 0 THEN TRUE END WHEN event_type = 'error' THEN CASE WHEN k % 17 > 0 THEN FALSE END END AS ok,
+  CASE WHEN event_type IN ('purchase', 'error') THEN CASE k % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'build' ELSE 'device' END END AS verification_kind,
+  CASE WHEN event_type = 'click' THEN 1 END AS changed_files,
+  CASE WHEN event_type = 'click' AND k % 10 < 9 THEN substr({sha}, 1, 32) END AS change_hash,
+  CASE WHEN event_type = 'click' AND k % 10 < 9 THEN CASE WHEN k % 4 = 0 THEN 'path' ELSE 'content' END END AS fingerprint_basis,
+  CASE WHEN event_type = 'error' THEN concat('sig', k % 2) END AS failure_sig,
+  CASE WHEN event_type = 'error' AND k % 3 = 0 THEN k % 10 WHEN event_type = 'purchase' AND k % 2 = 0 AND k % 3 = 0 THEN 0 END AS tests_failed,
+  CAST(value AS double) AS duration_ms,
+  CAST(floor(ts_ms / 86400000) AS bigint) AS turn,
+  CASE WHEN event_type = 'click' THEN k % 9 = 0 END AS test_only,
+  CASE WHEN event_type IN ('click', 'view') THEN concat('src/f', k % 20, '.ts') END AS path,
+  ts_ms AS last_ms,
+  CAST(floor(event_id / 500) AS bigint) AS batch_id
+"""
+
+
+def replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_events(spark, sf_dir)
+    start = raw.groupBy("user_id").agg(F.min("ts_ms").alias("start_ms"))
+    cols = _REPLAY_COLUMNS.format(sha="sha2(props, 256)").split(",\n")
+    return raw.join(start, "user_id").selectExpr(*cols)
+
+
+REPLAY_EVENTS_SQL = f"""
+ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 1000 AS ts_ms FROM events),
+ev3 AS (SELECT *, min(ts_ms) OVER (PARTITION BY user_id) AS start_ms FROM ev),
+re AS (SELECT {_REPLAY_COLUMNS.format(sha='sha256(props)')} FROM ev3)"""
+
+
+def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running quantity of an order by ship date as a cumulative counter."""
+    from ..operators.ordered import ordered_scan, running_sum
+
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("o"), F.col("l_orderkey")).alias("session_id"),
+        F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts_ms"),
+        F.col("l_linenumber").cast("bigint").alias("line"),
+        F.xxhash64("l_partkey", "l_suppkey", "l_extendedprice").alias("tie"),
+        "l_partkey",
+        "l_suppkey",
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+    )
+    return ordered_scan(
+        lines, ["session_id"], ["ts_ms", "line", "l_partkey", "l_suppkey"], F.floor(F.col("ts_ms") / 86_400_000 / 365), total_tokens=running_sum(F.col("quantity"))
+    ).select("session_id", "ts_ms", F.col("total_tokens").alias("record_no"), "total_tokens")
+
+
+def order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("w"), F.col("o_orderkey")).alias("window_id"),
+        F.concat(F.lit("o"), F.col("o_orderkey")).alias("session_id"),
+        (placed + F.lit(30 * 86_400_000)).alias("from_ms"),
+        (placed + F.lit(400 * 86_400_000)).alias("to_ms"),
+    )
+
+
+_EVIDENCE_COLUMNS = """
+  concat('s', user_id, '-', tens_day) AS series_id,
+  position - 1 AS idx,
+  concat('attempt-', event_id) AS attempt_id,
+  CASE k % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'unknown' END AS build_status,
+  CASE WHEN k % 7 > 0 THEN CAST(floor(value) AS int) % 4 END AS tests_failed,
+  CASE WHEN k % 3 = 0 THEN 'NullPointer:Login' WHEN k % 11 = 0 THEN 'IllegalState:Home' END AS crash_sig,
+  CASE WHEN k % 5 < 4 THEN concat('screen', k % 2) END AS screen_sig,
+  event_type <> 'click' AS verified,
+  CASE WHEN k % 6 > 0 THEN k % 3 END AS changed_files,
+  CASE WHEN k % 8 > 0 THEN substr({sha}, 1, 32) END AS change_hash
+"""
+
+
+def attempt_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series = user and ten-day span; position within it is the attempt index."""
+    from ..operators.ordered import ordered_scan, running_sum, sequence_chunk
+
+    raw = raw_events(spark, sf_dir).withColumn("tens_day", F.floor(F.col("ts_ms") / 864_000_000))
+    numbered = ordered_scan(raw, ["user_id", "tens_day"], ["event_id"], sequence_chunk("event_id"), position=running_sum(F.lit(1)))
+    return numbered.selectExpr(*_EVIDENCE_COLUMNS.format(sha="sha2(props, 256)").split(",\n"))
+
+
+EVIDENCE_SQL = f"""
+ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 1000 AS ts_ms FROM events),
+ev4 AS (SELECT *, ts_ms // 864000000 AS tens_day, row_number() OVER (PARTITION BY user_id, ts_ms // 864000000 ORDER BY event_id) AS position FROM ev),
+ae AS (SELECT {_EVIDENCE_COLUMNS.format(sha='sha256(props)')} FROM ev4)"""
+
+
+def contracts(evidence: DataFrame) -> DataFrame:
+    """Contracts for the series that start with a crash or a known screen."""
+    first = evidence.where("idx = 0")
+    return first.where("crash_sig is not null or screen_sig is not null").select(
+        "series_id",
+        F.col("crash_sig").isNotNull().alias("crash_must_disappear"),
+        (F.coalesce("tests_failed", F.lit(0)) > 0).alias("tests_must_decrease"),
+        F.when(F.col("crash_sig").isNotNull(), F.lit("screen1")).alias("target_screen"),
+        F.col("screen_sig").alias("baseline_screen"),
+    )
