@@ -483,7 +483,7 @@ def attempt_timeline(segmented: DataFrame, found: DataFrame) -> DataFrame:
     )
     return found.select(*ATTEMPT, "ts_offset", edits.alias("edits")).join(checks, ATTEMPT, "left").select(
         *ATTEMPT,
-        F.coalesce(F.concat(F.lit("+"), F.format_string("%.1f", F.col("ts_offset") / 1000), F.lit("s")), F.lit("+?s")).alias("offset"),
+        (F.col("ts_offset") / 1000).alias("offset_s"),
         "edits",
         "seq",
         F.coalesce("verification", F.lit("NOT VERIFIED")).alias("verification"),

@@ -192,3 +192,120 @@ def contracts(evidence: DataFrame) -> DataFrame:
         F.when(F.col("crash_sig").isNotNull(), F.lit("screen1")).alias("target_screen"),
         F.col("screen_sig").alias("baseline_screen"),
     )
+
+
+_RECORD_COLUMNS = """
+  concat('r', user_id) AS run_id,
+  CASE WHEN event_type = 'signup' AND k % 3 = 0 THEN 'run' WHEN event_type = 'signup' AND k % 3 = 1 THEN 'answer' ELSE 'event' END AS record_kind,
+  CASE WHEN event_type = 'signup' AND k % 3 = 1 THEN concat('rc', k % 40) ELSE concat('k', k) END AS record_id,
+  concat('file', user_id % 7) AS file,
+  event_id AS line_no,
+  {sha} AS content_hash,
+  CASE WHEN k % 9 = 0 THEN CAST(k AS bigint) END AS declared_sequence,
+  CASE WHEN event_type = 'signup' AND k % 3 = 0 THEN CASE k % 5 WHEN 0 THEN 'CREATED' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'UNKNOWN' ELSE CASE WHEN k < 30 THEN 'COMPLETED' WHEN k < 50 THEN 'FAILED' ELSE 'RUNNING' END END END AS lifecycle,
+  concat('an', k % 30) AS answer_id,
+  ts_ms
+"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_events(spark, sf_dir).selectExpr(*_RECORD_COLUMNS.format(sha="sha2(concat(event_type, props), 256)").split(",\n"))
+
+
+RECORDS_SQL = f"""
+ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 1000 AS ts_ms FROM events),
+rc0 AS (SELECT {_RECORD_COLUMNS.format(sha='sha256(concat(event_type, props))')} FROM ev),
+rc AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY file, line_no) AS sequence FROM rc0)"""
+
+
+def conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last assistant turn of a conversation is its final answer; its turns are the scope."""
+    turns = table(spark, sf_dir, "conversations")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("a"))
+    name = F.col("conv_id").cast("string")
+    return last.select(
+        F.concat(F.lit("rcpt-"), name).alias("receipt_id"),
+        F.concat(F.lit("run-"), (F.col("conv_id") % 20).cast("string")).alias("run_id"),
+        F.concat(F.lit("ans-"), name).alias("answer_id"),
+        F.concat(F.lit("agent-"), (F.col("conv_id") % 3).cast("string")).alias("agent_id"),
+        F.when(F.col("conv_id") % 5 > 0, F.concat(F.lit("s-"), F.floor(F.col("conv_id") / 4).cast("string"))).alias("agent_session_id"),
+        F.concat(F.lit("t-"), F.col("a.turn").cast("string")).alias("turn_id"),
+        F.sha2("a.text", 256).alias("answer_hash"),
+        F.lit("sha256-sanitized-nfc-lf-v1").alias("hash_version"),
+        (F.col("conv_id") * 1000 + F.col("a.turn")).alias("ts_ms"),
+        (F.col("conv_id") % 7 > 0).alias("scope_declared"),
+        F.col("a.turn").alias("last_turn"),
+        "conv_id",
+    )
+
+
+def conversation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns are own, others shared; turn 1 of each conversation names an event of its run's pool."""
+    own = F.when(F.col("turn") == 1, F.concat(F.lit("pool-"), (F.col("conv_id") % 60).cast("string"))).otherwise(
+        F.concat_ws("-", F.lit("ev"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    )
+    answers = conversation_answers(spark, sf_dir).where("scope_declared").select("receipt_id", "conv_id")
+    return table(spark, sf_dir, "conversations").join(answers, "conv_id").select(
+        "receipt_id", own.alias("event_id"), F.when(F.col("role") == "assistant", "own").otherwise("shared").alias("scope")
+    ).distinct()
+
+
+def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as an event of the run; system turns were never collected."""
+    name = F.when(F.col("turn") == 1, F.concat(F.lit("pool-"), (F.col("conv_id") % 60).cast("string"))).otherwise(
+        F.concat_ws("-", F.lit("ev"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    )
+    return (
+        table(spark, sf_dir, "conversations")
+        .where("role <> 'system'")
+        .select(
+            F.concat(F.lit("run-"), (F.col("conv_id") % 20).cast("string")).alias("run_id"),
+            name.alias("event_id"),
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("sequence"),
+            F.octet_length("text").cast("bigint").alias("n_bytes"),
+        )
+        .groupBy("run_id", "event_id")
+        .agg(F.min("sequence").alias("sequence"), F.min("n_bytes").alias("n_bytes"))
+    )
+
+
+CONVERSATION_SQL = """
+la AS (SELECT conv_id, arg_max(turn, turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1),
+an AS (SELECT 'rcpt-' || conv_id AS receipt_id, 'run-' || (conv_id % 20) AS run_id, 'ans-' || conv_id AS answer_id, 'agent-' || (conv_id % 3) AS agent_id,
+  CASE WHEN conv_id % 5 > 0 THEN 's-' || (conv_id // 4) END AS agent_session_id, 't-' || turn AS turn_id, sha256(text) AS answer_hash, 'sha256-sanitized-nfc-lf-v1' AS hash_version,
+  conv_id * 1000 + turn AS ts_ms, conv_id % 7 > 0 AS scope_declared, conv_id FROM la),
+cn AS (SELECT *, CASE WHEN turn = 1 THEN 'pool-' || (conv_id % 60) ELSE 'ev-' || conv_id || '-' || turn END AS event_id FROM conversations),
+sc AS (SELECT DISTINCT a.receipt_id, c.event_id, CASE WHEN role = 'assistant' THEN 'own' ELSE 'shared' END AS scope, a.run_id FROM cn c JOIN an a USING (conv_id) WHERE a.scope_declared),
+ce AS (SELECT 'run-' || (conv_id % 20) AS run_id, event_id, min(conv_id * 1000 + turn) AS sequence, min(strlen(text)) AS n_bytes FROM cn WHERE role <> 'system' GROUP BY 1, 2),
+ss0 AS (SELECT a.receipt_id, a.run_id, a.scope_declared,
+  (SELECT count(*) FROM sc s WHERE s.receipt_id = a.receipt_id AND NOT EXISTS (SELECT 1 FROM ce e WHERE e.run_id = a.run_id AND e.event_id = s.event_id)) AS missing,
+  (SELECT count(*) FROM sc s JOIN ce e ON e.run_id = a.run_id AND e.event_id = s.event_id WHERE s.receipt_id = a.receipt_id) AS event_count,
+  (SELECT count(*) FROM sc s JOIN sc o ON o.event_id = s.event_id AND o.scope = 'own' AND o.receipt_id <> s.receipt_id AND o.run_id = a.run_id WHERE s.receipt_id = a.receipt_id AND s.scope = 'own') AS conflicts,
+  (SELECT count(*) FROM sc s WHERE s.receipt_id = a.receipt_id AND scope = 'own') AS own_declared, (SELECT count(*) FROM sc s WHERE s.receipt_id = a.receipt_id AND scope = 'shared') AS shared_declared FROM an a),
+ss AS (SELECT *, CASE WHEN scope_declared AND missing = 0 AND conflicts = 0 THEN 'EXPLICIT' ELSE 'UNKNOWN' END AS status FROM ss0)"""
+
+
+def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One context per turn: by session and turn, by receipt, by hash alone, or with nothing useful."""
+    text_hash = F.sha2("text", 256)
+    kind = F.col("conv_id") % 4 + F.col("turn") % 2 * 4
+    name = F.col("conv_id").cast("string")
+    is_turn = (kind == 1) | (kind == 5)
+    return table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.lit("ctx"), name, F.col("turn").cast("string"), "role").alias("context_id"),
+        F.when(is_turn, F.concat(F.lit("agent-"), (F.col("conv_id") % 3).cast("string"))).alias("agent_id"),
+        F.when(is_turn, F.concat(F.lit("s-"), F.floor(F.col("conv_id") / 4).cast("string"))).alias("agent_session_id"),
+        F.when(is_turn, F.concat(F.lit("t-"), F.col("turn").cast("string"))).alias("turn_id"),
+        F.when((kind == 2) | (kind == 6), F.concat(F.lit("rcpt-"), name)).alias("receipt_id"),
+        F.when(kind == 6, F.concat(F.lit("run-"), (F.col("conv_id") % 25).cast("string"))).alias("run_id"),
+        F.lit(None).cast("string").alias("answer_id"),
+        F.when(kind.isin(3, 6, 5), text_hash).alias("answer_hash"),
+        F.when(kind.isin(5, 6), F.lit("sha256-sanitized-nfc-lf-v1")).alias("hash_version"),
+    )
+
+
+CONTEXT_SQL = """
+cx0 AS (SELECT *, conv_id % 4 + turn % 2 * 4 AS kind FROM conversations),
+cx AS (SELECT 'ctx-' || conv_id || '-' || turn || '-' || role AS context_id, CASE WHEN kind IN (1,5) THEN 'agent-' || (conv_id % 3) END AS agent_id, CASE WHEN kind IN (1,5) THEN 's-' || (conv_id // 4) END AS agent_session_id,
+  CASE WHEN kind IN (1,5) THEN 't-' || turn END AS turn_id, CASE WHEN kind IN (2,6) THEN 'rcpt-' || conv_id END AS receipt_id, CASE WHEN kind = 6 THEN 'run-' || (conv_id % 25) END AS run_id,
+  CASE WHEN kind IN (3,6,5) THEN sha256(text) END AS answer_hash, CASE WHEN kind IN (5,6) THEN 'sha256-sanitized-nfc-lf-v1' END AS hash_version FROM cx0)"""

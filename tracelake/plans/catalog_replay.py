@@ -196,7 +196,7 @@ ORACLES = {
        SELECT session_id, unnest(['span_ms','edits','verification_runs','reads','streak_changes','most_touched','final_state']) AS m,
          unnest([CAST(span_ms AS VARCHAR), CAST(edits AS VARCHAR), CAST(ff.verification_runs AS VARCHAR), CAST(reads AS VARCHAR), CAST(us.changes AS VARCHAR), mt.path, fs.final_state]) AS v
        FROM ff LEFT JOIN us USING (session_id) LEFT JOIN mt USING (session_id) LEFT JOIN fs USING (session_id) WHERE session_id IN ('u1','u2')) GROUP BY 1""", _SEG, _FIND, _FACTS),
-    "rep_attempt_timeline": _sql("""SELECT a.session_id, a.attempt_no, '+' || printf('%.1f', a.ts_offset / 1000.0) || 's' AS "offset", implementation_events || CASE WHEN implementation_events = 1 THEN ' edit' ELSE ' edits' END AS edits, v.seq,
+    "rep_attempt_timeline": _sql("""SELECT a.session_id, a.attempt_no, a.ts_offset / 1000.0 AS offset_s, implementation_events || CASE WHEN implementation_events = 1 THEN ' edit' ELSE ' edits' END AS edits, v.seq,
        CASE WHEN v.seq IS NULL THEN 'NOT VERIFIED' ELSE coalesce(v.verification_kind, 'run') || CASE v.ok WHEN FALSE THEN ': FAILED' || coalesce(' (' || v.tests_failed || ' failing)', '') WHEN TRUE THEN ': passed' || coalesce(' (' || v.tests_failed || ' failing)', '') ELSE ': unknown' END END AS verification
        FROM am a LEFT JOIN (SELECT * FROM sg WHERE event_type = 'verification') v ON v.session_id = a.session_id AND v.attempt_no = a.attempt_no""", _SEG),
     "rep_escalate": _sql("SELECT DISTINCT a.session_id, CASE WHEN EXISTS (SELECT 1 FROM db WHERE db.session_id = a.session_id) THEN 'VERIFY_FIRST' ELSE 'OBSERVE' END AS policy FROM am a", _SEG, _FIND),
