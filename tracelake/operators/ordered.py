@@ -31,6 +31,11 @@ def running_sum(value: Column, inclusive: bool = True) -> Scan:
     return Scan("sum", value, None, inclusive)
 
 
+def running_min(value: Column) -> Scan:
+    """Least value over the rows up to this one."""
+    return Scan("min", value, None, True)
+
+
 def last_seen(value: Column, where: Column | None = None, inclusive: bool = False) -> Scan:
     """Value of the nearest earlier row that meets ``where``; the value itself may be null."""
     return Scan("last", value, where, inclusive)
@@ -68,6 +73,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
     for name, s in scans.items():
         if s.kind == "sum":
             boxed[f"_v_{name}"] = F.coalesce(s.value, F.lit(0)).cast("bigint")
+        elif s.kind == "min":
+            boxed[f"_v_{name}"] = s.value
         else:
             box = F.struct(s.value.alias("v"))
             boxed[f"_v_{name}"] = F.when(s.where, box) if s.where is not None else box
@@ -81,6 +88,9 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         if s.kind == "sum":
             local[f"_l_{name}"] = F.sum(v).over(fwd.rowsBetween(*(upto if s.inclusive else before)))
             summary.append(F.sum(v).alias(f"_s_{name}"))
+        elif s.kind == "min":
+            local[f"_l_{name}"] = F.min(v).over(fwd.rowsBetween(*upto))
+            summary.append(F.min(v).alias(f"_s_{name}"))
         elif s.kind == "last":
             frame = fwd.rowsBetween(*(upto if s.inclusive else before))
             local[f"_l_{name}"] = F.last(v, ignorenulls=True).over(frame)
@@ -98,6 +108,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         v = F.col(f"_s_{name}")
         if s.kind == "sum":
             carry.append(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_c_{name}"))
+        elif s.kind == "min":
+            carry.append(F.min(v).over(earlier).alias(f"_c_{name}"))
         else:
             carry.append(F.last(v, ignorenulls=True).over(earlier if s.kind == "last" else later).alias(f"_c_{name}"))
     borders = borders.select(*parts, *carry)
@@ -108,6 +120,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
         near, far = F.col(f"_l_{name}"), F.col(f"_c_{name}")
         if s.kind == "sum":
             out.append((F.coalesce(near, F.lit(0)) + far).alias(name))
+        elif s.kind == "min":
+            out.append(F.least(near, far).alias(name))
         else:
             out.append(F.coalesce(near, far)["v"].alias(name))
     return joined.select(*cols, *out)

@@ -309,3 +309,97 @@ cx0 AS (SELECT *, conv_id % 4 + turn % 2 * 4 AS kind FROM conversations),
 cx AS (SELECT 'ctx-' || conv_id || '-' || turn || '-' || role AS context_id, CASE WHEN kind IN (1,5) THEN 'agent-' || (conv_id % 3) END AS agent_id, CASE WHEN kind IN (1,5) THEN 's-' || (conv_id // 4) END AS agent_session_id,
   CASE WHEN kind IN (1,5) THEN 't-' || turn END AS turn_id, CASE WHEN kind IN (2,6) THEN 'rcpt-' || conv_id END AS receipt_id, CASE WHEN kind = 6 THEN 'run-' || (conv_id % 25) END AS run_id,
   CASE WHEN kind IN (3,6,5) THEN sha256(text) END AS answer_hash, CASE WHEN kind IN (5,6) THEN 'sha256-sanitized-nfc-lf-v1' END AS hash_version FROM cx0)"""
+
+
+# ``{a}`` is the list constructor of the dialect; parallel lists are zipped into structs afterwards.
+_TRACE_COLUMNS = """
+  run_id,
+  concat('v', seq) AS event_id,
+  seq AS sequence,
+  type,
+  ts_ms AS occurred_ms,
+  CASE WHEN k % 10 = 0 OR (type IN ('CLAIM', 'RECOMMEND') AND k % 3 > 0) THEN 'REPORTED' WHEN k % 10 = 2 THEN 'INFERRED' ELSE 'OBSERVED' END AS category,
+  k % 10 >= 3 AS has_locator,
+  CASE WHEN type IN ('READ', 'SEARCH') THEN concat('s', k % 15) ELSE concat('t', k % 4) END AS source_id,
+  CASE WHEN type = 'READ' THEN 'URL' WHEN type = 'SEARCH' THEN 'UNKNOWN' ELSE 'TOOL_RESULT' END AS source_kind,
+  CASE WHEN type = 'READ' THEN CASE WHEN k % 15 = 3 THEN concat('http://10.0.0.3:80/doc/', k % 2) WHEN k % 15 = 4 THEN 'https://web.archive.org/web/2020/https://other9.example.org/'
+       ELSE concat('https://Site', k % 15, '.example.com/a//b/?utm_source=x&q=', k % 3, '#top') END END AS location,
+  CASE WHEN type = 'READ' AND k % 3 = 0 THEN concat('h', k % 12) END AS content_hash,
+  CASE WHEN type = 'READ' AND k % 15 = 3 AND k % 4 > 0 THEN 'Official docs' END AS title,
+  CASE WHEN type = 'SEARCH' THEN CASE WHEN k % 10 = 4 THEN '  ' ELSE concat('query ', k % 7, CASE WHEN k % 9 = 0 THEN ' latest' ELSE '' END) END END AS query,
+  CASE WHEN type = 'SEARCH' THEN {a}(concat('s', (k + 1) % 15), concat('s', (k + 5) % 15)) END AS hit_ids,
+  CASE WHEN type = 'SEARCH' THEN {a}(concat('https://site', (k + 1) % 15, '.example.com/a/b?q=', k % 3), concat('https://other', (k + 5) % 15, '.example.org/')) END AS hit_urls,
+  CASE WHEN k % 8 = 0 THEN 'FAILED' WHEN k % 8 = 1 THEN 'CANCELLED' ELSE 'SUCCESS' END AS outcome,
+  concat('claim about topic ', k % 90, CASE WHEN k % 6 = 0 THEN ' risk' WHEN k % 6 = 1 THEN ' structure of beta' ELSE '' END) AS claim_text,
+  CASE WHEN k % 4 < 3 THEN concat('s', (k * 3) % 15) END AS claim_source,
+  CASE WHEN k % 7 = 0 THEN 'CONTRADICTS' ELSE 'SUPPORTS' END AS rel_type,
+  CASE WHEN type IN ('CLAIM', 'HYPOTHESIS', 'READ') THEN CASE WHEN k % 11 = 0 THEN concat('v', seq + 3) WHEN k % 17 = 0 THEN concat('v', seq) ELSE concat('v', seq - 1 - k % 5) END END AS rel_target,
+  CASE WHEN k % 13 = 0 THEN concat('r', k % 5) END AS rel_run,
+  {a}(CAST(k AS {s}), CASE WHEN k % 2 = 0 THEN CAST(k * 2 AS {s}) END) AS cell_values,
+  {a}(concat('v', seq - 1), concat('v', seq - 2), concat('v', seq - 3)) AS back3,
+  {a}(concat('v', seq - 1), concat('v', seq - 2), concat('v', seq - 3), concat('v', seq - 4)) AS back4,
+  {a}('region=EU', concat('year>=', 2020 + k % 3)) AS user_conditions,
+  CASE WHEN type = 'CONTRADICTION' THEN {a}(concat('v', seq - 1 - k % 3), concat('v', seq - 4 + 8 * CAST(k % 9 = 0 AS int))) END AS conflicting,
+  CASE WHEN type = 'CONTRADICTION' THEN CASE k % 4 WHEN 1 THEN {a}('year=2024', 'year=2026') WHEN 2 THEN {a}('year=2024', 'year>=2025') WHEN 3 THEN {a}('some words', 'Some  words') END END AS conditions,
+  CASE WHEN k % 3 < 2 THEN concat('v', seq - 1 - k % 6) END AS target_event,
+  CASE WHEN k % 3 = 2 THEN concat('Topic ', k % 90) END AS target_text,
+  CASE k % 5 WHEN 0 THEN 'INCONCLUSIVE' WHEN 1 THEN 'REFUTED' ELSE 'CONFIRMED' END AS verify_result
+"""
+_TRACE_TYPE = """CASE event_type WHEN 'view' THEN 'SEARCH' WHEN 'click' THEN 'READ' WHEN 'purchase' THEN 'VERIFY'
+  WHEN 'error' THEN CASE WHEN k % 3 = 0 THEN 'CONTRADICTION' ELSE 'READ' END
+  ELSE CASE WHEN k % 10 < 6 THEN 'CLAIM' WHEN k % 10 = 6 THEN 'RECOMMEND' WHEN k % 10 < 9 THEN 'COMPARE' ELSE 'HYPOTHESIS' END END"""
+
+
+def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.ordered import ordered_scan, running_sum, sequence_chunk
+
+    raw = raw_events(spark, sf_dir).withColumn("run_id", F.concat(F.lit("r"), F.col("user_id"))).withColumn("type", F.expr(_TRACE_TYPE))
+    numbered = ordered_scan(raw, ["run_id"], ["event_id"], sequence_chunk("event_id"), seq=running_sum(F.lit(1)))
+    flat = numbered.selectExpr(*_TRACE_COLUMNS.format(a="array", s="string").split(",\n"))
+    none = F.lit(None).cast("string")
+    cell = lambda i, cand, crit: F.struct(
+        F.lit(cand).alias("candidate"), F.lit(crit).alias("criterion"), F.get("cell_values", i).alias("value"), F.col("back3").alias("evidence_event_ids"))
+    kind = F.col("type")
+    return flat.select(
+        "run_id", "event_id", "sequence", "type", "occurred_ms", "category", "has_locator",
+        F.struct("source_id", F.col("source_kind").alias("kind"), "location", "content_hash", "title", none.alias("accessed_at")).alias("source"),
+        F.when(F.col("rel_target").isNotNull(), F.array(F.struct(F.col("rel_type").alias("type"), F.col("rel_target").alias("target_event_id"), F.col("rel_run").alias("target_run_id")))).alias("relations"),
+        F.when(kind == "SEARCH", F.struct("query", F.transform(F.arrays_zip("hit_ids", "hit_urls"), lambda h: F.struct(
+            h["hit_ids"].alias("source_id"), none.alias("title"), h["hit_urls"].alias("url"), F.lit(1).alias("rank"))).alias("results"))).alias("search"),
+        F.when(kind == "READ", F.struct("source_id", "outcome")).alias("read"),
+        F.when(kind == "CLAIM", F.struct(F.col("claim_text").alias("text"), F.col("claim_source").alias("source_id"))).alias("claim"),
+        F.when(kind == "COMPARE", F.struct(F.array(cell(0, "alpha", "speed"), cell(1, "beta", "cost")).alias("cells"))).alias("compare"),
+        F.when(kind == "RECOMMEND", F.struct(F.lit("alpha").alias("choice"), F.array(F.lit("beta"), F.lit("gamma")).alias("alternatives"), "user_conditions", F.col("back4").alias("rationale_event_ids"))).alias("recommend"),
+        F.when(kind == "CONTRADICTION", F.struct(F.col("conflicting").alias("conflicting_event_ids"), "conditions")).alias("contradiction"),
+        F.when(kind == "VERIFY", F.struct(F.col("target_event").alias("target_event_id"), F.col("target_text").alias("target_claim_text"), F.col("verify_result").alias("result"), F.col("back3").alias("evidence_event_ids"))).alias("verify"),
+    )
+
+
+def trace_answers(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Three answers per run: two own a share of its events and share the rest; the third has no boundary."""
+    part = F.pmod(F.floor((F.col("sequence") - 1) / 8), F.lit(3))
+    runs = events.groupBy("run_id").agg(F.max("sequence").alias("_n"))
+    answers = runs.select(
+        "run_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("part"), "_n"
+    ).select(
+        F.concat_ws("-", "run_id", F.col("part").cast("string")).alias("receipt_id"), "run_id", (F.col("part") < 2).alias("scope_declared"),
+        F.when(F.col("_n") % 2 == 0, "COMPLETE").otherwise("PARTIAL").alias("completeness"),
+        F.when(F.col("part") == 0, F.concat(F.lit("Compare alpha vs beta "), F.col("_n").cast("string"))).when(F.col("part") == 1, "Why is it fresh today").alias("question"),
+        F.when((F.col("part") == 1) & (F.col("_n") % 3 == 0), "ASSESS").alias("override"),
+    )
+    scope = events.select("run_id", "event_id", part.alias("part")).select(
+        "run_id", "event_id", "part", F.explode(F.when(F.col("part") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("part").cast("int")))).alias("owner")
+    ).select(
+        F.concat_ws("-", "run_id", F.col("owner").cast("string")).alias("receipt_id"), "event_id", F.when(F.col("part") == 2, "shared").otherwise("own").alias("scope"),
+    )
+    return answers, scope
+
+
+TRACE_SQL = f"""
+ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 1000 AS ts_ms FROM events),
+ev6 AS (SELECT *, 'r' || user_id AS run_id, {_TRACE_TYPE} AS type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM ev),
+te AS (SELECT {_TRACE_COLUMNS.format(a='list_value', s='varchar')} FROM ev6),
+rn AS (SELECT run_id, max(sequence) AS n FROM te GROUP BY 1),
+tq AS (SELECT run_id || '-' || p AS aid, run_id, p < 2 AS declared, CASE WHEN n % 2 = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS completeness,
+  CASE p WHEN 0 THEN 'Compare alpha vs beta ' || n WHEN 1 THEN 'Why is it fresh today' END AS question, CASE WHEN p = 1 AND n % 3 = 0 THEN 'ASSESS' END AS override FROM rn, (SELECT unnest([0, 1, 2]) AS p)),
+sc AS (SELECT q.aid, t.* FROM te t JOIN tq q USING (run_id) WHERE NOT declared OR ((sequence - 1) // 8) % 3 = 2 OR ((sequence - 1) // 8) % 3 = CAST(split_part(q.aid, '-', 2) AS INT))"""
