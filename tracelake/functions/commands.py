@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from . import let
+
 # What counts as a test, device or build command, in this order.
 _SCRIPT_TEST = r"(?:npm|pnpm|yarn|bun)(?:\s+run)?\s+(?:test|tests|spec|e2e|unit)(?::[\w:.-]+)?\b"
 _SCRIPT_BUILD = (
@@ -82,9 +84,12 @@ def failure_signature(text: Column) -> Column:
         text = F.regexp_replace(text, pattern, mask)
     lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     content = F.filter(lines, lambda x: (F.length(x) > 3) & ~x.rlike(GENERIC_LINE))
-    n = F.size(content)
-    tail = F.array_join(F.slice(content, F.greatest(n - 2, F.lit(1)), F.lit(3)), "\n")
-    return F.substring(F.sha2(F.when(n == 0, F.lit("<opaque-failure>")).otherwise(tail), 256), 1, 8)
+
+    def digest(c: Column) -> Column:
+        tail = F.array_join(F.slice(c, F.greatest(F.size(c) - 2, F.lit(1)), F.lit(3)), "\n")
+        return F.substring(F.sha2(F.when(F.size(c) == 0, F.lit("<opaque-failure>")).otherwise(tail), 256), 1, 8)
+
+    return let(content, digest)
 
 
 def display_path(path: Column, cwd: Column | None = None) -> Column:

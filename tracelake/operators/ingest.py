@@ -6,11 +6,10 @@ whatever else the caller carries. Events with relations: ``trace_events`` as bou
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import stage
-from .ordered import last_seen, ordered_scan, running_sum, sequence_chunk
+from .ordered import fold_groups, last_seen, ordered_scan, running_sum, sequence_chunk
 
 RECORD = ["run_id", "record_kind", "record_id"]
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
@@ -163,12 +162,13 @@ def relation_rows(events: DataFrame) -> DataFrame:
     ).withColumnRenamed("type", "relation")
 
 
-def _first_cycle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Earliest event that lies on a cycle of one cover interval (see ``cycle_nodes``)."""
+def _first_cycle(key: tuple, rows: list[dict]) -> list[tuple]:
+    """Earliest event that lies on a cycle of one stretch (see ``cycle_nodes``)."""
     edges: dict[str, list[str]] = {}
-    for source, target in zip(pdf["event_id"], pdf["target_event_id"], strict=True):
-        edges.setdefault(source, []).append(target)
-    order = dict(sorted(dict(zip(pdf["event_id"], pdf["sequence"], strict=True)).items(), key=lambda kv: kv[1]))
+    place = {}
+    for r in rows:
+        edges.setdefault(r["event_id"], []).append(r["target_event_id"])
+        place[r["event_id"]] = r["sequence"]
     # Strip nodes that lead nowhere or that nothing leads to; what stays holds a cycle.
     while True:
         targets = {t for ts in edges.values() for t in ts}
@@ -177,26 +177,16 @@ def _first_cycle(pdf: pd.DataFrame) -> pd.DataFrame:
         if kept == edges:
             break
         edges = kept
-    for start in order:
-        if start not in edges:
-            continue
+    for start in sorted(edges, key=place.get):
         seen, stack = set(), list(edges[start])
         while stack:
             node = stack.pop()
             if node == start:
-                return _rows([(pdf["run_id"].iloc[0], start, order[start])])
+                return [(key[0], start, int(place[start]))]
             if node not in seen:
                 seen.add(node)
                 stack.extend(edges.get(node, []))
-    return _rows([])
-
-
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame({
-        "run_id": pd.Series([str(r[0]) for r in rows], dtype=object),
-        "event_id": pd.Series([str(r[1]) for r in rows], dtype=object),
-        "sequence": pd.Series([int(r[2]) for r in rows], dtype="int64"),
-    })
+    return []
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
@@ -207,7 +197,9 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     can matter, and only those few are searched, one stretch at a time.
     """
     edges = stage(edges)
-    forward = edges.where("target_sequence >= sequence")
+    loops = edges.where("target_sequence = sequence").select("run_id", "event_id", "sequence")
+    edges = edges.where("target_sequence <> sequence")
+    forward = edges.where("target_sequence > sequence")
     moves = forward.select(
         "run_id",
         F.inline(F.array(
@@ -228,7 +220,8 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     inside = opened.where("pass = 1 and depth > 0").select("run_id", F.col("at").alias("sequence"), "stretch")
     target = inside.select("run_id", F.col("sequence").alias("target_sequence"), F.col("stretch").alias("_target_stretch"))
     core = edges.join(inside, ["run_id", "sequence"]).join(target, ["run_id", "target_sequence"]).where("stretch = _target_stretch")
-    found = core.groupBy("run_id", "stretch").applyInPandas(_first_cycle, "run_id string, event_id string, sequence bigint")
+    rows = core.select("run_id", "stretch", "event_id", "sequence", "target_event_id")
+    found = fold_groups(rows, ["run_id", "stretch"], ["sequence"], _first_cycle, "run_id string, event_id string, sequence bigint").unionByName(loops)
     return found.groupBy("run_id").agg(F.min(F.struct("sequence", "event_id")).alias("_f")).select("run_id", "_f.event_id", "_f.sequence")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import ASSESSMENT_WORDS, infer_mode
 from ..runtime import stage
 from .evidence import grounded  # noqa: F401  (part of the analysis vocabulary)
-from .ordered import last_seen, ordered_scan, running_sum, sequence_chunk
+from .ordered import fold_groups, last_seen, ordered_scan, running_sum, sequence_chunk
 
 STALE_DAYS = 3 * 366
 
@@ -283,10 +283,10 @@ def checkpoint_triggers(scoped: DataFrame, evidence: DataFrame) -> DataFrame:
     ).where((F.size("fixed") > 0) | F.col("stalled") | F.col("advice"))
 
 
-def _select(pdf: pd.DataFrame) -> pd.DataFrame:
+def _select(key: tuple, rows: list[dict]) -> list[tuple]:
     """Spend the budget of one answer over its candidates in order."""
     picked, low, high, last, fired_for, keys = [], 0, 0, -999, None, set()
-    for r in pdf.sort_values("sequence").to_dict("records"):
+    for r in rows:
         triggers = list(r["fixed"])
         stalled = bool(r["stalled"]) and fired_for != r["gain_seq"]
         triggers += ["NO_EVIDENCE_GAIN_WINDOW"] * stalled + ["PRE_RECOMMENDATION"] * bool(r["advice"])
@@ -303,11 +303,9 @@ def _select(pdf: pd.DataFrame) -> pd.DataFrame:
         keys.add((triggers[0], at))
         if stalled:
             fired_for = r["gain_seq"]
-        picked.append((r["aid"], low + high + 1, event, int(at), r["event_id"], ",".join(triggers), max(0, int(last))))
+        picked.append((key[0], low + high + 1, event, int(at), r["event_id"], ",".join(triggers), max(0, int(last))))
         low, high, last = low + (not urgent), high + urgent, at
-    cols = list(zip(*picked, strict=True)) if picked else [[] for _ in range(7)]
-    names = ["aid", "ordinal", "anchor_event", "anchor_seq", "source_event", "triggers", "from_seq"]
-    return pd.DataFrame({n: pd.Series(list(c), dtype="int64" if n in ("ordinal", "anchor_seq", "from_seq") else object) for n, c in zip(names, cols, strict=True)})
+    return picked
 
 
 def select_checkpoints(scoped: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -326,8 +324,8 @@ def select_checkpoints(scoped: DataFrame, evidence: DataFrame) -> DataFrame:
     stalls = ordered_scan(cand.where(lone), ["aid", "gain_seq"], ["sequence"], sequence_chunk(), _r=running_sum(F.lit(1)))
     windows = ordered_scan(stalls.where("_r = 1").select("aid", "gain_seq"), ["aid"], ["gain_seq"], sequence_chunk("gain_seq"), _w=running_sum(F.lit(1)))
     first = stalls.where(F.col("_r") <= _ROWS).join(windows.where(F.col("_w") <= _ROWS), ["aid", "gain_seq"]).select(*kept.columns)
-    return kept.unionByName(first).groupBy("aid").applyInPandas(
-        _select, "aid string, ordinal bigint, anchor_event string, anchor_seq bigint, source_event string, triggers string, from_seq bigint"
+    return fold_groups(
+        kept.unionByName(first), ["aid"], ["sequence"], _select, "aid string, ordinal bigint, anchor_event string, anchor_seq bigint, source_event string, triggers string, from_seq bigint"
     )
 
 

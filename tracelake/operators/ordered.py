@@ -10,8 +10,10 @@ the partitioning the local scan already has.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOUR_MS = 3_600_000
@@ -143,3 +145,35 @@ def trailing(df: DataFrame, keys: list[str], order: list[str], breaks: Column) -
 def top_rows(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The k first rows of the whole frame; Spark keeps k rows per task and merges."""
     return df.orderBy(*order).limit(k)
+
+
+def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[tuple, list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Rows of each group, in order, through ``fold``. Only for groups whose size is bounded by their rule.
+
+    Groups are walked in batches of sorted rows, which costs far less than one call per group.
+    """
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    ints = {c.strip().split(" ")[0] for c in schema.split(",") if c.strip().endswith("bigint")}
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+        return pd.DataFrame({n: pd.Series(list(c), dtype="int64" if n in ints else object) for n, c in zip(names, cols, strict=True)})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, out = None, [], []
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                now = tuple(row[k] for k in keys)
+                if now != key:
+                    if held:
+                        out += fold(key, held)
+                    key, held = now, []
+                held.append(row)
+            if len(out) > 10_000:
+                yield frame(out)
+                out = []
+        if held:
+            out += fold(key, held)
+        yield frame(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
