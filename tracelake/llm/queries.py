@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, packing
+from . import jaccard, language, packing
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,6 +24,10 @@ def op7_pack_large_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(~language.held_out()))
@@ -32,7 +36,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pack_matrix, op7_pack_large_items, op10_language_id)
+    f.__name__: f for f in (op2_pack_matrix, op7_pack_large_items, op8_jaccard_join, op10_language_id)
 }
 
 ORACLES: dict[str, str] = {}
