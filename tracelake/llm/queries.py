@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, language, packing
+from . import jaccard, language, packing, pii
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +20,15 @@ def op2_pack_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_matrix(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.spans_of(pii.fit(docs), F.col("text"), spark).alias("found"))
+    named = F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    base = F.transform(F.filter("found", lambda s: s["base"]), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    count = [F.size(F.filter("found", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *count, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"), F.concat_ws(",", named).alias("spans"))
+
+
 def op7_pack_large_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -36,7 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pack_matrix, op7_pack_large_items, op8_jaccard_join, op10_language_id)
+    f.__name__: f for f in (op2_pack_matrix, op3_personal_data, op7_pack_large_items, op8_jaccard_join, op10_language_id)
 }
 
 ORACLES: dict[str, str] = {}
