@@ -25,7 +25,8 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", pii.spans_of(pii.fit(docs), F.col("text"), spark).alias("found"))
     named = F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     base = F.transform(F.filter("found", lambda s: s["base"]), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    count = [F.size(F.filter("found", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    kinds = F.transform(F.filter("found", lambda s: s["base"]), lambda s: s["kind"])
+    count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *count, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"), F.concat_ws(",", named).alias("spans"))
 
 
