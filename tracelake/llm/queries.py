@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, language, packing, pii
+from . import jaccard, language, packing, pii, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +30,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"), F.concat_ws(",", named).alias("spans"))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.index(warc.write(table(spark, sf_dir, "pages")))
+
+
 def op7_pack_large_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -46,7 +50,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pack_matrix, op3_personal_data, op7_pack_large_items, op8_jaccard_join, op10_language_id)
+    f.__name__: f for f in (op2_pack_matrix, op3_personal_data, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op10_language_id)
 }
 
-ORACLES: dict[str, str] = {}
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex_sha1, {at}, 5) AS BIGINT) >> {shift}) & 31 AS INT) + 1, 1)"
+    for at in range(1, 41, 5)
+    for shift in (15, 10, 5, 0)
+)
+
+ORACLES: dict[str, str] = {
+    "op6_warc_archive": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex_sha1 FROM pages),
+             f AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload)
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM p JOIN f USING (payload)""",
+}
