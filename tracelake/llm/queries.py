@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, language, packing, pii, warc
+from . import decontaminate, jaccard, language, packing, pii, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +30,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"), F.concat_ws(",", named).alias("spans"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.index(warc.write(table(spark, sf_dir, "pages")))
 
@@ -50,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pack_matrix, op3_personal_data, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op10_language_id)
+    f.__name__: f for f in (op2_pack_matrix, op3_personal_data, op4_decontaminate, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op10_language_id)
 }
 
 _BASE32 = " || ".join(
@@ -60,6 +64,7 @@ _BASE32 = " || ".join(
 )
 
 ORACLES: dict[str, str] = {
+    "op4_decontaminate": decontaminate.oracle_sql(),
     "op6_warc_archive": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex_sha1 FROM pages),
              f AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload)
