@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, packing, pii, warc
+from . import decontaminate, jaccard, language, near_vectors, packing, pii, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,6 +46,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(~language.held_out()))
@@ -54,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pack_matrix, op3_personal_data, op4_decontaminate, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op10_language_id)
+    f.__name__: f for f in (op2_pack_matrix, op3_personal_data, op4_decontaminate, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op9_near_vectors, op10_language_id)
 }
 
 _BASE32 = " || ".join(
