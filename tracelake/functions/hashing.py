@@ -9,8 +9,6 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .text import redact_secrets
 
-SET_LIMIT = 4_096
-
 
 def lf(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n?", "\n")

@@ -582,15 +582,13 @@ _CHAIN_SCHEMA = T.StructType([
 def input_revision(bodies: DataFrame) -> DataFrame:
     """Chain hash of each answer's events in order. ``bodies``: aid, sequence, body (canonical text).
 
-    A chain cannot be split, so it runs per slice of 65,536 sequence numbers, in constant memory; the
-    slices of a longer answer are chained in turn.
+    A chain cannot be split, so it runs per slice of 65,536 sequence numbers, in constant memory, and the
+    values of the slices are chained in turn, one slice or many.
     """
     def chained(df):
         return df.repartition("aid", "part").sortWithinPartitions("aid", "part", "sequence").mapInPandas(_chain, _CHAIN_SCHEMA)
 
-    parts = chained(bodies.select("aid", sequence_chunk().alias("part"), "sequence", "body"))
-    parts = stage(parts)
-    many = parts.groupBy("aid").agg(F.count("*").alias("_parts"), F.sum("records").alias("_records"), F.min("value").alias("_value"))
-    long = parts.join(many.where("_parts > 1").select("aid"), "aid", "left_semi").select("aid", F.lit(0).cast("bigint").alias("part"), F.col("part").alias("sequence"), F.col("value").alias("body"))
-    folded = chained(long).select("aid", F.col("value").alias("_long"))
-    return many.join(folded, "aid", "left").select("aid", F.coalesce("_long", "_value").alias("value"), F.col("_records").alias("records"))
+    parts = stage(chained(bodies.select("aid", sequence_chunk().alias("part"), "sequence", "body")))
+    records = parts.groupBy("aid").agg(F.sum("records").alias("records"))
+    folded = chained(parts.select("aid", F.lit(0).cast("bigint").alias("part"), F.col("part").alias("sequence"), F.col("value").alias("body")))
+    return folded.select("aid", "value").join(records, "aid")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.hashing import SET_LIMIT, agg_set_lanes
+from ..functions.hashing import agg_set_lanes
 from ..runtime import stage
 from .ordered import last_seen, ordered_scan, running_sum, sequence_chunk, trailing
 
@@ -35,20 +35,15 @@ def segment(events: DataFrame) -> DataFrame:
     )
 
 
-def change_sets(segmented: DataFrame, limit: int = SET_LIMIT) -> DataFrame:
+def change_sets(segmented: DataFrame) -> DataFrame:
     """Number and hash of the distinct change hashes of each attempt.
 
-    The hash is over the sorted list. A list longer than ``limit`` is never gathered: its hash comes
-    from order-free sums, which tell equal sets from different ones just as well.
+    The hash comes from order-free sums over the set, so no set is ever gathered.
     """
     distinct = segmented.where(_is("implementation") & F.col("change_hash").isNotNull()).select(*ATTEMPT, "change_hash").distinct()
     size = distinct.groupBy(*ATTEMPT).agg(F.count("*").alias("changed_files"), *agg_set_lanes(F.col("change_hash")))
-    wide = F.substring(F.sha2(F.concat_ws("\n", F.lit("set"), *[F.col(f"_lane{i}").cast("string") for i in range(4)]), 256), 1, 32)
-    small = distinct.join(size.where(F.col("changed_files") <= limit).select(*ATTEMPT), ATTEMPT, "left_semi")
-    listed = small.groupBy(*ATTEMPT).agg(
-        F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("change_hash")), "\n"), 256), 1, 32).alias("_listed")
-    )
-    return size.join(listed, ATTEMPT, "left").select(*ATTEMPT, "changed_files", F.coalesce("_listed", wide).alias("change_hash"))
+    lanes = F.concat_ws("\n", F.lit("set"), *[F.col(f"_lane{i}").cast("string") for i in range(4)])
+    return size.select(*ATTEMPT, "changed_files", F.substring(F.sha2(lanes, 256), 1, 32).alias("change_hash"))
 
 
 def attempts(segmented: DataFrame) -> DataFrame:

@@ -227,8 +227,10 @@ ORACLES = {
        UNION ALL SELECT s.aid, 'rel-claim-' || event_id || '-' || coalesce(canonical, 'src-' || claim_source) || '-cites', 'CITES', 'claim-' || event_id, coalesce(canonical, 'src-' || claim_source) FROM sc s LEFT JOIN cs c ON c.aid = s.aid AND c.source_id = s.claim_source WHERE type = 'CLAIM' AND claim_source IS NOT NULL""", _REFS),
     "evd_reference_diagnostics": _sql("SELECT * FROM rd", _REFD),
     "evd_lane_counts": _sql("SELECT aid, count(*) FILTER (WHERE l = 'OBSERVED') AS observed, count(*) FILTER (WHERE l = 'REPORTED') AS reported, count(*) FILTER (WHERE l = 'INFERRED') AS inferred, CAST(0 AS BIGINT) AS unknown FROM (SELECT aid, effective AS l FROM em UNION ALL SELECT aid, category FROM cl) GROUP BY 1", _REFS, _CLAIMS),
-    "evd_input_revision": _sql("SELECT aid, v AS value, n AS records FROM ch WHERE last", "od AS (SELECT aid, event_id || '|' || type || '|' || category AS body, row_number() OVER (PARTITION BY aid ORDER BY sequence) AS i, count(*) OVER (PARTITION BY aid) AS n FROM sc)",
-        "ch AS (SELECT aid, sha256(chr(10) || body) AS v, i, n, i = n AS last FROM od WHERE i = 1 UNION ALL SELECT o.aid, sha256(c.v || chr(10) || o.body), o.i, o.n, o.i = o.n FROM ch c JOIN od o ON o.aid = c.aid AND o.i = c.i + 1)"),
+    "evd_input_revision": _sql("SELECT aid, v AS value, CAST(total AS BIGINT) AS records FROM cz WHERE last", "od AS (SELECT aid, event_id || '|' || type || '|' || category AS body, sequence // 65536 AS part, row_number() OVER (PARTITION BY aid, sequence // 65536 ORDER BY sequence) AS i, count(*) OVER (PARTITION BY aid, sequence // 65536) AS n FROM sc)",
+        "ch AS (SELECT aid, part, sha256(chr(10) || body) AS v, i, n, i = n AS last FROM od WHERE i = 1 UNION ALL SELECT o.aid, o.part, sha256(c.v || chr(10) || o.body), o.i, o.n, o.i = o.n FROM ch c JOIN od o ON o.aid = c.aid AND o.part = c.part AND o.i = c.i + 1)",
+        "cp AS (SELECT aid, v, row_number() OVER (PARTITION BY aid ORDER BY part) AS i, count(*) OVER (PARTITION BY aid) AS parts, sum(n) OVER (PARTITION BY aid) AS total FROM ch WHERE last)",
+        "cz AS (SELECT aid, sha256(chr(10) || v) AS v, i, parts, total, i = parts AS last FROM cp WHERE i = 1 UNION ALL SELECT p.aid, sha256(c.v || chr(10) || p.v), p.i, p.parts, p.total, p.i = p.parts FROM cz c JOIN cp p ON p.aid = c.aid AND p.i = c.i + 1)"),
     "evd_coverage": _sql("""SELECT a.aid, a.claims, (SELECT count(*) FROM vd v WHERE v.aid = a.aid AND supporting > 0) AS covered, CAST(open_conflicts + missing_conditions
        + (SELECT count(DISTINCT CASE WHEN support = 'INSUFFICIENT_EVIDENCE' THEN 'n' WHEN support = 'CONFLICTING_EVIDENCE' AND blocking_conflicts = 0 THEN 'o' END) FROM vd v WHERE v.aid = a.aid)
        + (SELECT count(DISTINCT u.conflict_event) FROM un u JOIN cf c USING (aid, conflict_event) JOIN vd v USING (aid, claim_id) WHERE u.aid = a.aid AND c.blocks) + (SELECT count(*) FROM rd WHERE rd.aid = a.aid AND status = 'PENDING') AS BIGINT) AS unresolved FROM asu a""", *_ALL, _REFD),

@@ -106,7 +106,7 @@ am0 AS (SELECT session_id, attempt_no, count(*) FILTER (WHERE event_type = 'impl
   arg_min([failure_sig], seq) FILTER (WHERE event_type = 'verification' AND NOT ok)[1] AS failure_sig,
   arg_min(ts_offset, seq) FILTER (WHERE event_type = 'implementation') AS ts_offset, min(seq) AS first_seq, max(seq) AS last_seq,
   count(DISTINCT change_hash) AS changed_files,
-  substr(sha256(string_agg(DISTINCT change_hash, chr(10) ORDER BY change_hash)), 1, 32) AS change_hash FROM sg GROUP BY 1, 2),
+  substr(sha256('set' || chr(10) || sum(DISTINCT CAST('0x' || substr(sha256(change_hash), 1, 12) AS BIGINT)) || chr(10) || sum(DISTINCT CAST('0x' || substr(sha256(change_hash), 13, 12) AS BIGINT)) || chr(10) || sum(DISTINCT CAST('0x' || substr(sha256(change_hash), 25, 12) AS BIGINT)) || chr(10) || sum(DISTINCT CAST('0x' || substr(sha256(change_hash), 37, 12) AS BIGINT))), 1, 32) AS change_hash FROM sg GROUP BY 1, 2),
 am AS (SELECT * FROM am0),
 tn AS (SELECT DISTINCT session_id, attempt_no, turn FROM sg WHERE event_type = 'implementation' AND NOT test_only AND turn IS NOT NULL)"""
 _FIND = """

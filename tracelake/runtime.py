@@ -1,12 +1,16 @@
-"""Session helpers: a local session for tests and a durable lineage cut."""
+"""Session helpers: a local session for tests, the package on the executors, and a durable lineage cut."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(app: str = "tracelake", cores: str = "*") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -23,23 +27,37 @@ def local_session(app: str = "tracelake", cores: str = "*") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: functions in Python import it there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as bundle:
+        for file in sorted(package.rglob("*.py")):
+            bundle.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of its own only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local session may do without one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        sc = spark.sparkContext
-        named = sc.getConf().get("spark.checkpoint.dir", None)
         current = sc._jsc.sc().getCheckpointDir()
-        if not named and not current.isEmpty():
-            named = current.get()
-        if not named:
-            named = tempfile.mkdtemp(prefix="spark-stage-")
-            sc.setCheckpointDir(named)
-    return named
+        named = current.get() if not current.isEmpty() else None
+    if not named:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-stage-")
+        sc.setCheckpointDir(named)
+    return f"{named}/{sc.applicationId}"
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder.
+    """Cut lineage by a table in the job's part of the shared folder.
 
     Used where one frame feeds many branches, and between the rounds of graph closures: later reads
     prune columns and push filters, and a lost executor repeats one step, not all of them.
@@ -48,3 +66,9 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the job's part of the shared folder. Frames that were staged can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,15 +10,13 @@ from ..operators.validate import parse_strict
 MAX_LINE_BYTES = 4 * 1024 * 1024
 
 
-def discover(spark: SparkSession, roots: list[str], cap: int | None = None) -> DataFrame:
-    """JSONL files below the roots with time and size, newest first; empty files are skipped."""
-    files = (
+def discover(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """JSONL files below the roots with time and size; empty files are skipped. A caller that wants a page orders it."""
+    return (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(roots)
         .select("path", F.unix_millis("modificationTime").alias("modified_ms"), F.col("length").alias("size_bytes"))
         .where("size_bytes > 0")
-        .orderBy(F.col("modified_ms").desc(), "path")
     )
-    return files if cap is None else files.limit(cap)
 
 
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
