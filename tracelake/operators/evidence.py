@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.conditions import parse_condition
 from ..functions.urls import archive_embedded_location, normalize_location
 from ..runtime import stage
-from .ingest import cycle_nodes
+from .ingest import cycle_edges
 from .ordered import ordered_scan, running_min, sequence_chunk
 
 
@@ -507,7 +507,7 @@ def reference_diagnostics(scoped: DataFrame) -> DataFrame:
     edges = local.where("target_sequence is not null and target_run_id is null").select(
         F.col("aid").alias("run_id"), "event_id", "sequence", "target_event_id", "target_sequence"
     )
-    cycles = cycle_nodes(edges).select(F.col("run_id").alias("aid"), F.lit("CYCLE").alias("kind"), "event_id", F.lit(None).cast("string").alias("target_event_id"))
+    cycles = cycle_edges(edges).select(F.col("run_id").alias("aid"), F.lit("CYCLE").alias("kind"), "event_id", "target_event_id")
     return (
         rel.where(cross).select("aid", F.lit("CROSS_RUN").alias("kind"), "event_id", "target_event_id")
         .unionByName(plain.select("aid", "kind", "event_id", "target_event_id"))

@@ -134,17 +134,20 @@ def batch_completeness(records: DataFrame, losses: DataFrame, rejects: DataFrame
     )
 
 
-def live_completeness(run_records: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """UNKNOWN until a terminal record arrives; then PARTIAL when anything was lost, else COMPLETE.
+#: Codes of what the line scan and the source watch lose.
+LOSS_CODES = ("MALFORMED_JSON", "INVALID_UTF8", "TRUNCATED_TAIL", "OVERSIZED_LINE", "SOURCE_TRUNCATED", "SOURCE_REPLACED", "SOURCE_MISSING")
 
-    ``diagnostics`` rows with code SOURCE_RESET, a loss class or severity error count against a run.
-    """
+
+def live_completeness(run_records: DataFrame, diagnostics: DataFrame, drained: DataFrame) -> DataFrame:
+    """UNKNOWN until a terminal record arrived and the run is in ``drained`` (run_id); then PARTIAL when anything was lost, else COMPLETE."""
     ended = run_records.groupBy("run_id").agg(F.bool_or(F.col("lifecycle").isin(*TERMINAL)).alias("terminal"))
-    bad = diagnostics.where((F.col("severity") == "error") | F.col("code").isin("SOURCE_RESET", "LOSS")).groupBy("run_id").agg(F.count("*").alias("_bad"))
-    return ended.join(bad, "run_id", "left").select(
+    bad = diagnostics.where((F.col("severity") == "error") | F.col("code").isin(*LOSS_CODES)).groupBy("run_id").agg(F.count("*").alias("_bad"))
+    through = drained.select("run_id").distinct().withColumn("_drained", F.lit(True))
+    closed = F.col("terminal") & F.coalesce("_drained", F.lit(False))
+    return ended.join(bad, "run_id", "left").join(through, "run_id", "left").select(
         "run_id",
         "terminal",
-        F.when(F.coalesce("_bad", F.lit(0)) > 0, "PARTIAL").when(F.col("terminal"), "COMPLETE").otherwise("UNKNOWN").alias("completeness"),
+        F.when(~F.coalesce(closed, F.lit(False)), "UNKNOWN").when(F.coalesce("_bad", F.lit(0)) > 0, "PARTIAL").otherwise("COMPLETE").alias("completeness"),
     )
 
 
@@ -162,42 +165,53 @@ def relation_rows(events: DataFrame) -> DataFrame:
     ).withColumnRenamed("type", "relation")
 
 
-def _first_cycle(key: tuple, rows: list[dict]) -> list[tuple]:
-    """Earliest event that lies on a cycle of one stretch (see ``cycle_nodes``)."""
-    edges: dict[str, list[str]] = {}
-    place = {}
+def _back_edges(key: tuple, rows: list[dict]) -> list[tuple]:
+    """Edges of one stretch that step forward and lie on a cycle: both ends are in one strongly connected component."""
+    targets: dict[str, list[str]] = {}
     for r in rows:
-        edges.setdefault(r["event_id"], []).append(r["target_event_id"])
-        place[r["event_id"]] = r["sequence"]
-    # Strip nodes that lead nowhere or that nothing leads to; what stays holds a cycle.
-    while True:
-        targets = {t for ts in edges.values() for t in ts}
-        kept = {s: [t for t in ts if t in edges] for s, ts in edges.items() if s in targets}
-        kept = {s: ts for s, ts in kept.items() if ts}
-        if kept == edges:
-            break
-        edges = kept
-    for start in sorted(edges, key=place.get):
-        seen, stack = set(), list(edges[start])
-        while stack:
-            node = stack.pop()
-            if node == start:
-                return [(key[0], start, int(place[start]))]
-            if node not in seen:
-                seen.add(node)
-                stack.extend(edges.get(node, []))
-    return []
-
-
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """First event on a cycle per run. ``edges``: run_id, event_id, sequence, target_event_id, target_sequence.
+        targets.setdefault(r["event_id"], []).append(r["target_event_id"])
+    index, low, component, held = {}, {}, {}, []
+    for start in targets:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        held.append(start)
+        path = [(start, iter(targets[start]))]
+        while path:
+            node, rest = path[-1]
+            for target in rest:
+                if target not in index:
+                    index[target] = low[target] = len(index)
+                    held.append(target)
+                    path.append((target, iter(targets.get(target, ()))))
+                    break
+                if target not in component:
+                    low[node] = min(low[node], index[target])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == index[node]:
+                    while node not in component:
+                        component[held.pop()] = index[node]
+    return [
+        (key[0], r["event_id"], int(r["sequence"]), r["target_event_id"])
+        for r in rows
+        if r["target_sequence"] > r["sequence"] and component[r["event_id"]] == component[r["target_event_id"]]
+    ]
+
+
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """Every relation that closes a cycle: run_id, event_id, sequence, target_event_id. ``edges`` also have target_sequence.
+
+    Of the relations on a cycle, those that point to a later event or to their own event close it.
 
     A cycle must step forward in the sequence somewhere, and its whole span is covered by forward
     edges. Relations normally point backward, so only edges inside a stretch covered by forward edges
     can matter, and only those few are searched, one stretch at a time.
     """
     edges = stage(edges)
-    loops = edges.where("target_sequence = sequence").select("run_id", "event_id", "sequence")
+    loops = edges.where("target_sequence = sequence").select("run_id", "event_id", "sequence", "target_event_id")
     edges = edges.where("target_sequence <> sequence")
     forward = edges.where("target_sequence > sequence")
     moves = forward.select(
@@ -220,9 +234,9 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     inside = opened.where("pass = 1 and depth > 0").select("run_id", F.col("at").alias("sequence"), "stretch")
     target = inside.select("run_id", F.col("sequence").alias("target_sequence"), F.col("stretch").alias("_target_stretch"))
     core = edges.join(inside, ["run_id", "sequence"]).join(target, ["run_id", "target_sequence"]).where("stretch = _target_stretch")
-    rows = core.select("run_id", "stretch", "event_id", "sequence", "target_event_id")
-    found = fold_groups(rows, ["run_id", "stretch"], ["sequence"], _first_cycle, "run_id string, event_id string, sequence bigint").unionByName(loops)
-    return found.groupBy("run_id").agg(F.min(F.struct("sequence", "event_id")).alias("_f")).select("run_id", "_f.event_id", "_f.sequence")
+    rows = core.select("run_id", "stretch", "event_id", "sequence", "target_event_id", "target_sequence")
+    found = fold_groups(rows, ["run_id", "stretch"], ["sequence"], _back_edges, "run_id string, event_id string, sequence bigint, target_event_id string")
+    return found.unionByName(loops)
 
 
 def relation_diagnostics(events: DataFrame) -> DataFrame:
@@ -232,7 +246,7 @@ def relation_diagnostics(events: DataFrame) -> DataFrame:
     known = events.select("run_id", F.col("event_id").alias("target_event_id"), F.col("sequence").alias("target_sequence"))
     local = rel.where(~cross).join(known, ["run_id", "target_event_id"], "left")
     dangling = local.where("target_sequence is null")
-    cycles = cycle_nodes(local.where("target_sequence is not null").select("run_id", "event_id", "sequence", "target_event_id", "target_sequence"))
+    cycles = cycle_edges(local.where("target_sequence is not null").select("run_id", "event_id", "sequence", "target_event_id", "target_sequence"))
     return (
         diagnostic(rel.where(cross), "CROSS_RUN_RELATION", "warning")
         .unionByName(diagnostic(dangling, "DANGLING_RELATION", "warning"))
@@ -266,10 +280,14 @@ def ingest_report(accepted: DataFrame, duplicates: DataFrame, runs: DataFrame, c
     )
 
 
-def same_frames(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two loads of the same input are equal, rows counted."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+def same_loads(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: records of the first load, and whether both have the same rows, by an order-free digest of each."""
+    def digest(df: DataFrame) -> DataFrame:
+        return df.select(*a.columns).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*a.columns).cast("decimal(38,0)")).alias("sum"))
+
+    both = digest(a).withColumn("load", F.lit(0)).union(digest(b).withColumn("load", F.lit(1)))
+    same = (F.min("n") == F.max("n")) & F.coalesce(F.min("sum") == F.max("sum"), F.min("n") == 0)
+    return both.agg(F.min_by("n", "load").alias("records"), same.alias("same"))
 
 
 def diagnostic_counts(diagnostics: DataFrame) -> DataFrame:

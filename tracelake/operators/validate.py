@@ -386,9 +386,11 @@ def _payload_rules(v) -> tuple[list, list]:
     return errors, warnings
 
 
-def validate_records(lines: DataFrame, body: str = "raw") -> tuple[DataFrame, DataFrame]:
+def validate_records(lines: DataFrame, prefix: str, body: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Trace records: valid rows (with ``v`` and ``body``), and a diagnostic row per finding.
 
+    ``prefix`` is what the categories of the traces begin with, such as ``TRACE_``.
+
     Diagnostics: the columns of the line, code, severity, field. Errors reject, the rest does not.
     """
     keep = [c for c in lines.columns if c != body]
@@ -412,7 +414,8 @@ def validate_records(lines: DataFrame, body: str = "raw") -> tuple[DataFrame, Da
         *_required_text(at(v, "adapterVersion"), "adapterVersion"),
     ])
     prov, origin, source, rels = at(v, "provenance"), at(v, "origin"), at(v, "source"), at(v, "relations")
-    category = F.regexp_extract(text(at(prov, "category")), "^[A-Z]+_(REPORTED|OBSERVED|INFERRED)$", 1)
+    named = text(at(prov, "category"))
+    category = F.coalesce(F.when(named.isin(*[prefix + c for c in ("REPORTED", "OBSERVED", "INFERRED")]), F.substring(named, len(prefix) + 1, 8)), F.lit(""))
     observed, inferred = at(prov, "observed"), at(prov, "inferred")
     locators = [at(observed, n) for n in ("file", "recordId", "toolCallId", "toolResultId")]
     located = F.lit(False)

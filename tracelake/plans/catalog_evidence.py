@@ -173,10 +173,10 @@ asu AS (SELECT aid, completeness, split_part(x, ':', 1) AS support, split_part(x
 _REFD = """
 rl AS (SELECT *, (SELECT max(t.sequence) FROM sc t WHERE t.aid = e.aid AND t.event_id = e.rel_target) AS tseq FROM sc e WHERE rel_target IS NOT NULL),
 wk AS (SELECT aid, event_id AS src, rel_target AS cur FROM rl WHERE tseq IS NOT NULL AND rel_run IS NULL UNION SELECT w.aid, w.src, l.rel_target FROM wk w JOIN rl l ON l.aid = w.aid AND l.event_id = w.cur WHERE l.tseq IS NOT NULL AND l.rel_run IS NULL),
-cy AS (SELECT w.aid, arg_min(w.src, r.sequence) AS event_id FROM wk w JOIN rl r ON r.aid = w.aid AND r.event_id = w.src WHERE w.src = w.cur GROUP BY 1),
+cy AS (SELECT aid, event_id, rel_target FROM rl l WHERE rel_run IS NULL AND (tseq = sequence OR (tseq > sequence AND EXISTS (SELECT 1 FROM wk w WHERE w.aid = l.aid AND w.src = l.rel_target AND w.cur = l.event_id)))),
 rd AS (SELECT aid, 'CROSS_RUN' AS kind, event_id, rel_target AS target_event_id, 'PENDING' AS status FROM rl WHERE rel_run IS NOT NULL AND rel_run <> run_id
   UNION ALL SELECT aid, CASE WHEN tseq IS NULL THEN 'DANGLING' ELSE 'LATE_RESOLVED' END, event_id, rel_target, CASE WHEN tseq IS NULL THEN 'PENDING' ELSE 'RESOLVED' END FROM rl WHERE (rel_run IS NULL OR rel_run = run_id) AND (tseq IS NULL OR tseq > sequence)
-  UNION ALL SELECT aid, 'CYCLE', event_id, NULL, 'PENDING' FROM cy)"""
+  UNION ALL SELECT aid, 'CYCLE', event_id, rel_target, 'PENDING' FROM cy)"""
 _LENS = """
 ob AS (SELECT s.aid, CASE WHEN bool_or(type = 'COMPARE') THEN 'COMPARE' WHEN bool_or(type IN ('VERIFY','CONTRADICTION')) THEN 'VERIFY' WHEN bool_or(type = 'RECOMMEND') THEN 'DECIDE' WHEN count(*) FILTER (WHERE type = 'SEARCH') >= 4 THEN 'IDEATE'
    WHEN EXISTS (SELECT 1 FROM cl c WHERE c.aid = s.aid AND regexp_matches(lower(text), '\\b(risk|assess|assessment|posture|freshness|vulnerability|vulnerabilities|benchmark)\\b')) THEN 'ASSESS' WHEN bool_or(type IN ('CLAIM','READ')) THEN 'EXPLAIN' ELSE 'UNKNOWN' END AS observed FROM sc s GROUP BY s.aid),

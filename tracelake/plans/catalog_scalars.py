@@ -159,8 +159,8 @@ QUERIES = {
     "val_session_events": lambda s, d: V.validate_session_events(records(s, d))[1].select("event_id", F.size("errors").alias("errors"), F.get("errors", 0).alias("first_error")),
     "val_session_events_valid": lambda s, d: V.validate_session_events(records(s, d))[0].select("event_id"),
     "val_evidence": lambda s, d: V.validate_evidence(evidence_records(s, d))[1].select("event_id", F.array_join("errors", "; ").alias("errors")),
-    "val_trace_records": lambda s, d: V.validate_records(trace_records(s, d))[1],
-    "val_trace_records_valid": lambda s, d: V.validate_records(trace_records(s, d))[0].select("event_id"),
+    "val_trace_records": lambda s, d: V.validate_records(trace_records(s, d), "TRACE_")[1],
+    "val_trace_records_valid": lambda s, d: V.validate_records(trace_records(s, d), "TRACE_")[0].select("event_id"),
 }
 
 

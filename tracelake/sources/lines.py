@@ -37,6 +37,10 @@ def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         rows.withColumn("byte_length", size), ["file"], ["_block", "_row"], F.col("_block"),
         line_no=running_sum(F.lit(1)), byte_offset=running_sum(F.col("byte_length") + 1, inclusive=False),
     )
+    # The reader drops a byte order mark: then the lines are three bytes short of the file.
+    whole = numbered.groupBy("file").agg(F.max(F.col("byte_offset") + F.col("byte_length") + 1).alias("_whole"))
+    mark = F.when(F.col("file_size") - F.col("_whole") >= 2, 3).otherwise(0)
+    numbered = numbered.join(whole, "file").withColumn("byte_offset", F.col("byte_offset") + mark)
     ended = F.col("byte_offset") + F.col("byte_length") < F.col("file_size")
     return numbered.select("file", "line_no", "byte_offset", "byte_length", "raw", ended.alias("ended"))
 
