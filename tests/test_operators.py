@@ -140,19 +140,6 @@ def test_checkpoints_equal_the_scan(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
-def test_evaluator_faults_stay_apart(spark):
-    points = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3)], "aid string, ordinal bigint")
-
-    def judge(row):
-        if row["ordinal"] == 2:
-            raise ValueError("broken")
-        return {"gain": "YES", "progress": "NO" if row["ordinal"] == 1 else "MAYBE", "rethink": "UNKNOWN"}
-
-    got = {r.ordinal: r.status for r in L.evaluate_checkpoints(points, judge).collect()}
-    assert got == {1: "SUCCEEDED", 2: "FAILED", 3: "FAILED"}
-    assert {r.status for r in L.evaluate_checkpoints(points).collect()} == {"UNAVAILABLE"}
-
-
 QUICK = ("ses_problem_summary", "ses_files_x", "rep_verdict", "eva_policy", "ing_duplicates", "ans_resolve", "fn_normalize_location", "top_shared_source_edges")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import ASSESSMENT_WORDS, infer_mode
@@ -252,7 +253,6 @@ def tree_delta(before: DataFrame, after: DataFrame, keys: list[str], values: lis
 
 CHECKPOINT_BUDGET, RESERVED, COOLDOWN, NO_GAIN_WINDOW = 10, 2, 3, 4
 CONCENTRATION_READS, CONCENTRATION_SHARE = 3, 0.6
-_ROWS = 64
 HIGH = ("CONTRADICTION", "PRE_RECOMMENDATION")
 
 
@@ -283,7 +283,7 @@ def checkpoint_triggers(scoped: DataFrame, evidence: DataFrame) -> DataFrame:
     ).where((F.size("fixed") > 0) | F.col("stalled") | F.col("advice"))
 
 
-def _select(key: tuple, rows: list[dict]) -> list[tuple]:
+def _select(key: tuple, rows: list[dict], budget: int, cooldown: int) -> list[tuple]:
     """Spend the budget of one answer over its candidates in order."""
     picked, low, high, last, fired_for, keys = [], 0, 0, -999, None, set()
     for r in rows:
@@ -293,10 +293,10 @@ def _select(key: tuple, rows: list[dict]) -> list[tuple]:
         if not triggers:
             continue
         urgent = any(t in HIGH for t in triggers)
-        if low + high >= CHECKPOINT_BUDGET or (not urgent and low >= CHECKPOINT_BUDGET - RESERVED):
+        if low + high >= budget or (not urgent and low >= budget - RESERVED):
             continue
         event, at = (r["prev_event"], r["prev_seq"]) if r["advice"] else (r["event_id"], r["sequence"])
-        if not urgent and at - last < COOLDOWN:
+        if not urgent and at - last < cooldown:
             continue
         if (triggers[0], at) in keys:
             continue
@@ -308,24 +308,26 @@ def _select(key: tuple, rows: list[dict]) -> list[tuple]:
     return picked
 
 
-def select_checkpoints(scoped: DataFrame, evidence: DataFrame) -> DataFrame:
-    """At most ten checkpoints per answer.
+def select_checkpoints(scoped: DataFrame, evidence: DataFrame, budget: int = CHECKPOINT_BUDGET, cooldown: int = COOLDOWN) -> DataFrame:
+    """At most ``budget`` checkpoints per answer.
 
-    The budget bounds what can matter: ten urgent candidates, a few dozen plain ones (each selection
-    skips at most its cooldown), and the first rows of the first stalled stretches. Rows beyond these
+    The budget bounds what can matter. Urgent candidates are chosen until it is spent. A plain one is passed over only
+    if it lies within the cooldown of a choice or repeats the place of one, so ``budget`` choices pass over
+    ``cooldown`` + 1 each at most; the same holds for the rows of stalled stretches and for the stretches. Rows beyond
     can never be chosen, so each answer's selection runs over a bounded number of rows.
     """
+    most = budget * (cooldown + 3)
     cand = stage(checkpoint_triggers(scoped, evidence))
     urgent = F.col("advice") | F.array_contains("fixed", "CONTRADICTION")
     plain = ~urgent & (F.size("fixed") > 0)
     lone = ~urgent & (F.size("fixed") == 0)
     ranked = ordered_scan(cand, ["aid"], ["sequence"], sequence_chunk(), _u=running_sum(urgent.cast("int")), _p=running_sum(plain.cast("int")))
-    kept = ranked.where((urgent & (F.col("_u") <= CHECKPOINT_BUDGET)) | (plain & (F.col("_p") <= _ROWS))).drop("_u", "_p")
+    kept = ranked.where((urgent & (F.col("_u") <= budget)) | (plain & (F.col("_p") <= most))).drop("_u", "_p")
     stalls = ordered_scan(cand.where(lone), ["aid", "gain_seq"], ["sequence"], sequence_chunk(), _r=running_sum(F.lit(1)))
     windows = ordered_scan(stalls.where("_r = 1").select("aid", "gain_seq"), ["aid"], ["gain_seq"], sequence_chunk("gain_seq"), _w=running_sum(F.lit(1)))
-    first = stalls.where(F.col("_r") <= _ROWS).join(windows.where(F.col("_w") <= _ROWS), ["aid", "gain_seq"]).select(*kept.columns)
+    first = stalls.where(F.col("_r") <= most).join(windows.where(F.col("_w") <= most), ["aid", "gain_seq"]).select(*kept.columns)
     return fold_groups(
-        kept.unionByName(first), ["aid"], ["sequence"], _select, "aid string, ordinal bigint, anchor_event string, anchor_seq bigint, source_event string, triggers string, from_seq bigint"
+        kept.unionByName(first), ["aid"], ["sequence"], partial(_select, budget=budget, cooldown=cooldown), "aid string, ordinal bigint, anchor_event string, anchor_seq bigint, source_event string, triggers string, from_seq bigint"
     )
 
 
@@ -344,41 +346,6 @@ def advisory_labels(checkpoints: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-LABELS = ("YES", "NO", "UNKNOWN")
-
-
-def evaluate_checkpoints(checkpoints: DataFrame, evaluator=None, timeout_s: float = 5.0) -> DataFrame:
-    """Labels by a pluggable evaluator: ``evaluator(row: dict) -> {gain, progress, rethink}``.
-
-    A failure or a wrong label marks that checkpoint FAILED, a late answer TIMED_OUT, and no evaluator
-    UNAVAILABLE; the other checkpoints go on. Checkpoints are at most ten per answer.
-    """
-    if evaluator is None:
-        none = F.lit(None).cast("string")
-        return checkpoints.select("aid", "ordinal", F.lit("UNAVAILABLE").alias("status"), none.alias("gain"), none.alias("progress"), none.alias("rethink"))
-
-    def run(batches):
-        from concurrent.futures import ThreadPoolExecutor, TimeoutError as Late
-
-        with ThreadPoolExecutor(max_workers=4) as pool:
-            for pdf in batches:
-                rows = []
-                for r in pdf.to_dict("records"):
-                    status, labels = "SUCCEEDED", {}
-                    try:
-                        labels = pool.submit(evaluator, r).result(timeout=timeout_s)
-                        if set(labels) != {"gain", "progress", "rethink"} or any(v not in LABELS for v in labels.values()):
-                            status, labels = "FAILED", {}
-                    except Late:
-                        status = "TIMED_OUT"
-                    except Exception:
-                        status = "FAILED"
-                    rows.append((r["aid"], r["ordinal"], status, labels.get("gain"), labels.get("progress"), labels.get("rethink")))
-                yield pd.DataFrame(rows, columns=["aid", "ordinal", "status", "gain", "progress", "rethink"], dtype=object).astype({"ordinal": "int64"})
-
-    return checkpoints.mapInPandas(run, "aid string, ordinal bigint, status string, gain string, progress string, rethink string")
-
-
 def mark_stale(results: DataFrame, revisions: DataFrame) -> DataFrame:
     """Results whose answer has moved on from ``revision`` become STALE; they are kept."""
     current = revisions.select("aid", F.col("revision").alias("_current"))

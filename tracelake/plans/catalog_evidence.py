@@ -177,6 +177,27 @@ cy AS (SELECT aid, event_id, rel_target FROM rl l WHERE rel_run IS NULL AND (tse
 rd AS (SELECT aid, 'CROSS_RUN' AS kind, event_id, rel_target AS target_event_id, 'PENDING' AS status FROM rl WHERE rel_run IS NOT NULL AND rel_run <> run_id
   UNION ALL SELECT aid, CASE WHEN tseq IS NULL THEN 'DANGLING' ELSE 'LATE_RESOLVED' END, event_id, rel_target, CASE WHEN tseq IS NULL THEN 'PENDING' ELSE 'RESOLVED' END FROM rl WHERE (rel_run IS NULL OR rel_run = run_id) AND (tseq IS NULL OR tseq > sequence)
   UNION ALL SELECT aid, 'CYCLE', event_id, rel_target, 'PENDING' FROM cy)"""
+_CHECKPOINTS = """
+ck0 AS (SELECT aid, event_id, sequence, type, admissibility, lag(event_id) OVER w AS prev_event, lag(sequence) OVER w AS prev_seq, count(*) FILTER (type = 'READ') OVER w AS reads,
+  count(*) FILTER (type = 'READ') OVER (PARTITION BY aid, coalesce(source, 'unknown') ORDER BY sequence) AS own_reads, max(sequence) FILTER (admissibility = 'ADMISSIBLE') OVER w AS gain_seq FROM em WINDOW w AS (PARTITION BY aid ORDER BY sequence)),
+ck1 AS (SELECT *, list_filter([CASE WHEN type = 'CONTRADICTION' THEN 'CONTRADICTION' END, CASE WHEN type IN ('SEARCH', 'HYPOTHESIS') THEN 'NEW_BRANCH' END,
+    CASE WHEN type = 'READ' AND reads >= 3 AND own_reads / reads >= 0.6 THEN 'SOURCE_CONCENTRATION_THRESHOLD' END], lambda x: x IS NOT NULL) AS fixed,
+  coalesce(sequence - gain_seq >= 4, FALSE) AS stalled, type = 'RECOMMEND' AND prev_event IS NOT NULL AS advice FROM ck0),
+ck2 AS (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY sequence) AS n FROM ck1),
+ck3 AS (SELECT aid, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS high, CAST(-999 AS BIGINT) AS last, CAST(NULL AS BIGINT) AS fired, CAST([] AS VARCHAR[]) AS keys, FALSE AS picked,
+    CAST(NULL AS BIGINT) AS ordinal, CAST(NULL AS VARCHAR) AS anchor_event, CAST(NULL AS BIGINT) AS anchor_seq, CAST(NULL AS VARCHAR) AS source_event, CAST(NULL AS VARCHAR) AS triggers, CAST(NULL AS BIGINT) AS from_seq
+  FROM (SELECT DISTINCT aid FROM ck2)
+  UNION ALL SELECT aid, n, CASE WHEN picked AND NOT urgent THEN low + 1 ELSE low END, CASE WHEN picked AND urgent THEN high + 1 ELSE high END, CASE WHEN picked THEN place ELSE last END,
+    CASE WHEN picked AND lone THEN gain_seq ELSE fired END, CASE WHEN picked THEN list_append(keys, key) ELSE keys END, picked, low + high + 1, anchor, place, event_id, array_to_string(trig, ','), greatest(0, last)
+  FROM (SELECT *, len(trig) > 0 AND low + high < 10 AND (urgent OR (low < 8 AND place - last >= 3)) AND NOT list_contains(keys, key) AS picked FROM (
+    SELECT *, list_contains(trig, 'CONTRADICTION') OR list_contains(trig, 'PRE_RECOMMENDATION') AS urgent, trig[1] || '@' || place AS key FROM (
+      SELECT c.aid, c.n, s.low, s.high, s.last, s.fired, s.keys, c.event_id, c.gain_seq, c.stalled AND s.fired IS DISTINCT FROM c.gain_seq AS lone,
+        CASE WHEN c.advice THEN c.prev_event ELSE c.event_id END AS anchor, CASE WHEN c.advice THEN c.prev_seq ELSE c.sequence END AS place,
+        list_concat(list_concat(c.fixed, CASE WHEN c.stalled AND s.fired IS DISTINCT FROM c.gain_seq THEN ['NO_EVIDENCE_GAIN_WINDOW'] ELSE [] END), CASE WHEN c.advice THEN ['PRE_RECOMMENDATION'] ELSE [] END) AS trig
+      FROM ck3 s JOIN ck2 c ON c.aid = s.aid AND c.n = s.n + 1)))),
+ck AS (SELECT aid, ordinal, anchor_event, anchor_seq, source_event, triggers, from_seq FROM ck3 WHERE picked),
+cb AS (SELECT c.*, coalesce(m.admissibility = 'ADMISSIBLE', FALSE) AS gain, contains(triggers, 'CONTRADICTION') AS contra, contains(triggers, 'SOURCE_CONCENTRATION_THRESHOLD') AND contains(triggers, 'NO_EVIDENCE_GAIN_WINDOW') AS stuck
+  FROM ck c LEFT JOIN em m ON m.aid = c.aid AND m.event_id = c.source_event)"""
 _LENS = """
 ob AS (SELECT s.aid, CASE WHEN bool_or(type = 'COMPARE') THEN 'COMPARE' WHEN bool_or(type IN ('VERIFY','CONTRADICTION')) THEN 'VERIFY' WHEN bool_or(type = 'RECOMMEND') THEN 'DECIDE' WHEN count(*) FILTER (WHERE type = 'SEARCH') >= 4 THEN 'IDEATE'
    WHEN EXISTS (SELECT 1 FROM cl c WHERE c.aid = s.aid AND regexp_matches(lower(text), '\\b(risk|assess|assessment|posture|freshness|vulnerability|vulnerabilities|benchmark)\\b')) THEN 'ASSESS' WHEN bool_or(type IN ('CLAIM','READ')) THEN 'EXPLAIN' ELSE 'UNKNOWN' END AS observed FROM sc s GROUP BY s.aid),
@@ -226,6 +247,10 @@ ORACLES = {
     "evd_relations": _sql("""SELECT aid, 'rel-' || event_id || '-' || rel_target || '-' || lower(rel_type) AS relation_id, rel_type AS type, event_id AS from_id, rel_target AS to_id FROM sc WHERE rel_target IS NOT NULL
        UNION ALL SELECT s.aid, 'rel-claim-' || event_id || '-' || coalesce(canonical, 'src-' || claim_source) || '-cites', 'CITES', 'claim-' || event_id, coalesce(canonical, 'src-' || claim_source) FROM sc s LEFT JOIN cs c ON c.aid = s.aid AND c.source_id = s.claim_source WHERE type = 'CLAIM' AND claim_source IS NOT NULL""", _REFS),
     "evd_reference_diagnostics": _sql("SELECT * FROM rd", _REFD),
+    "ckp_select": _sql("SELECT * FROM ck", _REFS, _CHECKPOINTS),
+    "ckp_labels": _sql("""SELECT aid, ordinal, anchor_event, triggers, CASE WHEN gain THEN 'YES' ELSE 'NO' END AS evidence_gain, CASE WHEN gain AND NOT contra THEN 'YES' ELSE 'NO' END AS progress,
+       CASE WHEN contra OR stuck THEN 'YES' ELSE 'NO' END AS rethink FROM cb""", _REFS, _CHECKPOINTS),
+    "ckp_mark_stale": _sql("SELECT aid, ordinal, CASE WHEN completeness = 'PARTIAL' THEN 'STALE' ELSE 'SUCCEEDED' END AS status, CAST(length(aid) AS INT) AS revision FROM ck JOIN tq USING (aid)", _REFS, _CHECKPOINTS),
     "evd_lane_counts": _sql("SELECT aid, count(*) FILTER (WHERE l = 'OBSERVED') AS observed, count(*) FILTER (WHERE l = 'REPORTED') AS reported, count(*) FILTER (WHERE l = 'INFERRED') AS inferred, CAST(0 AS BIGINT) AS unknown FROM (SELECT aid, effective AS l FROM em UNION ALL SELECT aid, category FROM cl) GROUP BY 1", _REFS, _CLAIMS),
     "evd_input_revision": _sql("SELECT aid, v AS value, CAST(total AS BIGINT) AS records FROM cz WHERE last", "od AS (SELECT aid, event_id || '|' || type || '|' || category AS body, sequence // 65536 AS part, row_number() OVER (PARTITION BY aid, sequence // 65536 ORDER BY sequence) AS i, count(*) OVER (PARTITION BY aid, sequence // 65536) AS n FROM sc)",
         "ch AS (SELECT aid, part, sha256(chr(10) || body) AS v, i, n, i = n AS last FROM od WHERE i = 1 UNION ALL SELECT o.aid, o.part, sha256(c.v || chr(10) || o.body), o.i, o.n, o.i = o.n FROM ch c JOIN od o ON o.aid = c.aid AND o.part = c.part AND o.i = c.i + 1)",
