@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import device, lines as L, session_logs as S
+from ..sources import device, lines as L, replay_logs as P, session_logs as S
 from . import bind
 from .catalog_replay import events as replay_events
+from .catalog_scalars import SECRET, _hmac
 from .catalog_sessions import events as session_events
 
 
@@ -39,7 +40,41 @@ def captures(s, d):
     return bind.raw_events(s, d).select(F.col("event_id").alias("attempt_id"), snap.alias("snapshot_text"), logs.alias("logs_text"))
 
 
+def chat_log(s, d):
+    """Events as a chat log, one file per user: a call and, for most, the result on the next line; every eleventh call line is torn."""
+    e = bind.raw_events(s, d).withColumn("at", F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+    k, kind, text = F.col("k"), F.col("event_type"), F.col("k").cast("string")
+    path = F.concat(F.lit("/w/src/m"), text, F.when(k % 3 == 0, ".test.ts").otherwise(".ts"))
+    name = F.when(kind == "view", "Read").when(kind == "purchase", "Edit").when(kind == "signup", "Write").otherwise("Bash")
+    shape = "struct<file_path:string,old_string:string,new_string:string,content:string,command:string>"
+    given = F.struct(
+        F.when(~kind.isin("click", "error"), path).alias("file_path"), F.when(kind == "purchase", text).alias("old_string"), F.when(kind == "purchase", F.concat(text, F.lit("x"))).alias("new_string"),
+        F.when(kind == "signup", F.concat(F.lit("c"), text)).alias("content"), F.when(kind == "click", "npm test").when(kind == "error", "ls").alias("command"),
+    ).cast(shape)
+    call = F.concat(F.lit("t"), F.col("event_id").cast("string"))
+    said = F.to_json(F.struct(
+        F.lit("assistant").alias("type"), F.col("at").alias("timestamp"), F.concat(F.lit("session-"), F.col("user_id").cast("string")).alias("sessionId"), F.lit("/w").alias("cwd"),
+        F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), name.alias("name"), call.alias("id"), given.alias("input"))).alias("content")).alias("message"),
+    ))
+    said = F.when(F.col("event_id") % 11 == 0, F.substring(said, F.lit(1), F.length(said) - 1)).otherwise(said)
+    bad = kind.isin("click", "error") & (k % 4 == 0)
+    heard = F.when(k % 5 != 0, F.to_json(F.struct(
+        F.lit("user").alias("type"), F.col("at").alias("timestamp"),
+        F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), call.alias("tool_use_id"), bad.alias("is_error"), F.concat(text, F.lit(" tests failed")).alias("content"))).alias("content")).alias("message"),
+        F.struct(k.cast("double").alias("durationMs")).alias("toolUseResult"),
+    )))
+    lines = F.array(F.struct((F.col("event_id") * 2).alias("line_no"), said.alias("raw")), F.struct((F.col("event_id") * 2 + 1).alias("line_no"), heard.alias("raw")))
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.inline(lines)).where("raw is not null")
+
+
+def chat_replay(s, d):
+    events = P.claude_replay(chat_log(s, d), SECRET)[0]
+    return events.withColumn("failure_sig", F.col("failure_sig").isNotNull()).drop("source")
+
+
 QUERIES = {
+    "src_chat_replay": chat_replay,
+    "src_chat_replay_files": lambda s, d: P.claude_replay(chat_log(s, d))[1],
     "src_generic_events": lambda s, d: S.generic_events(session_log(s, d))[0].select("id", "session_id", "agent_id", "type", "ts_ms", "input_index", "file_path", "command", "status", "error", "exit_code", "meta_role", "source"),
     "src_tolerant_warnings": lambda s, d: L.scan_tolerant(session_log(s, d))[1],
     "src_detect_adapter": lambda s, d: L.detect_adapter(session_log(s, d)),
@@ -47,7 +82,25 @@ QUERIES = {
     "src_device_captures": lambda s, d: device.capture_evidence(captures(s, d)),
 }
 
+_CHAT = """
+WITH ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 1000 AS ts_ms FROM events),
+ln AS (SELECT *, event_id % 11 = 0 AS torn, k % 5 <> 0 AS heard FROM ev),
+fs AS (SELECT user_id, arg_min(ts_ms, event_id * 2 + CAST(torn AS INT)) AS started_ms, max(ts_ms) AS last_ms FROM ln WHERE NOT torn OR heard GROUP BY 1)"""
+
 ORACLES = {
+    "src_chat_replay": f"""{_CHAT},
+       cl AS (SELECT *, event_type IN ('purchase', 'signup') AS impl, event_type IN ('click', 'error') AS shell, event_type = 'click' AS tested, event_type IN ('click', 'error') AND k % 4 = 0 AS bad FROM ln JOIN fs USING (user_id) WHERE NOT torn)
+       SELECT 'u' || user_id AS file, 'session-' AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,
+         CASE WHEN impl THEN 'implementation' WHEN tested THEN 'verification' WHEN shell THEN 'other' ELSE 'observation' END AS event_type, ts_ms - started_ms AS ts_offset,
+         CASE event_type WHEN 'view' THEN 'Read' WHEN 'purchase' THEN 'Edit' WHEN 'signup' THEN 'Write' ELSE 'Bash' END AS tool_name, CASE WHEN heard THEN NOT bad END AS ok,
+         CASE WHEN tested THEN 'test' END AS verification_kind, CASE WHEN impl THEN 1 END AS changed_files,
+         CASE event_type WHEN 'purchase' THEN {_hmac("'{\"v\":2,\"op\":\"edit\",\"parts\":[\"' || k || '\",\"' || k || 'x\"]}'")} WHEN 'signup' THEN {_hmac("'{\"v\":2,\"op\":\"write\",\"parts\":[\"c' || k || '\"]}'")} END AS change_hash,
+         CASE WHEN impl THEN 'content' END AS fingerprint_basis, tested AND bad AND heard AS failure_sig, CASE WHEN tested AND heard THEN CASE WHEN bad THEN k ELSE 0 END END AS tests_failed,
+         CASE WHEN heard THEN CAST(k AS DOUBLE) END AS duration_ms, CASE WHEN impl THEN count(*) FILTER (impl) OVER (PARTITION BY user_id ORDER BY event_id) END AS turn, CASE WHEN impl THEN k % 3 = 0 END AS test_only,
+         CASE WHEN NOT shell THEN 'src/m' || k || CASE WHEN k % 3 = 0 THEN '.test.ts' ELSE '.ts' END END AS path FROM cl""",
+    "src_chat_replay_files": f"""{_CHAT}
+       SELECT 'u' || user_id AS file, CASE WHEN bool_or(NOT torn) THEN 'session-' ELSE 'session' END AS session_id, count(*) + count(*) FILTER (heard) AS lines, count(*) FILTER (NOT torn) + count(*) FILTER (heard) AS parsed_lines,
+         any_value(started_ms) AS started_ms, strftime(make_timestamp(any_value(started_ms) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS started_at, any_value(last_ms) AS last_ms FROM ln LEFT JOIN fs USING (user_id) GROUP BY user_id""",
     "src_generic_events": f"WITH {bind.SESSION_EVENTS_SQL} SELECT id, session_id, agent_id, type, ts_ms, input_index, file_path, command, status, error, exit_code, meta_role, 'generic-jsonl' AS source FROM se WHERE input_index % 10 <> 7",
     "src_tolerant_warnings": f"WITH {bind.SESSION_EVENTS_SQL} SELECT session_id AS file, input_index AS line_no, 'line ' || input_index || ': invalid JSON skipped' AS warning FROM se WHERE input_index % 10 = 7",
     "src_detect_adapter": f"WITH {bind.SESSION_EVENTS_SQL}, hd AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY input_index) AS n FROM se) SELECT session_id AS file, CASE WHEN count(*) FILTER (WHERE input_index % 10 <> 7) >= greatest(1, ceil(count(*) / 2.0)) THEN 'generic-jsonl' END AS adapter FROM hd WHERE n <= 10 GROUP BY 1",
