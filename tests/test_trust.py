@@ -85,3 +85,19 @@ def test_queries_run_from_another_folder(tmp_path):
     )
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS" in out.stdout and "ROWS 0" not in out.stdout, out.stderr[-2000:]
+
+
+def test_a_changed_scope_of_equal_size_is_stale(spark):
+    from tracelake.streaming import live
+
+    answers = spark.createDataFrame([("a", "COMPLETE"), ("b", "COMPLETE"), ("none", "PARTIAL")], "receipt_id string, completeness string")
+    old = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("b", "x", 1)], "aid string, event_id string, sequence bigint")
+    new = spark.createDataFrame([("a", "z", 2), ("a", "y", 3), ("b", "x", 1)], "aid string, event_id string, sequence bigint")
+    got = {r.aid: (r.status, r.reasons) for r in live.freshness_of(live.signatures(old, answers, "1"), live.signatures(new, answers, "1")).collect()}
+    assert got == {"a": ("STALE", "SCOPE"), "b": ("CURRENT", ""), "none": ("CURRENT", "")}
+
+
+def test_an_official_role_is_a_claim_too(spark):
+    rows = [("https://10.0.0.1/x", "Notes", ["OFFICIAL"]), ("https://10.0.0.1/x", None, ["PRIMARY"]), ("https://10.0.0.1/x", "Notes", None), ("https://docs.example.org/x", "Official", ["OFFICIAL"]), ("https://spoof.example.org/", "Official", None)]
+    got = [r.spoof for r in E.flag_spoof(spark.createDataFrame(rows, "normalized string, title string, roles array<string>")).collect()]
+    assert got == [True, True, False, False, True]

@@ -57,6 +57,22 @@ def sanitize_text(c: Column, limit: int = 200) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("…"))).otherwise(c)
 
 
+def activity_snippet(p: Column) -> Column:
+    """One line on a payload: type, query, results, source_id, outcome, text, candidates, cells, description, method, result, choice."""
+    def joined(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    return (
+        F.when(p["type"] == "SEARCH", joined('"', sanitize_text(p["query"], 120), '" · ', p["results"].cast("string"), " result(s)"))
+        .when(p["type"] == "READ", joined(p["source_id"], " · ", p["outcome"]))
+        .when(p["type"].isin("CLAIM", "HYPOTHESIS"), sanitize_text(p["text"], 140))
+        .when(p["type"] == "COMPARE", joined(F.array_join(p["candidates"], " vs "), " · ", p["cells"].cast("string"), " cells"))
+        .when(p["type"] == "CONTRADICTION", sanitize_text(p["description"], 140))
+        .when(p["type"] == "VERIFY", joined(sanitize_text(p["method"], 80), " → ", p["result"]))
+        .when(p["type"] == "RECOMMEND", joined("→ ", sanitize_text(p["choice"], 120)))
+    )
+
+
 def sanitize_signature(c: Column, limit: int = 120) -> Column:
     return F.substring(squeeze(F.regexp_replace(c, r"[\x00-\x1f\x7f]+", " ")), 1, limit)
 

@@ -96,11 +96,13 @@ def source_ledger(refs: DataFrame) -> DataFrame:
 
 
 def flag_spoof(sources: DataFrame) -> DataFrame:
-    """A title that claims to be official on an address or host that cannot be."""
+    """A title, or a role in an array ``roles`` if there is one, that claims to be official on an address or host that cannot be."""
     host = F.regexp_extract("normalized", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     # Official words, and hosts that contradict them.
     bad = host.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") | F.contains(host, F.lit("spoof")) | F.contains(host, F.lit("fake-mirror"))
     claims = F.col("title").rlike("(?i)official|canonical|authoritative")
+    if "roles" in sources.columns:
+        claims = F.coalesce(claims, F.lit(False)) | F.arrays_overlap("roles", F.array(F.lit("OFFICIAL"), F.lit("PRIMARY")))
     return sources.withColumn("spoof", F.coalesce(bad & claims, F.lit(False)))
 
 

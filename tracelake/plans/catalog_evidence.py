@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E, lens as L
+from ..streaming import live
 from . import bind
 from .analysis import Analysis
 from .silver import silver
@@ -40,6 +41,12 @@ def stale(a):
     return L.mark_stale(results, now)
 
 
+def freshness(a):
+    """Reports of the first forty events of each run against all of them."""
+    stored = live.signatures(a.scoped.where("sequence <= 40"), a.answers, "1")
+    return live.freshness_of(stored, live.signatures(a.scoped, a.answers, "1"))
+
+
 def lens_state(a):
     return L.lens(a.answers.select(F.col("receipt_id").alias("aid"), "question", "override"), L.observed_mode(a.scoped, a.claims), a.scoped)
 
@@ -96,6 +103,7 @@ QUERIES = {
     "top_concentration": q(lambda a: L.concentration(a.scoped, a.evidence, a.sources)),
     "top_duration_frontier": q(lambda a: L.duration_frontier(a.branched)),
     "top_tree_delta": q(delta),
+    "str_freshness": q(freshness),
     "ckp_select": q(lambda a: a.checkpoints),
     "ckp_labels": q(lambda a: L.advisory_labels(a.checkpoints, a.evidence)),
     "ckp_mark_stale": q(stale),
@@ -247,6 +255,8 @@ ORACLES = {
     "evd_relations": _sql("""SELECT aid, 'rel-' || event_id || '-' || rel_target || '-' || lower(rel_type) AS relation_id, rel_type AS type, event_id AS from_id, rel_target AS to_id FROM sc WHERE rel_target IS NOT NULL
        UNION ALL SELECT s.aid, 'rel-claim-' || event_id || '-' || coalesce(canonical, 'src-' || claim_source) || '-cites', 'CITES', 'claim-' || event_id, coalesce(canonical, 'src-' || claim_source) FROM sc s LEFT JOIN cs c ON c.aid = s.aid AND c.source_id = s.claim_source WHERE type = 'CLAIM' AND claim_source IS NOT NULL""", _REFS),
     "evd_reference_diagnostics": _sql("SELECT * FROM rd", _REFD),
+    "str_freshness": _sql("""SELECT aid, CASE WHEN max(sequence) > 40 THEN 'STALE' ELSE 'CURRENT' END AS status, CASE WHEN max(sequence) > 40 THEN 'EVENT_COUNT,MAX_SEQUENCE,SCOPE' ELSE '' END AS reasons
+       FROM tq LEFT JOIN sc USING (aid) GROUP BY aid"""),
     "ckp_select": _sql("SELECT * FROM ck", _REFS, _CHECKPOINTS),
     "ckp_labels": _sql("""SELECT aid, ordinal, anchor_event, triggers, CASE WHEN gain THEN 'YES' ELSE 'NO' END AS evidence_gain, CASE WHEN gain AND NOT contra THEN 'YES' ELSE 'NO' END AS progress,
        CASE WHEN contra OR stuck THEN 'YES' ELSE 'NO' END AS rethink FROM cb""", _REFS, _CHECKPOINTS),

@@ -131,6 +131,29 @@ def canonical(s, d):
     return coded(s, d).select("event_id", H.canonical_json(body).alias("canonical"), H.content_hash(body).alias("content_hash"), H.record_hash(body).alias("record_hash"))
 
 
+_PAYLOADS = ("SEARCH", "READ", "CLAIM", "COMPARE", "HYPOTHESIS", "CONTRADICTION", "VERIFY", "RECOMMEND")
+
+
+def snippets(s, d):
+    """Documents as payloads of the eight types in turn, with their text where a payload has one."""
+    k, text = F.col("doc_id"), F.concat(F.lit("\x1b[1m"), "text")
+    kind = F.get(F.array(*[F.lit(x) for x in _PAYLOADS]), (k % 8).cast("int"))
+    texts = [text.alias(n) for n in ("query", "text", "description", "method", "choice")]
+    payload = F.struct(
+        kind.alias("type"), (k % 5).alias("results"), F.col("source").alias("source_id"), F.lit("SUCCESS").alias("outcome"), F.array("source", "lang").alias("candidates"),
+        (k % 7).alias("cells"), F.lit("CONFIRMED").alias("result"), *texts,
+    )
+    return documents(s, d).select("doc_id", kind.alias("type"), X.activity_snippet(payload).alias("snippet"))
+
+
+_SNIPPET = r"""
+    WITH c AS (SELECT *, trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f\x{80}-\x{9f}]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
+    SELECT doc_id, ['SEARCH', 'READ', 'CLAIM', 'COMPARE', 'HYPOTHESIS', 'CONTRADICTION', 'VERIFY', 'RECOMMEND'][doc_id % 8 + 1] AS type, CASE doc_id % 8
+      WHEN 0 THEN '"' || CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END || '" · ' || (doc_id % 5) || ' result(s)' WHEN 1 THEN source || ' · SUCCESS'
+      WHEN 3 THEN source || ' vs ' || lang || ' · ' || (doc_id % 7) || ' cells' WHEN 6 THEN CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '…' ELSE t END || ' → CONFIRMED'
+      WHEN 7 THEN '→ ' || CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '…' ELSE t END ELSE CASE WHEN length(t) > 140 THEN substr(t, 1, 140) || '…' ELSE t END END AS snippet FROM c"""
+
+
 QUERIES = {
     "fn_classify_verification": lambda s, d: coded(s, d).select("event_id", C.classify_verification(F.col("command")).alias("kind"), C.is_mobile_command(F.col("command")).alias("mobile")),
     "fn_output_numbers": lambda s, d: coded(s, d).select("event_id", C.extract_failed_count(F.col("output")).alias("failed"), C.exit_code(F.col("output")).alias("exit_code")),
@@ -150,6 +173,7 @@ QUERIES = {
     "fn_scope_hash": lambda s, d: coded(s, d).select("event_id", H.scope_hash(F.when(F.col("k") % 5 > 0, F.array(F.concat(F.lit("b"), "k"), F.concat(F.lit("a"), "user_id")))).alias("scope"), H.state_revision(scope=F.col("user_id"), count=F.col("k")).alias("state")),
     "san_redact_secrets": lambda s, d: documents(s, d).select("doc_id", F.sha2(X.redact_secrets(F.col("text")), 256).alias("redacted"), (X.redact_secrets(F.col("text")) != F.col("text")).alias("changed")),
     "san_sanitize_text": lambda s, d: documents(s, d).select("doc_id", X.sanitize_text(F.concat(F.lit("\x1b[31m"), "text", F.lit("\x07"))).alias("clean")),
+    "fn_activity_snippet": snippets,
     "san_signature": lambda s, d: documents(s, d).select("doc_id", X.sanitize_signature(F.col("text")).alias("signature")),
     "san_strip_private": private,
     "can_canonical_json": canonical,
@@ -213,6 +237,7 @@ ORACLES = {
     "fn_scope_hash": _co("""SELECT event_id, sha256(CASE WHEN k % 5 > 0 THEN array_to_string(list_sort(['b' || k, 'a' || user_id]), chr(10)) ELSE 'run-container' END) AS scope, sha256('{"count":' || k || ',"scope":' || user_id || '}') AS state FROM co"""),
     "san_redact_secrets": f"SELECT doc_id, sha256({_REDACT}) AS redacted, {_REDACT} <> text AS changed FROM documents",
     "san_sanitize_text": r"SELECT doc_id, CASE WHEN length(c) > 200 THEN substr(c, 1, 200) || '…' ELSE c END AS clean FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f\x{80}-\x{9f}]', ' ', 'g'), '\s+', ' ', 'g')) AS c FROM documents)",
+    "fn_activity_snippet": _SNIPPET,
     "san_signature": r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g'), '\s+', ' ', 'g')), 1, 120) AS signature FROM documents",
     "san_strip_private": _co("""SELECT event_id, '{"a":{"n":' || k || '},"b":[{"v":' || k || '}],"c":"password=[REDACTED]"}' AS body, 'a.Reasoning,b[0].token' AS removed FROM co"""),
     "can_canonical_json": _co("""SELECT event_id, '{"a":"x","b":{"a":' || k || ',"z":1},"sequence":' || event_id || '}' AS canonical, sha256('{"a":"x","b":{"a":' || k || ',"z":1}}') AS content_hash, sha256('{"a":"x","b":{"a":' || k || ',"z":1},"sequence":' || event_id || '}') AS record_hash FROM co"""),

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.hashing import agg_set_lanes
 from ..operators.ingest import TERMINAL
 from ..plans.analysis import Analysis
 
@@ -160,16 +161,17 @@ def source_resets(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def signatures(scoped: DataFrame, answers: DataFrame, analyzer_version: str) -> DataFrame:
-    """What a report was computed from: events, highest sequence, completeness, analyzer version."""
-    extent = scoped.groupBy("aid").agg(F.count("*").alias("events"), F.max("sequence").alias("max_sequence"))
+    """What a report was computed from: events, highest sequence, which events, completeness, analyzer version."""
+    extent = scoped.groupBy("aid").agg(F.count("*").alias("events"), F.max("sequence").alias("max_sequence"), *agg_set_lanes(F.col("event_id")))
+    scope = F.sha2(F.concat_ws("\n", *[F.col(f"_lane{i}").cast("string") for i in range(4)]), 256)
     return answers.select(F.col("receipt_id").alias("aid"), "completeness").join(extent, "aid", "left").select(
-        "aid", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("max_sequence", F.lit(0)).alias("max_sequence"), "completeness", F.lit(analyzer_version).alias("analyzer_version")
+        "aid", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("max_sequence", F.lit(0)).alias("max_sequence"), scope.alias("scope"), "completeness", F.lit(analyzer_version).alias("analyzer_version")
     )
 
 
 def freshness_of(stored: DataFrame, current: DataFrame) -> DataFrame:
     """CURRENT, STALE with reasons, or MISSING per answer."""
-    fields = {"events": "EVENT_COUNT", "max_sequence": "MAX_SEQUENCE", "completeness": "COMPLETENESS", "analyzer_version": "ANALYZER"}
+    fields = {"events": "EVENT_COUNT", "max_sequence": "MAX_SEQUENCE", "scope": "SCOPE", "completeness": "COMPLETENESS", "analyzer_version": "ANALYZER"}
     old = stored.select("aid", F.struct(*fields).alias("_old"))
     reasons = F.array_join(F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_old.{c}")), r) for c, r in fields.items()]), lambda x: x.isNotNull()), ",")
     return current.join(old, "aid", "left").select(
