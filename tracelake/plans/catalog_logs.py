@@ -74,6 +74,7 @@ def chat_replay(s, d):
 
 QUERIES = {
     "src_chat_replay": chat_replay,
+    "rep_corpus_survey": lambda s, d: P.corpus_survey(chat_log(s, d)),
     "src_chat_replay_files": lambda s, d: P.claude_replay(chat_log(s, d))[1],
     "src_generic_events": lambda s, d: S.generic_events(session_log(s, d))[0].select("id", "session_id", "agent_id", "type", "ts_ms", "input_index", "file_path", "command", "status", "error", "exit_code", "meta_role", "source"),
     "src_tolerant_warnings": lambda s, d: L.scan_tolerant(session_log(s, d))[1],
@@ -98,6 +99,16 @@ ORACLES = {
          CASE WHEN impl THEN 'content' END AS fingerprint_basis, tested AND bad AND heard AS failure_sig, CASE WHEN tested AND heard THEN CASE WHEN bad THEN k ELSE 0 END END AS tests_failed,
          CASE WHEN heard THEN CAST(k AS DOUBLE) END AS duration_ms, CASE WHEN impl THEN count(*) FILTER (impl) OVER (PARTITION BY user_id ORDER BY event_id) END AS turn, CASE WHEN impl THEN k % 3 = 0 END AS test_only,
          CASE WHEN NOT shell THEN 'src/m' || k || CASE WHEN k % 3 = 0 THEN '.test.ts' ELSE '.ts' END END AS path FROM cl""",
+    "rep_corpus_survey": f"""{_CHAT},
+       fa AS (SELECT 'line_type' AS facet, CASE WHEN torn THEN 'unreadable' ELSE 'assistant' END AS key FROM ln UNION ALL SELECT 'line_type', 'user' FROM ln WHERE heard
+         UNION ALL SELECT 'key', 'assistant.' || unnest(['type', 'timestamp', 'sessionId', 'cwd', 'message']) FROM ln WHERE NOT torn UNION ALL SELECT 'key', 'user.' || unnest(['type', 'timestamp', 'message', 'toolUseResult']) FROM ln WHERE heard
+         UNION ALL SELECT 'block_type', 'tool_use' FROM ln WHERE NOT torn UNION ALL SELECT 'block_type', 'tool_result' FROM ln WHERE heard
+         UNION ALL SELECT 'tool_name', CASE event_type WHEN 'view' THEN 'Read' WHEN 'purchase' THEN 'Edit' WHEN 'signup' THEN 'Write' ELSE 'Bash' END FROM ln WHERE NOT torn
+         UNION ALL SELECT 'first_word', CASE event_type WHEN 'click' THEN 'npm' ELSE 'ls' END FROM ln WHERE NOT torn AND event_type IN ('click', 'error')
+         UNION ALL SELECT 'edit', CASE event_type WHEN 'purchase' THEN 'replace' ELSE 'whole' END FROM ln WHERE NOT torn AND event_type IN ('purchase', 'signup')
+         UNION ALL SELECT 'pairing', CASE WHEN torn THEN 'unasked' WHEN heard THEN 'paired' ELSE 'unanswered' END FROM ln WHERE heard OR NOT torn
+         UNION ALL SELECT 'session_files', '1' FROM (SELECT DISTINCT user_id FROM ln WHERE NOT torn))
+       SELECT facet, key, count(*) AS n FROM fa GROUP BY ALL""",
     "src_chat_replay_files": f"""{_CHAT}
        SELECT 'u' || user_id AS file, CASE WHEN bool_or(NOT torn) THEN 'session-' ELSE 'session' END AS session_id, count(*) + count(*) FILTER (heard) AS lines, count(*) FILTER (NOT torn) + count(*) FILTER (heard) AS parsed_lines,
          any_value(started_ms) AS started_ms, strftime(make_timestamp(any_value(started_ms) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS started_at, any_value(last_ms) AS last_ms FROM ln LEFT JOIN fs USING (user_id) GROUP BY user_id""",

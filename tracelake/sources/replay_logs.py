@@ -107,3 +107,39 @@ def claude_replay(lines: DataFrame, secret: str | None = None) -> tuple[DataFram
     }
     names = [c.strip().split(" ") for c in REPLAY_EVENT.split(",")]
     return events.select("file", *[made.get(n, F.col(n)).cast(t).alias(n) for n, t in names]), facts
+
+
+def corpus_survey(lines: DataFrame) -> DataFrame:
+    """Histograms of a chat-style log corpus: facet, key, n.
+
+    Facets: ``line_type``, ``key`` (type and key of a line), ``block_type``, ``tool_name``, ``first_word`` of shell commands, ``edit`` (how
+    a change is given), ``pairing`` of calls and results by id within a file, and ``session_files`` (how many files a session is in).
+    """
+    fields = F.from_json("raw", "map<string,string>")
+    rows = lines.where(F.col("raw") != "").select("file", fields.alias("m"))
+    rows = rows.select("file", "m", F.coalesce(F.try_element_at("m", F.lit("type")), F.lit("unreadable")).alias("type"))
+    content = F.get_json_object(F.try_element_at("m", F.lit("message")), "$.content")
+    rows = stage(rows.select("file", "type", F.map_keys("m").alias("keys"), F.try_element_at("m", F.lit("sessionId")).alias("session"), F.from_json(F.when(F.startswith(content, F.lit("[")), content), _BLOCKS).alias("blocks")))
+
+    def facet(name: str, key: Column) -> Column:
+        return F.struct(F.lit(name).alias("facet"), key.cast("string").alias("key"))
+
+    per_line = F.concat(F.array(facet("line_type", F.col("type"))), F.coalesce(F.transform("keys", lambda k: facet("key", F.concat("type", F.lit("."), k))), F.array().cast("array<struct<facet:string,key:string>>")))
+    blocks = rows.select("file", F.explode("blocks").alias("b")).select("file", "b.*", F.from_json("b.input", _INPUT).alias("i"))
+    command = F.regexp_extract("i.command", r"^\s*(\S+)", 1)
+    edit = F.when(F.col("i.old_string").isNotNull(), "replace").when(F.col("i.content").isNotNull(), "whole").when(F.col("i.new_source").isNotNull(), "cell").when(F.size("i.edits") > 0, "many").otherwise("other")
+    per_block = F.filter(
+        F.array(
+            facet("block_type", F.col("type")), F.when(F.col("name").isNotNull(), facet("tool_name", F.col("name"))), F.when(command != "", facet("first_word", command)),
+            F.when(F.col("name").isin(*WRITE_TOOLS), facet("edit", edit)),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    counted = rows.select(F.explode(per_line).alias("f")).union(blocks.select(F.explode(per_block).alias("f"))).groupBy("f.facet", "f.key").agg(F.count("*").alias("n"))
+    ids = blocks.select("file", F.coalesce("id", "tool_use_id").alias("call"), (F.col("type") == "tool_use").alias("asked")).where("call is not null")
+    sides = ids.groupBy("file", "call").agg(F.bool_or("asked").alias("asked"), F.bool_or(~F.col("asked")).alias("answered"))
+    state = F.when(F.col("asked") & F.col("answered"), "paired").when(F.col("asked"), "unanswered").otherwise("unasked")
+    pairing = sides.groupBy(state.alias("key")).agg(F.count("*").alias("n")).select(F.lit("pairing").alias("facet"), "key", "n")
+    spread = rows.where("session is not null").select("session", "file").distinct().groupBy("session").agg(F.count("*").cast("string").alias("key"))
+    overlap = spread.groupBy("key").agg(F.count("*").alias("n")).select(F.lit("session_files").alias("facet"), "key", "n")
+    return counted.union(pairing).union(overlap)
