@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..sources import device, lines as L, replay_logs as P, session_logs as S
+from ..sources import device, lines as L, model_io, replay_logs as P, session_logs as S
 from . import bind
 from .catalog_replay import events as replay_events
 from .catalog_scalars import SECRET, _hmac
@@ -67,12 +67,40 @@ def chat_log(s, d):
     return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.inline(lines)).where("raw is not null")
 
 
+def model_log(s, d):
+    """Events as request windows, one file per user: each window repeats the results of the two calls before, and asks for one call."""
+    e = bind.raw_events(s, d)
+    k, kind, text = F.col("k"), F.col("event_type"), F.col("k").cast("string")
+    name = F.when(kind == "view", "Grep").when(kind == "click", "Bash").when(kind == "error", "Bash").when(kind == "purchase", "Edit").otherwise("Task")
+    given = F.struct(
+        F.when(kind == "purchase", F.concat(F.lit("src/m"), text, F.lit(".ts"))).alias("file_path"), F.when(kind == "click", "npm test").when(kind == "error", "ls").alias("command"),
+        F.when(kind == "signup", F.concat(F.lit("look at "), text)).alias("description"),
+    )
+    call = F.concat(F.lit("call-"), F.col("event_id").cast("string"))
+    result = F.struct(F.lit("tool").alias("role"), F.concat(text, F.lit(" tests failed")).alias("content"), call.alias("toolCallId"), (k % 3 == 0).alias("isError"))
+    e = e.withColumn("call", F.struct(call.alias("id"), name.alias("name"), given.alias("input"))).withColumn("result", result)
+    past = Window.partitionBy("user_id").orderBy("event_id")
+    user = F.struct(F.lit("user").alias("role"), F.lit("fix the build").alias("content"), F.lit(None).cast("string").alias("toolCallId"), F.lit(None).cast("boolean").alias("isError"))
+    window = F.filter(F.array(user, F.lag("result", 2).over(past), F.lag("result", 1).over(past)), lambda m: m.isNotNull())
+    raw = F.to_json(F.struct(
+        F.concat(F.lit("sess_"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("sessionId"), F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("startedAt"),
+        F.struct(window.alias("messages")).alias("request"), F.struct(F.when(k % 2 == 0, F.concat(F.lit("step "), text)).alias("text"), F.array("call").alias("toolCalls")).alias("response"),
+    ))
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("line_no"), raw.alias("raw"))
+
+
+def model_events(s, d):
+    return model_io.model_io_events(model_log(s, d)).select(
+        "file", "id", "session_id", "parent_id", "agent_id", "parent_agent_id", "type", "ts_ms", "input_index", "summary", "meta_role", "meta_tests_failed", "file_path", "command", "tool_name", "status", "error")
+
+
 def chat_replay(s, d):
     events = P.claude_replay(chat_log(s, d), SECRET)[0]
     return events.withColumn("failure_sig", F.col("failure_sig").isNotNull()).drop("source")
 
 
 QUERIES = {
+    "src_model_io_events": model_events,
     "src_chat_replay": chat_replay,
     "rep_corpus_survey": lambda s, d: P.corpus_survey(chat_log(s, d)),
     "src_chat_replay_files": lambda s, d: P.claude_replay(chat_log(s, d))[1],
@@ -89,6 +117,23 @@ ln AS (SELECT *, event_id % 11 = 0 AS torn, k % 5 <> 0 AS heard FROM ev),
 fs AS (SELECT user_id, arg_min(ts_ms, event_id * 2 + CAST(torn AS INT)) AS started_ms, max(ts_ms) AS last_ms FROM ln WHERE NOT torn OR heard GROUP BY 1)"""
 
 ORACLES = {
+    "src_model_io_events": """
+WITH ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, epoch_us(ts) // 1000 AS ts_ms FROM events),
+ln AS (SELECT *, row_number() OVER w AS i, lead(event_id) OVER w AS next_id, lead(ts_ms) OVER w AS next_ms, k % 3 = 0 AS bad,
+  CASE event_type WHEN 'view' THEN 'Grep' WHEN 'purchase' THEN 'Edit' WHEN 'signup' THEN 'Task' ELSE 'Bash' END AS tool, CASE event_type WHEN 'click' THEN 'npm test' WHEN 'error' THEN 'ls' END AS cmd,
+  CASE WHEN event_type = 'purchase' THEN 'src/m' || k || '.ts' END AS path, CASE WHEN event_type = 'signup' THEN 'sub-' || right('call-' || event_id, 8) ELSE 'main' END AS agent FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+al AS (
+  SELECT user_id, event_id AS line, ts_ms, 0 AS part, 'main' AS agent_id, 'MESSAGE' AS type, 'fix the build' AS summary, 'user' AS meta_role, NULL AS status, NULL AS tool_name, NULL AS command, NULL AS file_path, NULL AS error, NULL AS failed, NULL AS call, NULL AS answers, FALSE AS sub FROM ln WHERE i = 1
+  UNION ALL SELECT user_id, event_id, ts_ms, 2, 'main', 'MESSAGE', 'step ' || k, 'assistant', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, FALSE FROM ln WHERE k % 2 = 0
+  UNION ALL SELECT user_id, event_id, ts_ms, 3, agent, CASE event_type WHEN 'purchase' THEN 'FILE_CHANGED' WHEN 'click' THEN 'TEST_STARTED' WHEN 'error' THEN 'COMMAND_STARTED' WHEN 'signup' THEN 'SUBAGENT_STARTED' ELSE 'TOOL_CALLED' END,
+    CASE event_type WHEN 'purchase' THEN 'Modified ' || path WHEN 'signup' THEN 'Subagent started: look at ' || k WHEN 'view' THEN 'Called Grep' ELSE 'Ran ' || cmd END, NULL, 'running', tool, cmd, path, NULL, NULL, event_id, NULL, event_type = 'signup' FROM ln
+  UNION ALL SELECT user_id, next_id, next_ms, 1, agent, CASE event_type WHEN 'click' THEN CASE WHEN bad THEN 'TEST_FAILED' ELSE 'TEST_PASSED' END WHEN 'error' THEN 'COMMAND_COMPLETED' WHEN 'signup' THEN 'SUBAGENT_COMPLETED' ELSE 'TOOL_RESULT' END,
+    CASE event_type WHEN 'click' THEN 'npm test — ' || CASE WHEN bad THEN k || ' test' || CASE WHEN k = 1 THEN '' ELSE 's' END || ' failed' ELSE 'passed' END WHEN 'error' THEN 'ls finished' WHEN 'signup' THEN CASE WHEN bad THEN 'Subagent reported an error' ELSE 'Subagent finished' END ELSE tool || ' reported an error' END,
+    NULL, CASE WHEN bad THEN 'error' ELSE 'ok' END, CASE WHEN event_type <> 'signup' THEN tool END, cmd, path, CASE WHEN bad THEN k || ' tests failed' END, CASE WHEN bad AND event_type = 'click' THEN CAST(k AS DOUBLE) END, NULL, CASE WHEN event_type <> 'signup' THEN event_id END, event_type = 'signup'
+    FROM ln WHERE next_id IS NOT NULL AND (event_type IN ('click', 'error', 'signup') OR bad)),
+nm AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY line, part) AS n FROM al)
+SELECT 'u' || a.user_id AS file, 'zc' || lpad(CAST(a.n AS VARCHAR), 5, '0') AS id, lpad(CAST(a.user_id AS VARCHAR), 8, '0') AS session_id, 'zc' || lpad(CAST(b.n AS VARCHAR), 5, '0') AS parent_id, a.agent_id, CASE WHEN a.sub THEN 'main' END AS parent_agent_id,
+  a.type, a.ts_ms, a.n AS input_index, a.summary, a.meta_role, a.failed AS meta_tests_failed, a.file_path, a.command, a.tool_name, a.status, a.error FROM nm a LEFT JOIN nm b ON b.user_id = a.user_id AND b.call = a.answers""",
     "src_chat_replay": f"""{_CHAT},
        cl AS (SELECT *, event_type IN ('purchase', 'signup') AS impl, event_type IN ('click', 'error') AS shell, event_type = 'click' AS tested, event_type IN ('click', 'error') AND k % 4 = 0 AS bad FROM ln JOIN fs USING (user_id) WHERE NOT torn)
        SELECT 'u' || user_id AS file, 'session-' AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,
