@@ -15,7 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tracelake.plans import catalog  # noqa: E402
-from tracelake.runtime import local_session  # noqa: E402
+from tracelake.runtime import local_session, ship  # noqa: E402
 
 HEADLINE = (
     "ses_problem_summary", "ses_follow_ups", "ses_file_involvement", "ses_list", "ses_agent_graph",
@@ -29,6 +29,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     spark.range(1_000_000).selectExpr("sum(id)").collect()  # start the executors
     queries, times = catalog.queries(), {}
     for name in HEADLINE:
