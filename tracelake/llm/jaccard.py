@@ -1,8 +1,8 @@
 """Jaccard self-join on word n-grams: T-occurrence search with DivideSkip, sharded by part signatures.
 
 Sets of equal shingles are one class from the start. Two sets that reach the threshold differ in at most ``d``
-shingles, ``d`` following from their sizes; cut into more than ``d`` parts by shingle hash, some part of both is
-equal. Classes that share a part are one family (a part holds several shingles, so a passage or
+shingles, ``d`` following from their sizes; cut into ``d`` + ``SHARED`` parts and more by shingle hash, ``SHARED`` parts of both are
+equal. Classes that share so many parts are one family (a part holds several shingles, so a passage or
 word pair that many documents share makes no family), and only families are searched. A family is searched in
 blocks of bounded weight: per block an inverted list for each shingle; per set, the short lists are merged by
 a heap, sets seen often enough are probed in the long lists by binary search, and those that reach the required overlap are links.
@@ -32,9 +32,12 @@ from ..runtime import stage
 from .graph import components
 
 #: Rows up to which the ids of documents in families are broadcast; above, they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 #: Shingles in one side of a block. A family that has more is searched in several blocks.
 BLOCK_SHINGLES = 2_000_000
+#: Parts that two linked sets have in common at least. Lists of up to ``SHORT_LIST`` sets with an equal part are counted pair by
+#: pair; a longer list counts as enough by itself, so that no long one is written out as pairs.
+SHARED, SHORT_LIST = 3, 8
 #: Weight of the length of the longest list in the choice of how many lists are long.
 MU = 0.01
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -85,7 +88,7 @@ def _levels(measure: Measure, upto: int) -> tuple[list[int], list[tuple[int, int
     """Lower bounds of size bands, and for each band (parts, empty parts that may be left out).
 
     A band is so wide that a partner lies in the same or the next one. ``parts`` exceed the largest
-    difference of a linked pair by more than the parts that may be empty: then an equal part of a pair is not empty.
+    difference of a linked pair by ``SHARED`` and the parts that may be left out: so many equal parts are not empty.
     """
     width = max(1.3, measure.den / measure.num)
     bounds, parts = [1], []
@@ -95,9 +98,9 @@ def _levels(measure: Measure, upto: int) -> tuple[list[int], list[tuple[int, int
         d = 2 * most * (measure.den - measure.num) // (measure.den + measure.num)
         spare = 0
         for _ in range(4):
-            empty = (d + 1 + spare) * exp(-low / (d + 1 + spare))
+            empty = (d + SHARED + spare) * exp(-low / (d + SHARED + spare))
             spare = ceil(empty + 4 * sqrt(empty) + 1)
-        parts.append((d + 1 + spare, spare) if d else (0, 0))
+        parts.append((d + SHARED + spare, spare) if d else (0, 0))
     return bounds, parts
 
 
@@ -189,7 +192,7 @@ def search(sets: list[np.ndarray], sides: list[int], measure: Measure) -> list[t
 
 
 def _shingled(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set; null if empty), short (its first half) and signatures of the parts."""
+    """doc_id, n_shingles, node (a digest of the set; null if empty) and signatures of the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,38 +205,54 @@ def _shingled(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> Data
                         ids.slice(at, 1_000),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
-                        pa.array([d and int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
                         pa.array([signatures(s, measure) for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "short", "parts"],
+                    names=["doc_id", "n_shingles", "node", "parts"],
                 )
 
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string")).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, node binary, short bigint, parts array<bigint>"
+        run, "doc_id bigint, n_shingles bigint, node binary, parts array<bigint>"
     )
 
 
-def _families(sets: DataFrame) -> DataFrame:
-    """(short, family): classes that share a part with another class, directly or through others."""
-    parts = sets.where(F.col("doc_id").isNotNull()).select("short", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("short").alias("least"), F.max("short").alias("most")).where("least <> most")
-    edges = parts.join(shared.select("part", "least"), "part").where("short <> least")
-    return components(edges, "short", "least").withColumnsRenamed({"node": "short", "component": "family"})
+def _classes(sets: DataFrame) -> DataFrame:
+    """One stored row, of those with an id, for each distinct set. Equal sets are found by an aggregate of narrow rows."""
+    named = sets.where("node IS NOT NULL AND doc_id IS NOT NULL AND row IS NOT NULL")
+    first = named.groupBy("node").agg(F.min("row").alias("first"))
+    copies = stage(named.select("node", "row").join(first, "node").where("row <> first").select("row"))
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
+    return named.join(copies, "row", "left_anti")
+
+
+def _families(classes: DataFrame) -> DataFrame:
+    """(row, family): classes that have ``SHARED`` parts in common with another class, directly or through others.
+
+    The parts are dealt out once, for the aggregate that finds the shared ones and for the join that names who shares
+    them. A group of near copies has many parts, so it spreads over as many tasks, and each is passed through as it comes.
+    """
+    parts = classes.select("row", F.explode("parts").alias("part")).repartition("part")
+    shared = parts.groupBy("part").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1")
+    lists = stage(parts.join(shared.hint("merge"), "part"))
+    long = lists.where(F.col("n") > SHORT_LIST).where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    held = lists.where(F.col("n") <= SHORT_LIST).groupBy("part").agg(F.array_sort(F.collect_set("row")).alias("held"))
+    pairs = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, SHORT_LIST), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    short = held.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+    return components(long.union(short)).withColumnsRenamed({"node": "row", "component": "family"})
 
 
 def _links(docs: DataFrame, sets: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
     """(a, b): digests of linked classes, at most one row for each class of a block."""
-    classes = sets.join(_families(sets), "short").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("family").alias("family"), F.min("n_shingles").alias("n"))
-    classes = stage(classes.where(F.col("doc_id").isNotNull()))
+    rows = _classes(sets)
+    classes = stage(rows.select("row", "node", "doc_id", F.col("n_shingles").alias("n")).join(_families(rows), "row").drop("row"))
     weight = classes.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    members = classes.drop("n").join(weight.drop("n"), "family")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = members.select("doc_id", "node", "family", own.alias("own"), pair.alias("other"))
-    members = members.select("doc_id", "node", "family", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    members = classes.drop("n").join(weight.drop("n"), "family").select("doc_id", "node", "family", "blocks")
     if classes.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(members, "doc_id")
+    own, pair = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("family", own.alias("own"), pair.alias("other"), "node", "text")
+    rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -252,19 +271,20 @@ def _links(docs: DataFrame, sets: DataFrame, measure: Measure, doc_id: str, text
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([names[p] for p, _ in got]), pa.array([names[q] for _, q in got])], names=["a", "b"])
 
-    rows = rows.select("family", "i", "j", "own", "node", "text").repartition("family", "i", "j")
+    rows = rows.repartition("family", "i", "j")
     return rows.sortWithinPartitions("family", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
 def join_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document with its number of shingles and ``component_id``, the least id that links reach from it."""
     measure = Measure(n, num, den)
-    sets = stage(_shingled(docs, measure, doc_id, text))
+    sets = stage(_shingled(docs, measure, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
     named = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     linked = components(_links(docs, sets, measure, doc_id, text))
     groups = linked.join(named, "node").groupBy("component").agg(F.min("least").alias("group_id"))
     linked = linked.join(groups, "component").select("node", "group_id")
-    names = named.join(linked, "node", "left").select("node", F.coalesce("group_id", "least").alias("group_id"))
+    # stored, so that the join below has plain rows on both sides and a class with many copies can be split
+    names = stage(named.join(linked, "node", "left").select("node", F.coalesce("group_id", "least").alias("group_id")))
     found = sets.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id")).alias("component_id")
     return found.select("doc_id", "n_shingles", component)
