@@ -37,7 +37,7 @@ BROADCAST_ROWS = 300_000
 BLOCK_SHINGLES = 2_000_000
 #: Parts that two linked sets have in common at least. Lists of up to ``SHORT_LIST`` sets with an equal part are counted pair by
 #: pair; a longer list counts as enough by itself, so that no long one is written out as pairs.
-SHARED, SHORT_LIST = 3, 8
+SHARED, SHORT_LIST = 3, 32
 #: Weight of the length of the longest list in the choice of how many lists are long.
 MU = 0.01
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
