@@ -136,3 +136,33 @@ def test_near_vectors_empty_and_null(spark):
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(frame).collect()), key=str)
     assert got == [(0, 2, None, False), (1, 0, 1, True), (4, 2, 4, True), (4, 2, 4, True)]
     assert near_vectors.near_vectors(frame.limit(0)).count() == near_vectors.near_vectors(frame.where("vec_id = 1")).count() - 1 == 0
+
+
+def dense_groups(dim=48, size=90):
+    """Groups of more than 64 vectors each; the last two lie so close that they link, the others do not."""
+    rnd = np.random.default_rng(7)
+    centres = rnd.normal(size=(6, dim))
+    centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    centres[5] = centres[4] + 0.22 * centres[0]
+    return [(1000 * g + i, (c + 0.002 * rnd.normal(size=dim)).tolist()) for g, c in enumerate(centres) for i in range(size)]
+
+
+@pytest.mark.parametrize("shard", [2_000, 150])
+def test_dense_groups_in_one_shard_keep_all_links(spark, monkeypatch, shard):
+    monkeypatch.setattr(near_vectors, "SHARD", shard)
+    monkeypatch.setattr(near_vectors, "PER_CENTRE", 10_000)
+    rows = dense_groups()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept, r.audit_recall) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)).collect()}
+    want = vector_brute(rows)
+    assert len({c for _, c, _ in want.values()}) == 5 and {n for n, _, _ in want.values()} == {89, 179}
+    assert got == {i: (*w, 1.0) for i, w in want.items()}
+
+
+def test_shards_that_miss_links_are_given_up(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "OVERLAP", 1)
+    monkeypatch.setattr(near_vectors, "PER_CENTRE", 20)
+    monkeypatch.setattr(near_vectors, "fit_centres", lambda sample, wanted: sample[:wanted])  # centres that tear the group apart
+    rnd = np.random.default_rng(4)
+    rows = [(i, (np.ones(16) + 0.05 * rnd.normal(size=16)).tolist()) for i in range(200)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == vector_brute(rows)

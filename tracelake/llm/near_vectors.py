@@ -1,17 +1,16 @@
-"""Near-duplicate vectors through a robust-pruned flat graph.
+"""Near-duplicate vectors through overlapping shards that are compared exactly.
 
-Distinct vectors are assigned to their nearest centres, several each, so that the shards overlap; in each shard the nearest vectors of a vector are
-its candidates, and robust pruning keeps those that no kept neighbour is much closer to. The adjacency lists that a
-vector has in its shards are united. A range search runs for every vector in the shard of its nearest centre: greedily from the medoid
-along the graph, then from all that is near enough to whatever neighbours are near enough. What it finds is verified
-by the cosine in double precision. Recall is audited against brute force for a sample of vectors.
+Distinct vectors are assigned to their nearest centres, several each, so that the shards overlap. Every vector is compared with all
+vectors in the shard of its nearest centre, in blocks, by the cosine in double precision: a graph of the 64 nearest falls apart where dense
+groups are larger than that. Links to vectors outside of that shard are the only ones that can be missed. Recall is audited
+against brute force for a sample of vectors; under ``LEAST_RECALL`` all vectors are compared with all.
 
 Centres are fitted on a bounded sample (``CENTRE_SAMPLE`` rows a centre, ``MAX_CENTRES`` centres at most); centres that lie
-close together are thinned, so a dense group is not torn apart. Every vector is indexed and searched. A shard
+close together are thinned, so a dense group is not torn apart. Every vector is assigned and compared. A shard
 beyond ``SHARD`` vectors is split by hash, and its queries visit every part, so no task holds more than a part.
 
 Defined results: a vector that is null, zero or has a null or non-finite component links with nothing, and so do
-vectors of different lengths with one another; equal vectors are one node of the graph and link with each other; a row
+vectors of different lengths with one another; equal vectors are one node and link with each other; a row
 with a null id counts as a link of others and is reported with a null component; rows that repeat an id are rows of their own; an empty
 table gives no rows. Only the named columns are read.
 """
@@ -19,7 +18,7 @@ table gives no rows. Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +32,10 @@ SHARD = 2_000
 PER_CENTRE, OVERLAP = 500, 3
 MAX_CENTRES, CENTRE_SAMPLE = 4_096, 16
 MAX_LENGTHS = 64
-#: Candidates and neighbours of a vector in a shard, and how much closer a kept neighbour must be to displace another.
-CANDIDATES, NEIGHBOURS, ALPHA = 64, 24, 1.2
-BEAM = 32
-#: The range search passes through vectors that are this much below the threshold.
-SLACK = 0.1
-AUDITED = 256
+#: Vectors that are compared with a part of a shard at a time.
+BLOCK = 256
+#: Sampled vectors of the audit, and the recall below which its shards are given up.
+AUDITED, LEAST_RECALL = 256, 0.9
 
 
 def _unit(rows) -> np.ndarray:
@@ -62,56 +59,6 @@ def fit_centres(sample: np.ndarray, wanted: int, rounds: int = 4) -> np.ndarray:
     return np.array(kept)
 
 
-def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency of a shard of unit vectors: robust pruning of the nearest candidates, and edges in both directions."""
-    n = len(x)
-    cosine = x @ x.T
-    np.fill_diagonal(cosine, -2)
-    k = min(CANDIDATES, n - 1)
-    if k < 1:
-        return [np.zeros(0, dtype=np.int64) for _ in range(n)]
-    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    edges: list[set[int]] = [set() for _ in range(n)]
-    for i in range(n):
-        left = near[i][np.argsort(-cosine[i, near[i]], kind="stable")]
-        kept = 0
-        while len(left) and kept < NEIGHBOURS:
-            best = left[0]
-            edges[i].add(int(best))
-            edges[best].add(i)
-            kept += 1
-            left = left[1:]
-            left = left[ALPHA * (1 - cosine[best, left]) > 1 - cosine[i, left]]
-    return [np.array(sorted(e), dtype=np.int64) for e in edges]
-
-
-def range_search(x: np.ndarray, edges: list[np.ndarray], entry: int, query: np.ndarray, threshold: float) -> np.ndarray:
-    """Numbers of the vectors found whose cosine with the query is the threshold or more."""
-    cosine = np.full(len(x), -2.0)
-    open_ = np.zeros(len(x), dtype=bool)
-
-    def see(nodes: np.ndarray) -> None:
-        new = nodes[cosine[nodes] == -2.0]
-        if len(new):
-            new = np.unique(new)
-            cosine[new] = x[new] @ query
-            open_[new] = True
-
-    see(np.array([entry]))
-    while True:  # greedy: the best of the beam that are not expanded yet, a few at a time
-        seen = np.flatnonzero(cosine > -2.0)
-        beam = seen[np.argsort(-cosine[seen])[:BEAM]]
-        front = beam[open_[beam]][:4]
-        if not len(front):
-            break
-        open_[front] = False
-        see(np.concatenate([edges[i] for i in front]))
-    while len(front := np.flatnonzero(open_ & (cosine >= threshold - SLACK))):  # the range, as far as it is connected
-        open_[front] = False
-        see(np.concatenate([edges[i] for i in front]))
-    return np.flatnonzero(cosine >= threshold)
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple]:
     def each() -> Iterator[tuple]:
         for batch in batches:
@@ -138,68 +85,52 @@ def _members(nodes: DataFrame, n: int) -> DataFrame:
                 names=["shard", "home", "node", "copies", "vector"],
             )
 
-    members = stage(nodes.select("node", "copies", "vector").mapInArrow(assign, "shard bigint, home boolean, node bigint, copies bigint, vector array<double>"))
+    members = nodes.select("node", "copies", "vector").mapInArrow(assign, "shard bigint, home boolean, node bigint, copies bigint, vector array<double>")
+    return _parts(stage(members))
+
+
+def _parts(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("parts"))  # one row per centre
     members = members.join(F.broadcast(sizes), "shard")
     return members.select("shard", F.pmod(F.xxhash64("node"), "parts").alias("part"), "parts", "home", "node", "copies", "vector")
 
 
-def _adjacency(members: DataFrame) -> DataFrame:
-    """(node, near): the united adjacency lists of the shards."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 2):
-            held = list(rows)
-            ids = np.array([r[2] for r in held])
-            edges = pruned_graph(_unit([r[3] for r in held]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[e] for e in edges], pa.list_(pa.int64()))], names=["node", "near"])
-
-    rows = members.select("shard", "part", "node", "vector").repartition("shard", "part").sortWithinPartitions("shard", "part", "node")
-    lists = rows.mapInArrow(build, "node bigint, near array<bigint>")
-    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a list per shard of the node
-
-
-def _search(members: DataFrame, near: DataFrame, threshold: float) -> DataFrame:
+def _search(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links, joins): copies of other nodes found, and links that connect what was not connected in its task."""
-    linked = members.join(near, "node")
-    held = linked.select("shard", "part", F.lit(0).alias("role"), "node", "copies", "vector", "near")
-    asked = members.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "node", "copies", "vector", F.array().cast("array<bigint>").alias("near"))
+    held = members.select("shard", "part", F.lit(0).alias("role"), "node", "copies", "vector")
+    asked = members.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "node", "copies", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, 2):
-            place: dict[int, int] = {}
-            vectors, lists, copies, queries, out = [], [], [], [], []
-            for _, _, role, node, n, vector, adjacent in rows:
-                if not role:
-                    place[node] = len(place)
-                    vectors.append(vector)
-                    lists.append(adjacent)
-                    copies.append(n)
-                else:
-                    queries.append((node, vector))
-            if not place or not queries:
+            rest = ((role, node, n, vector) for _, _, role, node, n, vector in rows)
+            ids, copies, vectors, first = [], [], [], None
+            for role, node, n, vector in rest:
+                if role:
+                    first = (role, node, n, vector)
+                    break
+                ids.append(node)
+                copies.append(n)
+                vectors.append(vector)
+            if not ids or first is None:
                 continue
-            x, ids, weight = _unit(vectors), np.array(list(place)), np.array(copies)
-            edges = [np.array([place[a] for a in adjacent if a in place], dtype=np.int64) for adjacent in lists]
-            medoid = int(np.argmax(x @ x.mean(axis=0)))
-            parent: dict[int, int] = {}
-
-            def root(a: int) -> int:
-                while (b := parent.get(a, a)) != a:
-                    parent[a] = parent.get(b, b)
-                    a = b
-                return a
-
-            for node, vector in queries:
-                found = range_search(x, edges, medoid, _unit([vector])[0], threshold)
-                others = found[ids[found] != node]
-                joins = []
-                for other in ids[others].tolist():
-                    if root(other) != root(node):
-                        parent[root(other)] = root(node)
-                        joins.append(other)
-                out.append((node, int(weight[others].sum()), joins))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["node", "links", "joins"])
+            x, ids, weight = _unit(vectors), np.array(ids), np.array(copies)
+            place = {node: i for i, node in enumerate(ids.tolist())}
+            group = np.arange(len(ids))  # of each member, as far as links connect it
+            queries = chain([first], rest)
+            while block := list(islice(queries, BLOCK)):
+                near = _unit([q[3] for q in block]) @ x.T >= threshold
+                out = []
+                for (_, node, _, _), hit in zip(block, near, strict=True):
+                    own = place.get(node)
+                    if own is not None:
+                        hit[own] = False
+                    others = np.flatnonzero(hit)
+                    met, at = np.unique(group[others], return_index=True)
+                    new = met != group[own] if own is not None else np.ones(len(met), dtype=bool)
+                    if new.any():
+                        group[np.isin(group, met)] = group[own] if own is not None else met[0]
+                    out.append((node, int(weight[others].sum()), ids[others[at[new]]].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["node", "links", "joins"])
 
     both = held.union(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "role", "node")
     found = both.mapInArrow(run, "node bigint, links bigint, joins array<bigint>")
@@ -235,11 +166,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec
     parts, recalls = [], []
     for size, n in sizes:
         own = nodes.where(F.col("size") == size)
-        members = _members(own, n)
-        found = stage(_search(members, _adjacency(members), threshold))
-        parts.append(found)
         sample = own.orderBy(F.xxhash64("vector", F.lit(1))).limit(audited)
-        audit = exact_links(own, sample, threshold).join(found, "node").agg(F.sum("exact"), F.sum(F.least("exact", "links"))).first()
+        exact = stage(exact_links(own, sample, threshold))
+        for shards in (_members(own, n), _parts(own.withColumns({"shard": F.lit(0), "home": F.lit(True)}))):
+            found = stage(_search(shards, threshold))
+            audit = exact.join(found, "node").agg(F.sum("exact"), F.sum(F.least("exact", "links"))).first()
+            if not audit[0] or audit[1] >= LEAST_RECALL * audit[0]:
+                break
+        parts.append(found)
         recalls.append((audit[0] or 0, audit[1] or 0))
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"), F.lit(1.0).alias("audit_recall"))
