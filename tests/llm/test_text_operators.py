@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from tracelake.llm import decontaminate, language, licenses, pii
+from tracelake.llm import decontaminate, language, licenses, pii, url_filter
 
 DOC = "doc_id bigint, text string, lang string"
 
@@ -171,3 +171,12 @@ def test_license_scan_and_inheritance(spark):
     assert got["a/b/c/code.py"] == ("CC-BY-NC-4.0", pytest.approx(want[3][1]), "inherited", "a/b") and got["a/empty"][:1] == ("MIT",) and got["a/empty"][2:] == ("inherited", "a")
     assert got["d/x.py"] == got["e.py"] == got[None] == (None, None, None, None)
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_bad_section_among_many_is_rejected(spark):
+    sections = [f"s{chr(97 + i)}" for i in range(25)]
+    pages = [(f"http://hot.org/{s}/{i}", s == "sc" if i < 40 else None) for s in sections for i in range(60)]
+    pages += [(f"http://hot.org/few{chr(97 + i)}/1", None) for i in range(10)]
+    got = url_filter.judge(spark.createDataFrame(pages, "url string, bad boolean"), rules=(), bad="bad").collect()
+    assert {(r.path.split("/")[1], r.verdict) for r in got if r.path.startswith("/s")} == {(s, "block" if s == "sc" else "allow") for s in sections}
+    assert {(r.template.split("/")[1], r.verdict) for r in got if r.path.startswith("/few")} == {("*", "allow")}

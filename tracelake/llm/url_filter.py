@@ -2,8 +2,8 @@
 
 The tree of a host is grown level by level over distinct shapes of paths, never over pages: digits are one sign in a shape, so
 a host with a third of all pages has few shapes, and each level is a grouped aggregate. At each level
-a segment becomes ``*`` if its parent has many different segments and it is rare among them, and branches whose share of bad labels does
-not differ from that of their siblings (two-proportion test) are merged into ``~``. A template is rejected if its share of bad
+a segment becomes ``*`` if its parent has many different segments, it is rare among them and its labels are few or do not set it apart, and
+branches whose share of bad labels does not differ from that of their siblings (two-proportion test) are merged into ``~``. A template is rejected if its share of bad
 labels, smoothed towards that of all labels, reaches ``PURITY``; a template without labels is never rejected.
 
 Segments beyond ``DEPTH`` are one last segment. A url that is null or has no ``://`` has an empty host and path and is
@@ -21,7 +21,7 @@ from ..runtime import stage
 
 DEPTH = 6
 MAX_RULES = 1_000
-#: A parent with more segments than this generalises those with under ``RARE`` of its pages.
+#: A parent with more segments than this generalises those with under ``RARE`` of its pages that labels do not set apart.
 FANOUT, RARE = 20, 0.05
 #: Labels that a branch must have to be compared with its siblings, and the score below which they are alike.
 LEAST_LABELS, ALIKE = 5, 1.96
@@ -93,7 +93,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         spread = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / rest))
         enough = (F.col("labelled") >= LEAST_LABELS) & (rest >= LEAST_LABELS)
         alike = F.when(enough, F.abs(apart) <= ALIKE * spread).otherwise(False)
-        named = branches.join(whole, parent).select(*branch, F.when(rare, "*").when(alike, "~").otherwise(F.col("segment")).alias("sign"))
+        unlike = F.when(enough, F.abs(apart) > ALIKE * spread).otherwise(False)
+        named = branches.join(whole, parent).select(*branch, F.when(rare & ~unlike, "*").when(alike, "~").otherwise(F.col("segment")).alias("sign"))
         grown = F.when(F.col("sign").isNotNull(), F.concat("template", F.lit("/"), "sign")).otherwise(F.col("template"))
         now = stage(here.join(named, branch, "left").withColumn("template", grown).drop("segment", "sign"))
     return now.drop("segments")
