@@ -180,3 +180,9 @@ def test_bad_section_among_many_is_rejected(spark):
     got = url_filter.judge(spark.createDataFrame(pages, "url string, bad boolean"), rules=(), bad="bad").collect()
     assert {(r.path.split("/")[1], r.verdict) for r in got if r.path.startswith("/s")} == {(s, "block" if s == "sc" else "allow") for s in sections}
     assert {(r.template.split("/")[1], r.verdict) for r in got if r.path.startswith("/few")} == {("*", "allow")}
+
+
+def test_names_next_to_punctuation():
+    for text in ("(James Smith)", '"Mary Jones" said', "name:James Smith", "dear James Smith,", "x—Paul Miller"):
+        assert [(s.kind, text[s.start : s.end].split()[-2]) for s in pii.candidates(text)] == [("person", re.search("James|Mary|Paul", text)[0])], text
+    assert pii.candidates("nobody here") == []
