@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -173,6 +174,40 @@ def test_license_scan_and_inheritance(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+MIT_TEXT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.
+"""
+WHOLE = {"Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-3": "LGPL-3.0", "LGPL-2.1": "LGPL-2.1"}
+
+
+def test_whole_license_texts_and_wrapped_headers(spark):
+    folder = Path("/usr/share/common-licenses")
+    whole = {k: (folder / k).read_text() for k in WHOLE if (folder / k).exists()}
+    files = [("MIT/LICENSE", MIT_TEXT), ("MIT/x.py", "x"), *((f"{k}/COPYING", t) for k, t in whole.items()), *((f"{k}/x.py", "x") for k in whole)]
+    header = "/* Licensed under the Apache License,\n * Version 2.0 (the License); you may not use this\n * file except in compliance with the License. You may\n * obtain a copy of the License at\n */\nint x;"
+    gpl = "# This program is free software; you can redistribute it\n# and/or modify it under the terms of the GNU General Public License\n# as published by the Free Software Foundation; either version {0}\n# of the License, or (at your option) any later version.\nx = 1"
+    files += [("apache.c", header), ("gpl2.py", gpl.format(2)), ("gpl3.py", gpl.format(3)), ("none.py", "# a cat\n# with no licence at all\nx = 1")]
+    got = {r.path: (r.license, r.basis) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for k, name in (WHOLE | {"MIT": "MIT"}).items():
+        if k == "MIT" or k in whole:
+            assert got[f"{k}/x.py"] == (name, "inherited"), k
+    assert [got[f][0] for f in ("apache.c", "gpl2.py", "gpl3.py", "none.py")] == ["Apache-2.0", "GPL-2.0", "GPL-3.0", None]
+
+
 def test_bad_section_among_many_is_rejected(spark):
     sections = [f"s{chr(97 + i)}" for i in range(25)]
     pages = [(f"http://hot.org/{s}/{i}", s == "sc" if i < 40 else None) for s in sections for i in range(60)]

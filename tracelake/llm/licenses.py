@@ -2,7 +2,10 @@
 
 A notice is a line with a cue word; of a licence file (by its name) it is the whole text. Equal notices are scored once. Document frequencies
 count all notices of all files. A notice has the license of the closest template at a cosine of ``LEAST`` or more,
-and a file that of its best notice. A file without one inherits from the nearest directory, its own first, that holds a
+and a file that of its best notice. Wrapped headers are notices too: in a block of lines without a blank one, each run of words
+over a line's end that begins like a template and is as long. A licence file of more than ``OPENING`` words is judged by such runs only, those
+that begin in its first ``OPENING`` words before the others, for a license names other ones further down. Runs are also held
+against the titles and headers in ``BLOCKS``. A file without one inherits from the nearest directory, its own first, that holds a
 licence file; directories are resolved among themselves before files join them.
 
 Defined results: a null or empty text has no notice; a null path is a file without a directory, which inherits nothing; of equal
@@ -18,6 +21,7 @@ from ..runtime import stage
 
 LEAST = 0.55
 CUE = r"(?i)licen[cs]e|copyright|redistribut|public domain|permission is hereby granted"
+OPENING = 100
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
 # Openings of public license notices.
@@ -41,6 +45,31 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under the Creative Commons CC0 1.0 Universal dedication"),
 )
+# Titles of license texts and headers of several lines, sought as runs of words.
+_FREE = "is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version"
+BLOCKS = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MIT", "MIT License Copyright"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-1.0", "GNU General Public License Version 1, February 1989"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("GPL-2.0", f"This program {_FREE.format('General Public License', '2')}"),
+    ("AGPL-3.0", f"This program {_FREE.format('Affero General Public License', '3')}"),
+    ("LGPL-3.0", f"This library {_FREE.format('Lesser General Public License', '3')}"),
+    ("LGPL-2.1", f"This library {_FREE.format('Lesser General Public License', '2.1')}"),
+    ("LGPL-2.0", f"This library {_FREE.format('Library General Public License', '2')}"),
+)
 
 
 def _words(text: Column) -> Column:
@@ -60,25 +89,45 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
 
+def _runs(files: DataFrame, named: Column, known: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, words, template, order) of the runs of words that begin like a template, in wrapped headers and long licence files."""
+    blocks = F.filter(F.split(F.col(text), r"\n[^\p{L}\p{N}\n]*\n"), lambda x: x.rlike(CUE) & x.contains("\n"))
+    held = files.where(F.col(text).rlike(CUE)).select(F.col(path).alias("path"), named.alias("named"), F.explode(F.when(named, F.array(text)).otherwise(blocks)).alias("block"))
+    lines = F.transform(F.split("block", "\n"), lambda line, i: F.transform(_words(line), lambda w: F.struct(w.alias("word"), i.alias("line"))))
+    held = held.select("path", "named", F.flatten(lines).alias("words")).where(~F.col("named") | (F.size("words") > OPENING))
+    starts = known.select("template", F.get("words", F.lit(0)).alias("start"), F.size("words").alias("long"))
+    runs = held.select("path", "named", "words", F.posexplode("words").alias("at", "first")).join(F.broadcast(starts), F.col("first.word") == F.col("start"))
+    runs = runs.select("path", "named", "template", "at", F.slice("words", F.col("at") + 1, F.col("long")).alias("run"))
+    runs = runs.where("named OR element_at(run, 1).line < element_at(run, -1).line")
+    return runs.select("path", F.col("run.word").alias("words"), "template", F.when(F.col("named") & (F.col("at") >= OPENING), 1).otherwise(0).alias("order"))
+
+
 def matched(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, license, score) of each file with a notice close to a template."""
     named = F.element_at(F.split(F.coalesce(F.col(path), F.lit("")), "/"), -1).rlike(LICENCE_FILE)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))
-    rows = files.where(F.col(text).rlike(CUE)).select(F.col(path).alias("path"), F.explode(F.when(named, F.array(text)).otherwise(lines)).alias("notice"))
-    rows = stage(rows.select("path", _words(F.col("notice")).alias("words")).withColumn("id", F.md5(F.array_join("words", " "))))
+    rows = files.where(F.col(text).rlike(CUE)).select(F.col(path).alias("path"), named.alias("named"), F.explode(F.when(named, F.array(text)).otherwise(lines)).alias("notice"))
+    identity = F.md5(F.array_join("words", " "))
+    rows = stage(rows.select("path", "named", _words(F.col("notice")).alias("words")).withColumn("id", identity))
     distinct = stage(rows.groupBy("id").agg(F.first("words").alias("words"), F.count("*").alias("n")))
     notices = distinct.agg(F.sum("n")).first()[0] or 0
     frequency = distinct.select("n", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
     spark = files.sparkSession
-    known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
+    known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES + BLOCKS)], "template int, license string, text string")
     known = known.select("template", "license", _words(F.col("text")).alias("words"))
+    runs = stage(_runs(files, named, known, path, text).withColumn("id", identity))
     theirs = _vectors(known, "template", frequency, notices).select("template", "term", F.col("weight").alias("their_weight"), F.col("norm").alias("their_norm"))
-    own = _vectors(distinct, "id", frequency, notices)
+    judged = rows.where(~F.col("named") | (F.size("words") <= OPENING)).select("path", "id", F.lit(None).cast("int").alias("wanted"), F.lit(0).alias("order"))
+    judged = judged.union(runs.select("path", "id", F.col("template").alias("wanted"), "order"))
+    own = _vectors(distinct.select("id", "words").union(runs.select("id", "words")).dropDuplicates(["id"]), "id", frequency, notices)
     dots = own.join(F.broadcast(theirs), "term").groupBy("id", "template", "norm", "their_norm").agg(F.sum(F.col("weight") * F.col("their_weight")).alias("dot"))
-    scored = dots.join(F.broadcast(known.select("template", "license")), "template").select("id", "license", F.round(F.col("dot") / (F.col("norm") * F.col("their_norm")), 6).alias("score"))
-    best = scored.where(F.col("score") >= LEAST).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("back"), "license")).alias("best"))
-    found = rows.select("path", "id").join(best, "id").groupBy("path").agg(F.min("best").alias("best"))
-    return found.select("path", F.col("best.license").alias("license"), (-F.col("best.back")).alias("score"))
+    scored = dots.join(F.broadcast(known.select("template", "license")), "template").select("id", "template", "license", F.round(F.col("dot") / (F.col("norm") * F.col("their_norm")), 6).alias("score"))
+    near = stage(scored.where(F.col("score") >= LEAST))
+    lowest = F.min(F.struct((-F.col("score")).alias("back"), "license")).alias("best")
+    best = near.where(F.col("template") < len(TEMPLATES)).groupBy("id").agg(lowest).withColumn("wanted", F.lit(None).cast("int"))
+    best = best.union(near.groupBy("id", "template").agg(lowest).select("id", "best", F.col("template").alias("wanted")))
+    found = judged.join(best, (judged["id"] == best["id"]) & judged["wanted"].eqNullSafe(best["wanted"])).groupBy("path").agg(F.min(F.struct("order", "best")).alias("top"))
+    return found.select("path", F.col("top.best.license").alias("license"), (-F.col("top.best.back")).alias("score"))
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
