@@ -208,6 +208,14 @@ def test_whole_license_texts_and_wrapped_headers(spark):
     assert [got[f][0] for f in ("apache.c", "gpl2.py", "gpl3.py", "none.py")] == ["Apache-2.0", "GPL-2.0", "GPL-3.0", None]
 
 
+def test_every_template_is_looked_at(spark):
+    assert all(re.search(licenses.LOOK, t) for _, t in licenses.TEMPLATES)
+    isc = dict(licenses.TEMPLATES)["ISC"]
+    files = [("a.c", f"// {isc}\nint x;"), ("b.c", "// " + isc.replace("software for", "software\n// for") + "\nint x;")]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"a.c": "ISC", "b.c": "ISC"}
+
+
 def test_bad_section_among_many_is_rejected(spark):
     sections = [f"s{chr(97 + i)}" for i in range(25)]
     pages = [(f"http://hot.org/{s}/{i}", s == "sc" if i < 40 else None) for s in sections for i in range(60)]

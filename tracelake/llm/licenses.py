@@ -21,6 +21,8 @@ from ..runtime import stage
 
 LEAST = 0.55
 CUE = r"(?i)licen[cs]e|copyright|redistribut|public domain|permission is hereby granted"
+#: What is looked at: ``CUE``, and what it lacks for every template to match.
+LOOK = rf"{CUE}|permission to use|hereby granted"
 OPENING = 100
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
@@ -91,8 +93,8 @@ def _directory(path: Column) -> Column:
 
 def _runs(files: DataFrame, named: Column, known: DataFrame, path: str, text: str) -> DataFrame:
     """(path, words, template, order) of the runs of words that begin like a template, in wrapped headers and long licence files."""
-    blocks = F.filter(F.split(F.col(text), r"\n[^\p{L}\p{N}\n]*\n"), lambda x: x.rlike(CUE) & x.contains("\n"))
-    held = files.where(F.col(text).rlike(CUE)).select(F.col(path).alias("path"), named.alias("named"), F.explode(F.when(named, F.array(text)).otherwise(blocks)).alias("block"))
+    blocks = F.filter(F.split(F.col(text), r"\n[^\p{L}\p{N}\n]*\n"), lambda x: x.rlike(LOOK) & x.contains("\n"))
+    held = files.where(F.col(text).rlike(LOOK)).select(F.col(path).alias("path"), named.alias("named"), F.explode(F.when(named, F.array(text)).otherwise(blocks)).alias("block"))
     lines = F.transform(F.split("block", "\n"), lambda line, i: F.transform(_words(line), lambda w: F.struct(w.alias("word"), i.alias("line"))))
     held = held.select("path", "named", F.flatten(lines).alias("words")).where(~F.col("named") | (F.size("words") > OPENING))
     starts = known.select("template", F.get("words", F.lit(0)).alias("start"), F.size("words").alias("long"))
@@ -105,8 +107,8 @@ def _runs(files: DataFrame, named: Column, known: DataFrame, path: str, text: st
 def matched(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, license, score) of each file with a notice close to a template."""
     named = F.element_at(F.split(F.coalesce(F.col(path), F.lit("")), "/"), -1).rlike(LICENCE_FILE)
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))
-    rows = files.where(F.col(text).rlike(CUE)).select(F.col(path).alias("path"), named.alias("named"), F.explode(F.when(named, F.array(text)).otherwise(lines)).alias("notice"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(LOOK))
+    rows = files.where(F.col(text).rlike(LOOK)).select(F.col(path).alias("path"), named.alias("named"), F.explode(F.when(named, F.array(text)).otherwise(lines)).alias("notice"))
     identity = F.md5(F.array_join("words", " "))
     rows = stage(rows.select("path", "named", _words(F.col("notice")).alias("words")).withColumn("id", identity))
     distinct = stage(rows.groupBy("id").agg(F.first("words").alias("words"), F.count("*").alias("n")))
