@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, licenses, near_vectors, packing, pii, url_filter, warc
+from . import decontaminate, jaccard, language, licenses, near_vectors, packing, pii, repair, url_filter, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -76,8 +76,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_pack_matrix, op3_personal_data, op4_decontaminate, op5_license_scan, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op9_near_vectors, op10_language_id)
+    f.__name__: f for f in (op1_url_filter, op2_pack_matrix, op3_personal_data, op4_decontaminate, op5_license_scan, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op9_near_vectors, op10_language_id, op11_conversation_repair)
 }
 
 _BASE32 = " || ".join(
