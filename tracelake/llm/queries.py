@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, licenses, near_vectors, packing, pii, repair, url_filter, warc
+from . import decontaminate, jaccard, language, licenses, near_vectors, packing, pii, repair, tries, url_filter, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -80,8 +80,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_pack_matrix, op3_personal_data, op4_decontaminate, op5_license_scan, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op9_near_vectors, op10_language_id, op11_conversation_repair)
+    f.__name__: f for f in (op1_url_filter, op2_pack_matrix, op3_personal_data, op4_decontaminate, op5_license_scan, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op9_near_vectors, op10_language_id, op11_conversation_repair, op13_prefix_trie)
 }
 
 _BASE32 = " || ".join(
@@ -102,6 +106,7 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": f"SELECT CAST(regexp_extract(path, '([0-9]+)$', 1) AS BIGINT) AS doc_id, * FROM ({licenses.oracle_sql(_FILES)})",
     "op1_url_filter": url_filter.oracle_sql(_LABELLED_PAGES),
     "op4_decontaminate": decontaminate.oracle_sql(),
+    "op13_prefix_trie": tries.oracle_sql(),
     "op6_warc_archive": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex_sha1 FROM pages),
              f AS (SELECT payload, min(page_id) AS first_id FROM p GROUP BY payload)
