@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, language, licenses, near_vectors, packing, pii, repair, tries, url_filter, warc
+from . import decontaminate, jaccard, language, licenses, mixing, near_vectors, packing, pii, repair, tries, url_filter, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -80,12 +80,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_pack_matrix, op3_personal_data, op4_decontaminate, op5_license_scan, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op9_near_vectors, op10_language_id, op11_conversation_repair, op13_prefix_trie)
+    f.__name__: f for f in (op1_url_filter, op2_pack_matrix, op3_personal_data, op4_decontaminate, op5_license_scan, op6_warc_archive, op7_pack_large_items, op8_jaccard_join, op9_near_vectors, op10_language_id, op11_conversation_repair, op12_context_mixing, op13_prefix_trie)
 }
 
 _BASE32 = " || ".join(
