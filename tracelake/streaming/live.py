@@ -1,4 +1,4 @@
-"""Streaming twins of the batch operators, and incremental analysis by touched keys.
+"""Streaming twins of the batch operators, and signatures of what reports were computed from.
 
 The file source reads closed files, so producers roll their spool files; the checkpoint is the cursor
 that never splits a line. Keyed state is bounded by the watermark where one is given.
@@ -14,9 +14,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.hashing import agg_set_lanes
 from ..operators.ingest import TERMINAL
-from ..plans.analysis import Analysis
-
-WORK_TOOLS = ("Edit", "Write", "MultiEdit", "NotebookEdit")
 
 
 def read_spool(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -177,39 +174,3 @@ def freshness_of(stored: DataFrame, current: DataFrame) -> DataFrame:
     return current.join(old, "aid", "left").select(
         "aid", F.when(F.col("_old").isNull(), "MISSING").when(reasons == "", "CURRENT").otherwise("STALE").alias("status"), F.when(F.col("_old").isNotNull(), reasons).alias("reasons")
     )
-
-
-class IncrementalAnalysis:
-    """``foreachBatch`` sink that recomputes only the answers a batch touches.
-
-    Bronze keeps each batch in its own folder, so a repeated batch overwrites itself. Gold gets one row
-    set per touched answer and batch; the current report of an answer is its latest batch. Late events
-    need no special case, since a touched answer is analysed whole.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, answers: DataFrame, scope: DataFrame):
-        self.spark, self.root, self.answers, self.scope = spark, root, answers, scope
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        from ..operators.evidence import scope_events
-
-        batch.write.mode("overwrite").parquet(f"{self.root}/bronze/batch={batch_id}")
-        events = self.spark.read.parquet(f"{self.root}/bronze")
-        fresh = events.where(F.col("batch") == batch_id)
-        own = self.scope.join(self.answers.select("receipt_id", "run_id", "scope_declared"), "receipt_id")
-        exact = own.join(fresh.select("run_id", "event_id"), ["run_id", "event_id"], "left_semi").select("receipt_id")
-        open_ended = self.answers.where("not scope_declared").join(fresh.select("run_id").distinct(), "run_id", "left_semi").select("receipt_id")
-        touched = exact.union(open_ended).distinct()
-        answers = self.answers.join(touched, "receipt_id", "left_semi")
-        scope = self.scope.join(touched, "receipt_id", "left_semi")
-        a = Analysis(scope_events(events.drop("batch"), answers, scope), answers, scope)
-        a.answer_support.write.mode("overwrite").parquet(f"{self.root}/gold/batch={batch_id}")
-        late = fresh.agg(F.count("*").alias("new_events"))
-        stats = touched.agg(F.count("*").alias("recomputed")).join(F.broadcast(late)).join(F.broadcast(self.answers.agg(F.count("*").alias("answers"))))
-        stats.withColumn("reused", F.col("answers") - F.col("recomputed")).write.mode("overwrite").parquet(f"{self.root}/stats/batch={batch_id}")
-        touched.withColumn("cause", F.lit("NEW_INPUT")).write.mode("overwrite").parquet(f"{self.root}/invalidations/batch={batch_id}")
-
-    def current(self) -> DataFrame:
-        gold = self.spark.read.parquet(f"{self.root}/gold")
-        last = gold.groupBy("aid").agg(F.max("batch").alias("batch"))
-        return gold.join(last, ["aid", "batch"]).drop("batch")
