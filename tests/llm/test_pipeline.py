@@ -40,12 +40,24 @@ def test_stages_keep_what_they_should(spark):
     assert len(seen) == 5
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op4_decontaminate", "op5_license_scan", "op6_warc_archive"])
+def test_near_copies_under_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(7, a), (1, a), (7, b), (7, b), (None, a), (None, c), (None, c + " more"), (3, None), (4, None), (5, ""), (8, b + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=repr)
+    last = next(t for i, t in kept if i is None)
+    assert last in (c, c + " more")
+    assert kept == sorted([(1, a), (7, b), (None, last), (3, None), (4, None), (5, "")], key=repr)
+    empty = corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF)
+    assert empty.count() == 0 and empty.columns == docs.columns
+
+
+@pytest.mark.parametrize("name", ["op1_url_filter", "op4_decontaminate", "op5_license_scan", "op6_warc_archive", "op13_prefix_trie"])
 def test_sql_twins(spark, name):
     assert compare(spark, oracle(SF), name, SF).startswith("ok")
 
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert duckdb.sql("SELECT 1").fetchall() == [(1,)]

@@ -34,7 +34,7 @@ from .graph import components
 #: Rows up to which the ids of documents in families are broadcast; above, they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 #: Shingles in one side of a block. A family that has more is searched in several blocks.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_500_000
 #: Parts that two linked sets have in common at least. Lists of up to ``SHORT_LIST`` sets with an equal part are counted pair by
 #: pair; a longer list counts as enough by itself, so that no long one is written out as pairs.
 SHARED, SHORT_LIST = 3, 32
@@ -137,17 +137,20 @@ def search(sets: list[np.ndarray], sides: list[int], measure: Measure) -> list[t
     sizes = np.array([len(sets[i]) for i in order])
     side = np.array([sides[i] for i in order])
     two = len(set(sides)) > 1
-    flat, owner = np.concatenate([sets[i] for i in order]), np.repeat(np.arange(len(order)), sizes)
-    by = np.argsort(flat, kind="stable")
-    value, post = flat[by], owner[by]
-    first = np.ones(len(value), dtype=bool)
-    first[1:] = value[1:] != value[:-1]
-    number = np.cumsum(first) - 1
+    flat = np.concatenate([sets[i] for i in order])
+    by = np.argsort(flat, kind="stable").astype(np.int32)
+    flat = flat[by]
+    post = np.repeat(np.arange(len(order), dtype=np.int32), sizes)[by]
+    first = np.ones(len(flat), dtype=bool)
+    first[1:] = flat[1:] != flat[:-1]
+    del flat
+    number = np.cumsum(first, dtype=np.int32) - 1
     starts = np.flatnonzero(first)
-    lengths = np.diff(np.append(starts, len(value)))
-    codes = number * len(order) + post  # ascending: lists in order, and set numbers within a list
-    lists = np.empty(len(flat), dtype=np.int64)
+    lengths = np.diff(np.append(starts, len(first)))
+    codes = number.astype(np.int64) * len(order) + post  # ascending: lists in order, and set numbers within a list
+    lists = np.empty(len(first), dtype=np.int32)
     lists[by] = number
+    del by, number, first
     ends = np.cumsum(sizes)
     parent = list(range(len(order)))
 
@@ -181,7 +184,7 @@ def search(sets: list[np.ndarray], sides: list[int], measure: Measure) -> list[t
             continue
         found, overlap = np.array(seen), np.array(common)
         if n_long:
-            probe = (long[:, None] * len(order) + found[None, :]).ravel()
+            probe = (long[:, None].astype(np.int64) * len(order) + found[None, :]).ravel()
             at = np.minimum(np.searchsorted(codes, probe), len(codes) - 1)
             overlap = overlap + (codes[at] == probe).reshape(len(long), -1).sum(axis=0)
         for y in found[measure.reaches(overlap, size, sizes[found])].tolist():
