@@ -93,6 +93,7 @@ def test_incremental_equals_rebuild(spark, tmp_path):
     # a batch reads the buckets of its runs only
     plan = sink.events_of(spark.createDataFrame([("r1",)], "run_id string"), 1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket#" in plan or "PartitionFilters: [isnotnull(bucket#" in plan or "bucket" in plan.split("PartitionFilters")[1][:200]
+    sink = N.IncrementalAnalysis(spark, root, lambda b: answers, lambda b: scope.where(F.col("from_batch") <= b), frames=("answer_support",))
     # a repeated batch changes nothing; fresh answers are served as they lie, a stale one is computed again
     before = sink.current().count()
     sink(events.where(f"sequence > {half} AND run_id <> 'r3'"), 1)

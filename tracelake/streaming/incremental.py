@@ -70,11 +70,11 @@ def invalidation_log(events: DataFrame, answers: DataFrame, scope: DataFrame) ->
     declared = scope.select("receipt_id", "event_id", "from_batch")
     with_start = scope_events(arrival, answers, declared).join(declared.withColumnsRenamed({"receipt_id": "aid"}).distinct(), ["aid", "event_id"], "left").withColumn("from_batch", F.coalesce("from_batch", F.lit(0)))
     fresh = with_start.where("from_batch <= batch").select("batch", "aid", F.lit("NEW_INPUT").alias("cause"), F.col("event_id").alias("input_id"), F.lit(None).cast("string").alias("invalidated_id"))
-    held = with_start.select("aid", "event_id", "from_batch", "batch", "sequence")
+    held = with_start.select("aid", "run_id", "event_id", "from_batch", "batch", "sequence")
     refs = references_of(events).select("run_id", "event_id", "target_event_id").distinct()
-    own = refs.join(held.select("aid", "event_id", F.col("from_batch").alias("_from"), F.col("batch").alias("_b"), F.col("sequence").alias("_s")), "event_id")
-    target = held.select("aid", F.col("event_id").alias("target_event_id"), "from_batch", "batch", "sequence")
-    met = own.join(target, ["aid", "target_event_id"]).where("(_b < batch OR (_b = batch AND _s < sequence)) AND _from <= batch AND from_batch <= batch")
+    own = refs.join(held.select("aid", "run_id", "event_id", F.col("from_batch").alias("_from"), F.col("batch").alias("_b"), F.col("sequence").alias("_s")), ["run_id", "event_id"])
+    target = held.select("aid", "run_id", F.col("event_id").alias("target_event_id"), "from_batch", "batch", "sequence")
+    met = own.join(target, ["aid", "run_id", "target_event_id"]).where("(_b < batch OR (_b = batch AND _s < sequence)) AND _from <= batch AND from_batch <= batch")
     late = met.select("batch", "aid", F.lit("LATE_REFERENCE").alias("cause"), F.col("target_event_id").alias("input_id"), F.col("event_id").alias("invalidated_id")).distinct()
     last = events.agg(F.max("batch").alias("_last"))
     moved = declared.where("from_batch > 0").join(answers.where("scope_declared").select("receipt_id"), "receipt_id").crossJoin(last).where("from_batch <= _last")
@@ -85,8 +85,8 @@ def invalidation_log(events: DataFrame, answers: DataFrame, scope: DataFrame) ->
 class IncrementalAnalysis:
     """``foreachBatch`` sink. ``answers`` and ``scope`` give the declarations in force at a batch."""
 
-    def __init__(self, spark: SparkSession, root: str, answers: Callable[[int], DataFrame], scope: Callable[[int], DataFrame], analyzer_version: str = "1"):
-        self.spark, self.root, self.answers, self.scope, self.version = spark, root, answers, scope, analyzer_version
+    def __init__(self, spark: SparkSession, root: str, answers: Callable[[int], DataFrame], scope: Callable[[int], DataFrame], analyzer_version: str = "1", frames: tuple[str, ...] = FRAMES):
+        self.spark, self.root, self.answers, self.scope, self.version, self.frames = spark, root, answers, scope, analyzer_version, frames
 
     # Tables
 
@@ -144,7 +144,7 @@ class IncrementalAnalysis:
         self._write(scoped.observe(seen, F.count("*").alias("n")), "scoped", generation)
         scoped = self.spark.read.parquet(f"{self.root}/scoped/batch={generation}")
         analysis = Analysis(scoped, own, marks)
-        for name in FRAMES:
+        for name in self.frames:
             self._write(getattr(analysis, name), f"gold/{name}", generation)
         self._write(signatures(scoped, own, self.version), "signatures", generation)
         self._write(own.select(F.col("receipt_id").alias("aid")), "touched", generation)
