@@ -1,5 +1,7 @@
 """Streaming twins give what the batch operators give."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tracelake.operators import ingest as I, replay as R
@@ -52,6 +54,56 @@ def test_verify_first_and_opportunities(spark, tmp_path):
     assert [r.session_id for r in got.collect()] == [r.session_id for r in R.opportunities(small).collect()] == ["s"]
 
 
+def test_opportunities_go_by_batch_id(spark, tmp_path):
+    # two batch ids in one file, and one batch id in two files
+    data = [(1, "s", 1, "implementation", None), (1, "s", 2, "implementation", None), (2, "s", 2, "implementation", None), (2, "t", 1, "implementation", None), (3, "s", 3, "implementation", None), (3, "t", 2, "implementation", None)]
+    small = spark.createDataFrame([(*r, False) for r in data], "part bigint, session_id string, batch_id bigint, event_type string, verification_kind string, test_only boolean")
+    got = drain(live.opportunities_stream(as_stream(spark, small, tmp_path, 3, "part")), "byid", tmp_path)
+    assert rows(got) == rows(R.opportunities(small.drop("part")).drop("batch_id")) and [r.session_id for r in got.collect()] == ["s"]
+
+
+def test_run_progress_equals_batch(spark, tmp_path):
+    stamped = stage(I.stamp_sequence(bind.records(spark, SF))[0].where("sequence % 50 <> 49 OR run_id NOT LIKE '%2'"))
+    shuffled = stage(stamped.withColumn("part", F.pmod(F.xxhash64("run_id", "sequence"), F.lit(3))))
+    out = drain(live.run_progress_stream(as_stream(spark, shuffled, tmp_path, 3, "part")), "progress", tmp_path, "update")
+    last = out.groupBy("run_id").agg(F.max_by(F.struct(*out.columns), F.col("applied") + F.col("pending")).alias("r")).select("r.*")
+    want = live.run_progress(stamped)
+    assert rows(last.select(sorted(last.columns))) == rows(want.select(sorted(want.columns)))
+    assert want.where("pending > 0").count() > 0 and want.where("finalized").count() > 0
+
+
+def test_state_ends(spark, tmp_path):
+    path, schema = tmp_path / "in", "run_id string, record_kind string, record_id string, sequence bigint, content_hash string"
+
+    def add(*data):
+        spark.createDataFrame(list(data), schema).coalesce(1).write.mode("append").parquet(str(path))
+
+    def until(done, seconds=60):
+        end = time.time() + seconds
+        while not done() and time.time() < end:
+            time.sleep(0.3)
+        return done()
+
+    add(("r", "event", "a", 1, "h"), ("r", "event", "b", 2, "h"))
+    stream = live.dedup_stream(spark.readStream.schema(schema).parquet(str(path)), ttl_ms=4_000)
+    q = stream.writeStream.outputMode("append").format("memory").queryName("ttl").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+
+    def held():
+        return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+    def verdicts():
+        return {(r.record_id, r.sequence): r.verdict for r in spark.table("ttl").collect()}
+
+    try:
+        assert until(lambda: held()[-1:] == [2])
+        assert until(lambda: held()[-1:] == [0])  # both ids were last seen too long ago
+        add(("r", "event", "a", 4, "other"))
+        assert until(lambda: ("a", 4) in verdicts())
+        assert verdicts() == {("a", 1): "ACCEPTED", ("b", 2): "ACCEPTED", ("a", 4): "ACCEPTED"}
+    finally:
+        q.stop()
+
+
 def test_monitor_and_resets(spark, tmp_path):
     polls = spark.createDataFrame([("r", 1, "RUNNING", 1), ("r", 2, "RUNNING", 1), ("r", 3, "COMPLETED", 2), ("r", 4, "COMPLETED", 2), ("r", 5, "COMPLETED", 2)], "run_id string, poll bigint, lifecycle string, events bigint")
     got = drain(live.monitor(as_stream(spark, polls, tmp_path, 2, "poll")), "mon", tmp_path).orderBy("poll").collect()
