@@ -95,8 +95,7 @@ def model_events(s, d):
 
 
 def chat_replay(s, d):
-    events = P.claude_replay(chat_log(s, d), SECRET)[0]
-    return events.withColumn("failure_sig", F.col("failure_sig").isNotNull()).drop("source")
+    return P.claude_replay(chat_log(s, d), SECRET)[0].drop("source")
 
 
 QUERIES = {
@@ -138,11 +137,11 @@ SELECT 'u' || a.user_id AS file, 'zc' || lpad(CAST(a.n AS VARCHAR), 5, '0') AS i
        cl AS (SELECT *, event_type IN ('purchase', 'signup') AS impl, event_type IN ('click', 'error') AS shell, event_type = 'click' AS tested, event_type IN ('click', 'error') AND k % 4 = 0 AS bad FROM ln JOIN fs USING (user_id) WHERE NOT torn)
        SELECT 'u' || user_id AS file, 'session-' AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,
          CASE WHEN impl THEN 'implementation' WHEN tested THEN 'verification' WHEN shell THEN 'other' ELSE 'observation' END AS event_type, ts_ms - started_ms AS ts_offset,
-         CASE event_type WHEN 'view' THEN 'Read' WHEN 'purchase' THEN 'Edit' WHEN 'signup' THEN 'Write' ELSE 'Bash' END AS tool_name, CASE WHEN heard THEN NOT bad END AS ok,
+         CASE event_type WHEN 'view' THEN 'Read' WHEN 'purchase' THEN 'Edit' WHEN 'signup' THEN 'Write' ELSE 'Bash' END AS tool_name, CASE WHEN heard AND (impl OR shell) THEN NOT bad END AS ok,
          CASE WHEN tested THEN 'test' END AS verification_kind, CASE WHEN impl THEN 1 END AS changed_files,
          CASE event_type WHEN 'purchase' THEN {_hmac("'{\"v\":2,\"op\":\"edit\",\"parts\":[\"' || k || '\",\"' || k || 'x\"]}'")} WHEN 'signup' THEN {_hmac("'{\"v\":2,\"op\":\"write\",\"parts\":[\"c' || k || '\"]}'")} END AS change_hash,
-         CASE WHEN impl THEN 'content' END AS fingerprint_basis, tested AND bad AND heard AS failure_sig, CASE WHEN tested AND heard THEN CASE WHEN bad THEN k ELSE 0 END END AS tests_failed,
-         CASE WHEN heard THEN CAST(k AS DOUBLE) END AS duration_ms, CASE WHEN impl THEN count(*) FILTER (impl) OVER (PARTITION BY user_id ORDER BY event_id) END AS turn, CASE WHEN impl THEN k % 3 = 0 END AS test_only,
+         CASE WHEN impl THEN 'content' END AS fingerprint_basis, CASE WHEN tested AND bad AND heard THEN substr(sha256('<N> tests failed'), 1, 8) END AS failure_sig, CASE WHEN tested AND heard THEN CASE WHEN bad THEN k ELSE 0 END END AS tests_failed,
+         CASE WHEN heard AND (impl OR shell) THEN CAST(k AS DOUBLE) END AS duration_ms, CASE WHEN impl THEN count(*) FILTER (impl) OVER (PARTITION BY user_id ORDER BY event_id) END AS turn, CASE WHEN impl THEN k % 3 = 0 END AS test_only,
          CASE WHEN NOT shell THEN 'src/m' || k || CASE WHEN k % 3 = 0 THEN '.test.ts' ELSE '.ts' END END AS path FROM cl""",
     "rep_corpus_survey": f"""{_CHAT},
        fa AS (SELECT 'line_type' AS facet, CASE WHEN torn THEN 'unreadable' ELSE 'assistant' END AS key FROM ln UNION ALL SELECT 'line_type', 'user' FROM ln WHERE heard

@@ -96,7 +96,9 @@ def claude_replay(lines: DataFrame, secret: str | None = None) -> tuple[DataFram
             F.concat(F.coalesce("stderr", F.lit("")), F.lit("\n"), _text_of(F.col("content"))).alias("output"),
         ).alias("r"),
     )
-    first = numbered.select("file", "call", F.col("line_no").alias("_at")).join(answers, ["file", "call"]).where("r.line_no > _at").groupBy("file", "call").agg(F.min("r").alias("r"))
+    # only changes and shell calls wait for a result; what a reading gave says nothing
+    waiting = numbered.where(F.col("impl") | (F.col("tool_name") == "Bash"))
+    first = waiting.select("file", "call", F.col("line_no").alias("_at")).join(answers, ["file", "call"]).where("r.line_no > _at").groupBy("file", "call").agg(F.min("r").alias("r"))
     done, failed, check = F.col("r").isNotNull(), F.col("r.failed"), F.col("event_type") == "verification"
     events = numbered.join(first, ["file", "call"], "left").join(turns, ["file", "line_no"], "left").join(facts.select("file", "session_id", "started_ms"), "file")
     made = {
