@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ("sessions", "replay", "series", "scalars", "ingest", "answers", "evidence", "logs", "rollout", "intake", "native", "streams")
+PARTS = ("sessions", "replay", "series", "scalars", "ingest", "answers", "evidence", "logs", "rollout", "intake", "native", "hooks", "streams")
 
 
 def _parts():
