@@ -106,23 +106,45 @@ def test_archive_gives_pages_back(spark, tmp_path):
     pages = [(3, "http://a/é x\r\ny", "<p>é</p>\r\n\r\nend"), (1, "http://b", "<p>é</p>\r\n\r\nend"), (2, None, None), (5, "http://c", ""), (5, "http://c", ""), (7, "http://d", "one"), (None, "http://e", "two"), (None, "http://f", "one")]
     frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "1 AS digest", "2 AS address")
     archive = warc.write(frame)
-    got = sorted((r.page_id is None, r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.index(archive).collect() if r.page_id is not None)
+    got = sorted((r.page_id is None, r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(frame).collect() if r.page_id is not None)
     first = {"<p>é</p>\r\n\r\nend": 1, "": 2, "one": 7}
     want = sorted(
         (False, i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""])
         for i, _, h in pages if i is not None
     )
     assert got == want
-    assert sorted((r.record_type, r.refers_to) for r in warc.index(archive).where("page_id IS NULL").collect()) == [("response", None), ("revisit", 7)]
+    assert sorted((r.record_type, r.refers_to) for r in warc.round_trip(frame).where("page_id IS NULL").collect()) == [("response", None), ("revisit", 7)]
     assert archive.payloads.count() == 4
     warc.export(archive, str(tmp_path / "out"), records_per_file=2)
     read = warc.read(spark, str(tmp_path / "out")).collect()
-    bodies = sorted(bytes(r.payload).decode() for r in read if "WARC-Type: response" in r.header)
+    bodies = sorted(bytes(r.body).decode() for r in read if "WARC-Type: response" in r.header)
     assert len(read) == len(pages) and bodies == sorted(["<p>é</p>\r\n\r\nend", "", "one", "two"])
-    assert warc.index(warc.write(frame.where("page_id = 7"), min_bytes=10)).first().record_type == "response"
-    small = warc.index(warc.write(frame.where("page_id = 5 OR page_id = 2"), min_bytes=1)).collect()
+    assert warc.round_trip(frame.where("page_id = 7"), min_bytes=10).first().record_type == "response"
+    small = warc.round_trip(frame.where("page_id = 5 OR page_id = 2"), min_bytes=1).collect()
     assert {r.record_type for r in small} == {"response"}
-    assert warc.index(warc.write(frame.limit(0))).count() == 0
+    assert warc.round_trip(frame.limit(0)).count() == 0
+
+
+def test_archive_of_hot_and_awkward_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(warc, "READ_BYTES", 1000)
+    bodies = ["x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "é" * 5000, "", "\r\n\r\n", "one"]
+    pages = [(i, None, "same page" if i % 3 == 0 else bodies[i % 5] + str(i % 7) * (i % 2)) for i in range(200)] + [(4, "u", "another under this id"), (4, "u", "another under this id")]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "1 AS size", "2 AS header").repartition(3)
+    first = {}
+    for i, _, h in pages:
+        first[h] = min(i, first.get(h, i))
+    want = sorted((i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if first[h] == i else "revisit", -1 if first[h] == i else first[h]) for i, _, h in pages)
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, -1 if r.refers_to is None else r.refers_to) for r in warc.round_trip(frame).collect())
+    assert got == want
+
+
+def test_records_that_lie_about_their_bytes_end_the_job(spark):
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 3\r\n\r\n"
+    with pytest.raises(Exception, match="payload differs from its digest"):
+        warc.index(spark.createDataFrame([(head, bytearray(b"abc"))], "header string, body binary")).collect()
+    with pytest.raises(ValueError, match="does not end"):
+        list(warc._cut(iter([head.encode() + b"abcd\r\n\r\n"])))
 
 
 def test_rules_and_addresses(spark):

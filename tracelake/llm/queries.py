@@ -54,7 +54,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.index(warc.write(table(spark, sf_dir, "pages")))
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op7_pack_large_items(spark: SparkSession, sf_dir: str) -> DataFrame:
