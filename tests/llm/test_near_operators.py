@@ -158,11 +158,53 @@ def test_dense_groups_in_one_shard_keep_all_links(spark, monkeypatch, shard):
     assert got == {i: (*w, 1.0) for i, w in want.items()}
 
 
-def test_shards_that_miss_links_are_given_up(spark, monkeypatch):
+def test_shards_that_miss_links_are_widened(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "OVERLAP", 1)
     monkeypatch.setattr(near_vectors, "PER_CENTRE", 20)
     monkeypatch.setattr(near_vectors, "fit_centres", lambda sample, wanted: sample[:wanted])  # centres that tear the group apart
     rnd = np.random.default_rng(4)
     rows = [(i, (np.ones(16) + 0.05 * rnd.normal(size=16)).tolist()) for i in range(200)]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
-    assert got == vector_brute(rows)
+    got = {r.vec_id: r for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    want = vector_brute(rows)
+    assert all(got[i].n_links <= want[i][0] and got[i].audit_recall >= 0.9 for i in want)
+    assert sum(got[i].n_links for i in want) >= 0.9 * sum(w[0] for w in want.values()) and {i: got[i].component_id for i in got} == {i: w[1] for i, w in want.items()}
+
+
+def test_huge_and_tiny_vectors(spark):
+    rows = [(1, [1e200, 2e200]), (2, [2e200, 4e200]), (3, [1e-200, 2e-200]), (4, [5e-324, 1e-323]), (5, [1e308, -1e308]), (6, [1e-308, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def test_pruning_hides_what_a_kept_neighbour_stands_for():
+    angles = np.radians([[5.0, 6.0, 20.0, -10.0]])  # from a vector at 0 degrees: 6 and 20 lie behind 5, -10 does not
+    order = np.argsort(np.abs(angles), axis=1)
+    angles = np.take_along_axis(angles, order, 1)
+    kept = near_vectors.prune(np.cos(angles), np.cos(angles[:, :, None] - angles[:, None, :]))
+    assert np.degrees(angles[kept]).round().tolist() == [5.0, -10.0]
+    rnd = unit(np.random.default_rng(0).normal(size=(1, 40, 60)))
+    assert near_vectors.prune(np.sort(rnd[:, :, 0])[:, ::-1], rnd @ rnd.transpose(0, 2, 1), degree=7).sum() == 7
+
+
+@pytest.mark.parametrize("gathered", [1 << 22, 3000])
+def test_graph_search_meets_all_links_of_a_part(monkeypatch, gathered):
+    monkeypatch.setattr(near_vectors, "GATHERED", gathered)
+    rnd = np.random.default_rng(2)
+    centre = rnd.normal(size=(9, 24))
+    x = unit(np.concatenate([c + s * rnd.normal(size=(m, 24)) for c, s, m in zip(centre, [0.01, 0.05, 0.1, 0.2, 0.2, 0.2, 1, 1, 1], [150, 90, 120, 40, 40, 40, 30, 30, 30], strict=True)]))
+    a, b = near_vectors.pruned_edges(x)
+    assert set(zip(a.tolist(), b.tolist())) == set(zip(b.tolist(), a.tolist())) and (a != b).all() and len(a) < 2 * near_vectors.DEGREE * len(x)
+    seeds = near_vectors.medoids(x, a, b, 0.95)
+    label = roots(range(len(x)), list(zip(a.tolist(), b.tolist())))
+    assert {label[s] for s in seeds.tolist()} == set(label.values()) and 3 <= len(seeds) <= len(x) / near_vectors.GROUP
+    score = near_vectors.greedy_search(x, x, a, b, seeds, 0.95, near_vectors.WIDTH)
+    exact = x @ x.T
+    met = score > -np.inf
+    assert np.allclose(score[met], exact[met], atol=1e-12) and met.mean() < 0.9
+    assert ((score >= 0.95) == (exact >= 0.95)).mean() > 0.9999
+    one = x[:1]
+    assert near_vectors.greedy_search(one, one, *near_vectors.pruned_edges(one), np.array([0]), 0.95, 32).shape == (1, 1)
