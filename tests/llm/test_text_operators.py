@@ -229,3 +229,20 @@ def test_names_next_to_punctuation():
     for text in ("(James Smith)", '"Mary Jones" said', "name:James Smith", "dear James Smith,", "x—Paul Miller"):
         assert [(s.kind, text[s.start : s.end].split()[-2]) for s in pii.candidates(text)] == [("person", re.search("James|Mary|Paul", text)[0])], text
     assert pii.candidates("nobody here") == []
+
+
+def test_names_behind_capitalised_words():
+    wanted = {
+        "Dear James Smith": ["James Smith"], "Contact Mary Jones": ["Mary Jones"], "President John Kennedy": ["John Kennedy"], "Dr. José Müller, Frau Sabine Weiß": ["Dr. José Müller", "Frau Sabine Weiß"],
+        "John James Smith": ["John James Smith"], "Paul Smith met Anna Jones": ["Paul Smith", "Anna Jones"], "Jameson Smith, xJames Smith, James smith, James": [], "James Mary": ["James Mary"],
+    }
+    for text, names in wanted.items():
+        assert [text[s.start : s.end] for s in pii.candidates(text) if s.kind == "person"] == names, text
+
+
+def test_looser_spans_keep_off_each_other_in_long_texts():
+    text = "Dear James Smith, " * 20_000 + "call 212-555-0100 or write to me@x.org or me [at] x [dot] org"
+    found = pii.candidates(text)
+    assert Counter(s.kind for s in found) == {"person": 20_000, "phone": 1, "email": 2}
+    held = sorted((s.start, s.end) for s in found)
+    assert all(a[1] <= b[0] for a, b in zip(held, held[1:]))

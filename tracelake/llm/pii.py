@@ -43,7 +43,6 @@ _TWO_DIGITS = re.compile(r"[0-9]{2}")
 _SPELLED = re.compile(r"\b[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|\sdot\s)\s?[A-Za-z0-9-]{2,63}){1,4}\b")
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
-_PERSON = re.compile(r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|M|Sr|Sra)\.?\x20)?([A-Z][a-z]{2,15})\x20[A-Z][a-z]{2,20}\b")
 _WORD = re.compile(r"[^\W\d_]+")
 
 # Common given names, mail domains, card issuers' first digits and words that announce each kind.
@@ -64,6 +63,10 @@ ANNOUNCE = {
 }
 DENY = frozenset("version isbn issn order invoice section chapter figure table page article release build".split())
 
+#: One or more given names and a surname, with or without a title; a search can begin at a given name or at a title before it only.
+_GIVEN = "(?:" + "|".join(sorted(NAMES)) + ")"
+_PERSON = re.compile(rf"(?<!\w)(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|M|Sr|Sra)\.?\x20)?{_GIVEN}(?:\x20{_GIVEN})*\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{{2,20}}(?!\w)")
+
 
 @dataclass(frozen=True)
 class Span:
@@ -123,7 +126,7 @@ def _looser(text: str) -> Iterator[tuple[str, int, int]]:
         yield from (("phone", m.start(), m.end()) for m in _NATIONAL.finditer(text))
         yield from (("account", m.start(), m.end()) for m in _ACCOUNT.finditer(text))
     if any(name in text for name in NAMES):
-        yield from (("person", m.start(), m.end()) for m in _PERSON.finditer(text) if m[1] in NAMES)
+        yield from (("person", m.start(), m.end()) for m in _PERSON.finditer(text))
 
 
 def _regex_vote(kind: str, own: str, base: bool) -> int:
@@ -161,11 +164,15 @@ def candidates(text: str) -> list[Span]:
     """Base spans and looser ones that do not touch them, with votes and features."""
     base = base_spans(text)
     found = [(k, a, b, True) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
+    taken = None  # a byte per character, made only if there is a looser span
     for kind, a, b in _looser(text):
-        if not any(a < y and x < b for x, y in taken):
+        if taken is None:
+            taken = bytearray(len(text))
+            for _, x, y in base:
+                taken[x:y] = b"\x01" * (y - x)
+        if taken.find(1, a, b) < 0:
             found.append((kind, a, b, False))
-            taken.append((a, b))
+            taken[a:b] = b"\x01" * (b - a)
     out = []
     for kind, a, b, is_base in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1])):
         own, before = text[a:b], [w.lower() for w in _WORD.findall(text[max(0, a - WINDOW) : a])]
