@@ -20,3 +20,18 @@ def test_records_of_one_file_are_validated_on_all_cores_and_rules_run_once(spark
     paths = [c for c in written[0][1] if c.startswith("_f")]
     assert len(paths) < 200 and sum(c.endswith("v") for c in paths) < 30
     assert written[1][1] == ["id", "v", "body", "_e", "_w", "_i"]
+
+
+def test_rejected_options_broadcast_no_rows_of_runs(spark):
+    """The runs of all claims used to be joined by a broadcast, with the texts on every row: the driver held them all."""
+    from tracelake.operators import lens as L
+
+    scoped = spark.sql("""SELECT 'a' AS aid, 'v9' AS event_id, 9L AS sequence, 'RECOMMEND' AS type,
+        named_struct('choice', 'alpha', 'alternatives', array('Beta', 'g', '', 'other')) AS recommend""")
+    verdicts = spark.sql("""SELECT * FROM VALUES ('a', 'claim-v1', 'about beta', 1L), ('a', 'claim-v2-other-cost', 'none', 1L), ('a', 'claim-v3', 'beta too', 0L), ('b', 'claim-v1', 'beta', 1L)
+        AS t(aid, claim_id, text, supporting)""")
+    out = L.decide(scoped, verdicts)[1]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate explode" in plan and "BroadcastHashJoin" not in plan
+    found = {(r.option, r.claim_id) for r in out.collect()}
+    assert found == {("Beta", "claim-v1"), ("g", None), ("", None), ("other", "claim-v2-other-cost")}

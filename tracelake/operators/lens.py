@@ -98,18 +98,20 @@ def decide(scoped: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame
     choice = advice.groupBy("aid").agg(F.max_by("recommend.choice", "sequence").alias("choice"), F.count("*").alias("recommendations"))
     options = advice.select("aid", "event_id", F.explode("recommend.alternatives").alias("option"))
     needle = F.lower("option")
-    probe = options.select("aid", "option").distinct().withColumn("gram", F.substring(needle, 1, 3))
-    texts = verdicts.where("supporting > 0").join(probe.select("aid").distinct(), "aid", "left_semi").select(
+    probe = options.select("aid", "option").distinct().withColumn("gram", F.substring(needle, 1, 3)).where("gram <> ''")
+    sizes = probe.groupBy("aid").agg(F.collect_set(F.length("gram")).alias("_sizes"))
+    texts = verdicts.where("supporting > 0").select(
         "aid", "claim_id", F.lower("text").alias("_text"), F.concat(F.lower("text"), F.lit("\n"), F.lower("claim_id")).alias("_all")
     )
-    size = F.array(F.lit(1), F.lit(2), F.lit(3))
-    grams = texts.withColumn(
-        "gram",
-        F.explode(F.array_distinct(F.flatten(F.transform(size, lambda n: F.transform(F.sequence(F.lit(1), F.length("_all")), lambda p: F.substring("_all", p, n)))))),
+    # Each claim becomes many rows of runs, which no size estimate sees: they carry no text, and the joins on them are never broadcast.
+    places = F.sequence(F.lit(1), F.length("_all"))
+    grams = texts.join(sizes.hint("merge"), "aid").select(
+        "aid", "claim_id", F.explode(F.array_distinct(F.flatten(F.transform("_sizes", lambda n: F.transform(places, lambda p: F.substring("_all", p, n)))))).alias("gram"),
     )
+    met = probe.hint("merge").join(grams, ["aid", "gram"]).select("aid", "option", "claim_id").distinct()
     named = F.contains("_text", needle) | F.contains("claim_id", F.concat(F.lit("-"), "option", F.lit("-")))
-    found = probe.join(grams, ["aid", "gram"]).where(named).select("aid", "option", "claim_id").distinct()
-    return choice, options.join(found, ["aid", "option"], "left").select("aid", "event_id", "option", "claim_id")
+    found = met.hint("merge").join(texts.drop("_all"), ["aid", "claim_id"]).where(named).select("aid", "option", "claim_id").distinct()
+    return choice, options.join(found.hint("merge"), ["aid", "option"], "left").select("aid", "event_id", "option", "claim_id")
 
 
 def verify_ledger(checks: DataFrame, found: DataFrame) -> DataFrame:
