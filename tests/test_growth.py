@@ -35,3 +35,12 @@ def test_rejected_options_broadcast_no_rows_of_runs(spark):
     assert "Generate explode" in plan and "BroadcastHashJoin" not in plan
     found = {(r.option, r.claim_id) for r in out.collect()}
     assert found == {("Beta", "claim-v1"), ("g", None), ("", None), ("other", "claim-v2-other-cost")}
+
+
+def test_invalidations_broadcast_no_events(spark):
+    """Joins used to be broadcast by the packed size of files, with a row for each event of each answer."""
+    from tracelake.plans import catalog_streams
+
+    plan = catalog_streams.invalidations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "HashJoin [" in line or "SortMergeJoin [" in line]
+    assert any("SortMergeJoin" in line for line in joins) and not any("BroadcastHashJoin" in line and "event_id" in line for line in joins)

@@ -27,7 +27,8 @@ def scope_events(events: DataFrame, answers: DataFrame, scope: DataFrame) -> Dat
     """Events of each answer: its own and shared ids, or the whole run when it declared no boundary."""
     declared = answers.where("scope_declared").select(F.col("receipt_id").alias("aid"), "run_id")
     ids = scope.select(F.col("receipt_id").alias("aid"), "event_id").distinct()
-    exact = ids.join(declared, "aid").join(events, ["run_id", "event_id"])
+    # The size of events is guessed from packed columns; a broadcast on such a guess fills the driver.
+    exact = ids.join(declared, "aid").join(events.hint("merge"), ["run_id", "event_id"])
     open_ended = answers.where("not scope_declared").select(F.col("receipt_id").alias("aid"), "run_id")
     whole = events.join(open_ended, "run_id")
     return exact.unionByName(whole.select(*exact.columns))

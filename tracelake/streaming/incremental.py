@@ -68,16 +68,18 @@ def invalidation_log(events: DataFrame, answers: DataFrame, scope: DataFrame) ->
     """
     arrival = events.select("run_id", "event_id", "sequence", "batch")
     declared = scope.select("receipt_id", "event_id", "from_batch")
-    with_start = scope_events(arrival, answers, declared).join(declared.withColumnsRenamed({"receipt_id": "aid"}).distinct(), ["aid", "event_id"], "left").withColumn("from_batch", F.coalesce("from_batch", F.lit(0)))
+    # Frames with a row for each event are never small, whatever their packed file says: joins on them are by shuffles, none holds them in the driver.
+    starts = declared.withColumnsRenamed({"receipt_id": "aid"}).distinct()
+    with_start = scope_events(arrival, answers, declared).join(starts.hint("merge"), ["aid", "event_id"], "left").withColumn("from_batch", F.coalesce("from_batch", F.lit(0)))
     fresh = with_start.where("from_batch <= batch").select("batch", "aid", F.lit("NEW_INPUT").alias("cause"), F.col("event_id").alias("input_id"), F.lit(None).cast("string").alias("invalidated_id"))
     held = with_start.select("aid", "run_id", "event_id", "from_batch", "batch", "sequence")
     refs = references_of(events).select("run_id", "event_id", "target_event_id").distinct()
-    own = refs.join(held.select("aid", "run_id", "event_id", F.col("from_batch").alias("_from"), F.col("batch").alias("_b"), F.col("sequence").alias("_s")), ["run_id", "event_id"])
+    own = refs.join(held.select("aid", "run_id", "event_id", F.col("from_batch").alias("_from"), F.col("batch").alias("_b"), F.col("sequence").alias("_s")).hint("merge"), ["run_id", "event_id"])
     target = held.select("aid", "run_id", F.col("event_id").alias("target_event_id"), "from_batch", "batch", "sequence")
-    met = own.join(target, ["aid", "run_id", "target_event_id"]).where("(_b < batch OR (_b = batch AND _s < sequence)) AND _from <= batch AND from_batch <= batch")
+    met = own.join(target.hint("merge"), ["aid", "run_id", "target_event_id"]).where("(_b < batch OR (_b = batch AND _s < sequence)) AND _from <= batch AND from_batch <= batch")
     late = met.select("batch", "aid", F.lit("LATE_REFERENCE").alias("cause"), F.col("target_event_id").alias("input_id"), F.col("event_id").alias("invalidated_id")).distinct()
     last = events.agg(F.max("batch").alias("_last"))
-    moved = declared.where("from_batch > 0").join(answers.where("scope_declared").select("receipt_id"), "receipt_id").crossJoin(last).where("from_batch <= _last")
+    moved = declared.where("from_batch > 0").join(answers.where("scope_declared").select("receipt_id"), "receipt_id").crossJoin(F.broadcast(last)).where("from_batch <= _last")
     moved = moved.select(F.col("from_batch").alias("batch"), F.col("receipt_id").alias("aid")).distinct().select("batch", "aid", F.lit("ANSWER_SCOPE_CHANGE").alias("cause"), F.col("aid").alias("input_id"), F.lit(None).cast("string").alias("invalidated_id"))
     return fresh.union(late).union(moved)
 
