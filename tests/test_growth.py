@@ -44,3 +44,45 @@ def test_invalidations_broadcast_no_events(spark):
     plan = catalog_streams.invalidations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in plan.splitlines() if "HashJoin [" in line or "SortMergeJoin [" in line]
     assert any("SortMergeJoin" in line for line in joins) and not any("BroadcastHashJoin" in line and "event_id" in line for line in joins)
+
+
+def _events(spark):
+    return spark.sql("""SELECT 'a' AS aid, 'r' AS run_id, concat('v', id) AS event_id, id AS sequence, if(id % 3 = 0, 'SEARCH', 'READ') AS type, 'OBSERVED' AS category, true AS has_locator,
+        named_struct('source_id', concat('s', id % 4), 'kind', 'URL', 'location', concat('https://h', id % 2, '.org/'), 'content_hash', '', 'title', if(id % 4 = 1, 'T', ''), 'accessed_at', '') AS source,
+        if(id % 3 = 0, named_struct('query', 'q', 'results', array(named_struct('source_id', 's9', 'title', '', 'url', 'https://h0.org', 'rank', 1), named_struct('source_id', 's8', 'title', '', 'url', 'https://h0.org/', 'rank', 2))), null) AS search,
+        named_struct('source_id', concat('s', id % 4), 'outcome', 'SUCCESS') AS read FROM range(1, 13)""")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_ledger_counts_without_copies_of_its_rows(spark):
+    """Two distinct counts used to multiply the mentions by three and to shuffle them twice."""
+    from tracelake.operators import evidence as E
+
+    refs = E.source_refs(_events(spark))
+    assert "Filter" not in _plan(refs).split("Generate")[1]  # a guard there worked out all addresses again
+    ledger = E.source_ledger(E.source_captures(refs))
+    assert "Expand" not in _plan(ledger)
+    got = {r.key: (r.first.sequence, r.source, r.title, r.anchors, r.captured_ids, r.queries) for r in ledger.collect()}
+    assert got == {"loc:https://h1.org/": (1, "src-s1", "T", 6, 2, 2), "loc:https://h0.org/": (2, "src-s2", None, 14, 4, 4)}
+
+
+def test_scans_within_one_chunk_carry_nothing_over(spark):
+    """Each scan used to be joined with a summary for each key, though no key reached into a second chunk."""
+    from tracelake.operators import evidence as E
+    from tracelake.operators.ordered import one_chunk, ordered_scan, last_seen, next_seen, running_min, running_sum, sequence_chunk
+
+    rows = spark.range(1, 200).select(F.concat(F.lit("k"), F.col("id") % 5).alias("key"), F.col("id").alias("sequence"))
+    assert one_chunk(rows) and not one_chunk(rows.withColumn("sequence", F.col("sequence") * 1000))
+    v = F.col("sequence") % 7
+    scans = {"a": running_sum(v), "b": running_min(v), "c": last_seen(v, v > 3), "d": next_seen(v, v > 3)}
+    short, long = (ordered_scan(rows, ["key"], ["sequence"], sequence_chunk(), whole, **scans) for whole in (True, False))
+    assert "Join" not in _plan(short) and "Join" in _plan(long)
+    assert sorted(short.collect()) == sorted(long.collect())
+    events = _events(spark)
+    captures = E.source_captures(E.source_refs(events))
+    sources = E.flag_spoof(E.source_ledger(captures))
+    both = [sorted(E.adjudicate(events, captures, sources, whole).collect()) for whole in (True, False)]
+    assert both[0] == both[1] and [r.source for r in sorted(both[0], key=lambda r: r.sequence)][:4] == ["src-s1", "src-s2", "src-s1", "src-s2"]

@@ -16,12 +16,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions import let
 from ..functions.conditions import parse_condition
 from ..functions.urls import archive_embedded_location, normalize_location
 from ..runtime import stage
 from .ingest import cycle_edges
 from .ordered import ordered_scan, running_min, sequence_chunk
 
+_REF = ("source_id", "kind", "location", "content_hash", "title", "accessed_at")
+
 
 def scope_events(events: DataFrame, answers: DataFrame, scope: DataFrame) -> DataFrame:
     """Events of each answer: its own and shared ids, or the whole run when it declared no boundary."""
@@ -46,15 +49,12 @@ def _src(c: Column) -> Column:
     return F.when(F.startswith(c, F.lit("src-")), c).otherwise(F.concat(F.lit("src-"), c))
 
 
-def source_refs(scoped: DataFrame) -> DataFrame:
-    """One row per source an event names: its own source, then its search results."""
-    own = F.when(
-        F.col("source.source_id").isNotNull(),
-        F.struct(
-            F.col("source.source_id").alias("source_id"), F.col("source.kind").alias("kind"), F.col("source.location").alias("location"),
-            F.col("source.content_hash").alias("content_hash"), F.col("source.title").alias("title"), F.col("source.accessed_at").alias("accessed_at"),
-        ),
-    )
+def with_refs(events: DataFrame) -> DataFrame:
+    """Events with the array ``refs`` of the sources that each names, with their spelling and key.
+
+    Best before events are scoped, as an event is in several answers.
+    """
+    own = F.when(F.col("source.source_id").isNotNull(), F.struct(*[F.col(f"source.{c}").alias(c) for c in _REF]))
     none = F.lit(None).cast("string")
     hits = F.transform(
         F.coalesce(F.col("search.results"), F.array().cast("array<struct<source_id:string,title:string,url:string,rank:int>>")),
@@ -63,36 +63,49 @@ def source_refs(scoped: DataFrame) -> DataFrame:
             none.alias("content_hash"), r["title"].alias("title"), none.alias("accessed_at"),
         ),
     )
+
+    def named(s, normalized):
+        key = F.coalesce(F.concat(F.lit("loc:"), normalized), F.concat(F.lit("hash:"), F.nullif(s["content_hash"], F.lit(""))), F.concat(F.lit("id:"), s["source_id"]))
+        return F.struct(*[s[c].alias(c) for c in _REF], normalized.alias("normalized"), key.alias("key"))
+
+    given = F.filter(F.concat(F.array(own), hits), lambda s: s.isNotNull())
+    return events.withColumn("refs", F.transform(given, lambda s: let(normalize_location(s["location"], s["kind"]), lambda n: named(s, n))))
+
+
+def source_refs(scoped: DataFrame) -> DataFrame:
+    """One row per source an event names: its own source, then its search results. ``asks`` marks the first of each key in an event with a query."""
+    rows = scoped if "refs" in scoped.columns else with_refs(scoped)
     query = F.nullif(F.trim("search.query"), F.lit(""))
-    refs = scoped.select(
-        "aid", "event_id", "sequence", "occurred_ms", query.alias("query"),
-        F.posexplode(F.filter(F.concat(F.array(own), hits), lambda s: s.isNotNull())).alias("pos", "s"),
-    ).select("aid", "event_id", "sequence", "query", "pos", "s.*")
-    norm = refs.withColumn("normalized", normalize_location(F.col("location"), F.col("kind")))
-    return norm.withColumn(
-        "key",
-        F.coalesce(
-            F.concat(F.lit("loc:"), "normalized"), F.concat(F.lit("hash:"), F.nullif(F.col("content_hash"), F.lit(""))), F.concat(F.lit("id:"), "source_id")
-        ),
+    # The outer form, since Spark guards the other one by a filter that works out the array again.
+    each = rows.select("aid", "event_id", "sequence", "type", query.alias("query"), "refs", F.posexplode_outer("refs").alias("pos", "s")).where("pos is not null")
+    first = F.array_position(F.transform("refs", lambda s: s["key"]), F.col("s.key")) == F.col("pos") + 1
+    asks = F.when(F.col("query").isNotNull(), F.coalesce(first, F.lit(False))).otherwise(F.lit(False))
+    return each.select("aid", "event_id", "sequence", "type", "query", "pos", "s.*", asks.alias("asks"))
+
+
+def source_captures(refs: DataFrame) -> DataFrame:
+    """One row per source and id it was captured under, with the first mention of the pair."""
+    at = (F.col("sequence"), F.col("pos"))
+    return refs.groupBy("aid", "key", "source_id").agg(
+        F.min(F.struct(*at, "kind", "location")).alias("named"),
+        F.max("normalized").alias("normalized"),
+        F.min(F.when(F.col("title") != "", F.struct(*at, "title"))).alias("titled"),
+        F.min(F.when(F.col("accessed_at") != "", F.struct(*at, "accessed_at"))).alias("accessed"),
+        F.count("*").alias("anchors"),
+        F.count_if("asks").alias("queries"),
     )
 
 
-def source_ledger(refs: DataFrame) -> DataFrame:
+def source_ledger(captures: DataFrame) -> DataFrame:
     """One row per source; the first mention names it. Captured ids, queries and anchors stay in ``refs``."""
-    at = F.struct("sequence", "pos")
-    titled = F.when(F.col("title") != "", at)
-    return refs.groupBy("aid", "key").agg(
-        F.min(at).alias("first"),
-        _src(F.min_by("source_id", at)).alias("source"),
-        F.min_by("kind", at).alias("kind"),
-        F.min_by("location", at).alias("location"),
-        F.max("normalized").alias("normalized"),
-        F.min_by("title", titled).alias("title"),
-        F.min(titled).alias("titled"),
-        F.min_by("accessed_at", F.when(F.col("accessed_at") != "", at)).alias("accessed_at"),
-        F.count("*").alias("anchors"),
-        F.count_distinct("source_id").alias("captured_ids"),
-        F.count_distinct(F.when(F.col("query").isNotNull(), F.struct("query", "event_id"))).alias("queries"),
+    named = F.struct("named.sequence", "named.pos", "source_id", "named.kind", "named.location")
+    rows = captures.groupBy("aid", "key").agg(
+        F.min(named).alias("n"), F.max("normalized").alias("normalized"), F.min("titled").alias("t"), F.min("accessed").alias("a"),
+        F.sum("anchors").alias("anchors"), F.count("source_id").alias("captured_ids"), F.sum("queries").alias("queries"),
+    )
+    return rows.select(
+        "aid", "key", F.struct("n.sequence", "n.pos").alias("first"), _src(F.col("n.source_id")).alias("source"), "n.kind", "n.location", "normalized",
+        "t.title", F.when(F.col("t").isNotNull(), F.struct("t.sequence", "t.pos")).alias("titled"), "a.accessed_at", "anchors", "captured_ids", "queries",
     )
 
 
@@ -148,14 +161,22 @@ def canonical_sources(refs: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def adjudicate(scoped: DataFrame, refs: DataFrame, sources: DataFrame) -> DataFrame:
-    """One evidence item per event: integrity, admissibility and grounding, as known at the event."""
+def adjudicate(scoped: DataFrame, captures: DataFrame, sources: DataFrame, whole: bool = False) -> DataFrame:
+    """One evidence item per event: integrity, admissibility and grounding, as known at the event.
+
+    What is known of an id changes at the first capture of each of its sources only, so those and the events are scanned together.
+    """
     entry = sources.select("aid", "key", F.struct("first", "source", "spoof", "titled").alias("_e"))
-    captures = refs.join(entry, ["aid", "key"]).groupBy("aid", "source_id", "sequence").agg(F.min("_e").alias("_e"))
-    known = ordered_scan(captures, ["aid", "source_id"], ["sequence"], sequence_chunk(), _then=running_min(F.col("_e")))
-    own = known.select("aid", F.col("source_id").alias("_sid"), "sequence", "_then")
+    events = scoped.select(
+        "aid", F.col("source.source_id").alias("_sid"), "sequence", F.lit(1).alias("_own"), "run_id", "event_id", "type", "category", "has_locator",
+        F.col("read.outcome").alias("_outcome"), F.lit(None).cast(entry.schema["_e"].dataType).alias("_e"),
+    )
+    learned = captures.where("source_id is not null").select("aid", "key", F.col("source_id").alias("_sid"), F.col("named.sequence").alias("sequence"), F.lit(0).alias("_own")).join(entry, ["aid", "key"]).drop("key")
+    known = ordered_scan(
+        events.where("_sid is not null").unionByName(learned, allowMissingColumns=True), ["aid", "_sid"], ["sequence", "_own"], sequence_chunk(), whole, _then=running_min(F.col("_e"))
+    )
+    rows = known.where("_own = 1").unionByName(events.where("_sid is null").withColumn("_then", F.col("_e")))
     read = F.col("type") == "READ"
-    rows = scoped.withColumn("_sid", F.col("source.source_id")).join(own, ["aid", "_sid", "sequence"], "left")
     observed = F.col("category") == "OBSERVED"
     forged = observed & ~F.col("has_locator")
     spoofed = F.coalesce(F.col("_then.spoof") & (F.col("_then.titled.sequence") <= F.col("sequence")), F.lit(False))
@@ -165,7 +186,7 @@ def adjudicate(scoped: DataFrame, refs: DataFrame, sources: DataFrame) -> DataFr
     )
     refused = (
         F.col("integrity").isin("FORGED_OBSERVED", "MISSING_ANCHOR") | spoofed
-        | (read & F.coalesce(F.col("read.outcome").isin("FAILED", "CANCELLED"), F.lit(False)))
+        | (read & F.coalesce(F.col("_outcome").isin("FAILED", "CANCELLED"), F.lit(False)))
         | (F.col("type").isin("CLAIM", "RECOMMEND") & (F.col("category") == "REPORTED"))
     )
     return (
@@ -367,9 +388,11 @@ def verifications(scoped: DataFrame, claims: DataFrame, evidence: DataFrame) ->
         F.when(F.col("_n") == 1, F.col("claim_id")).alias("claim_id"),
     )
     cited = v.select("aid", "event_id", "sequence", F.explode("evidence_event_ids").alias("_eid"))
+    # An item is cited by its event's id or by its own, which is that with a prefix.
+    bare = F.when(F.startswith("_eid", F.lit("ev-")), F.substring("_eid", F.lit(4), F.length("_eid")))
+    cited = cited.select("aid", "event_id", "sequence", F.explode(F.array_compact(F.array("_eid", bare))).alias("_eid"))
     items = evidence.select(
-        "aid", F.col("sequence").alias("_es"), ((F.col("admissibility") == "ADMISSIBLE") & (F.col("grounding") == "SOURCE_CONTENT")).alias("_good"),
-        F.explode(F.array("event_id", "evidence_id")).alias("_eid"),
+        "aid", F.col("sequence").alias("_es"), ((F.col("admissibility") == "ADMISSIBLE") & (F.col("grounding") == "SOURCE_CONTENT")).alias("_good"), F.col("event_id").alias("_eid")
     )
     backing = cited.join(items, ["aid", "_eid"]).where("_es <= sequence").groupBy("aid", "event_id").agg(
         F.count("*").alias("resolver_evidence"), F.bool_or("_good").alias("_backed")

@@ -126,12 +126,12 @@ def overview(verdicts: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def with_branch(scoped: DataFrame) -> DataFrame:
+def with_branch(scoped: DataFrame, whole: bool = False) -> DataFrame:
     """Events with the number and id of the branch they belong to; before the first search there is none."""
     search = F.col("type") == "SEARCH"
     narrow = scoped.select("aid", "event_id", "sequence", "type", "occurred_ms")
     return ordered_scan(
-        narrow, ["aid"], ["sequence"], sequence_chunk(),
+        narrow, ["aid"], ["sequence"], sequence_chunk(), whole,
         branch=running_sum(search.cast("int")), branch_event=last_seen(F.col("event_id"), search, inclusive=True), prev=last_seen(F.struct("event_id", "type")),
     )
 
@@ -187,14 +187,15 @@ def branches(branched: DataFrame) -> tuple[DataFrame, DataFrame]:
 def event_sources(refs: DataFrame, sources: DataFrame) -> DataFrame:
     """The source an event is filed under: the last ledger entry it is an anchor of."""
     entry = sources.select("aid", "key", F.struct("first", "source").alias("_e"))
-    return refs.select("aid", "event_id", "key").join(entry, ["aid", "key"]).groupBy("aid", "event_id").agg(F.max("_e").alias("_e")).select("aid", "event_id", F.col("_e.source").alias("source"))
+    of = ["aid", "event_id", "sequence", "type"]
+    return refs.select(*of, "key").join(entry, ["aid", "key"]).groupBy(*of).agg(F.max("_e").alias("_e")).select(*of, F.col("_e.source").alias("source"))
 
 
-def facets(scoped: DataFrame, filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def facets(filed: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """FACET nodes: searches filed under one source, numbered by first search; edges to each search."""
-    searches = scoped.where("type = 'SEARCH'").select("aid", "event_id", "sequence").join(filed, ["aid", "event_id"])
+    searches = filed.where("type = 'SEARCH'").select("aid", "event_id", "sequence", "source")
     groups = searches.groupBy("aid", "source").agg(F.min("sequence").alias("sequence"), F.count("*").alias("events"))
-    numbered = ordered_scan(groups, ["aid"], ["sequence", "source"], sequence_chunk(), facet=running_sum(F.lit(1)))
+    numbered = ordered_scan(groups, ["aid"], ["sequence", "source"], sequence_chunk(), whole, facet=running_sum(F.lit(1)))
     node = F.concat(F.lit("node-facet-"), F.col("facet").cast("string"), F.lit("-"), "source")
     nodes = numbered.select("aid", node.alias("node_id"), F.lit("FACET").alias("kind"), F.concat(F.lit("Facet: sources shared with "), "source").alias("label"), "events", "source")
     edges = searches.join(nodes.select("aid", "source", "node_id"), ["aid", "source"]).select(
@@ -211,10 +212,10 @@ def sequence_edges(branched: DataFrame) -> DataFrame:
     )
 
 
-def shared_source_edges(branched: DataFrame, filed: DataFrame) -> DataFrame:
+def shared_source_edges(branched: DataFrame, filed: DataFrame, whole: bool = False) -> DataFrame:
     """Branches that use one source, each linked to the next one only; every pair once."""
-    used = branched.where("branch > 0").join(filed, ["aid", "event_id"]).select("aid", "source", "branch", "branch_event").distinct()
-    linked = ordered_scan(used, ["aid", "source"], ["branch"], sequence_chunk("branch"), prev=last_seen(F.struct("branch", "branch_event")))
+    used = branched.where("branch > 0").select("aid", "event_id", "branch", "branch_event").join(filed.select("aid", "event_id", "source"), ["aid", "event_id"]).select("aid", "source", "branch", "branch_event").distinct()
+    linked = ordered_scan(used, ["aid", "source"], ["branch"], sequence_chunk("branch"), whole, prev=last_seen(F.struct("branch", "branch_event")))
     return linked.where("prev is not null").select(
         "aid", _branch_node(F.col("prev.branch"), F.col("prev.branch_event")).alias("from_node"), _branch_node(F.col("branch"), F.col("branch_event")).alias("to_node"),
         F.lit("SHARED_SOURCE").alias("kind"),
@@ -258,16 +259,16 @@ CONCENTRATION_READS, CONCENTRATION_SHARE = 3, 0.6
 HIGH = ("CONTRADICTION", "PRE_RECOMMENDATION")
 
 
-def checkpoint_triggers(scoped: DataFrame, evidence: DataFrame) -> DataFrame:
+def checkpoint_triggers(scoped: DataFrame, evidence: DataFrame, whole: bool = False) -> DataFrame:
     """Events that may become a checkpoint, with the facts the selection needs."""
     base = evidence.select("aid", "event_id", "sequence", "type", F.coalesce("source", F.lit("unknown")).alias("source"), "admissibility")
     read = F.col("type") == "READ"
     seen = stage(ordered_scan(
-        base, ["aid"], ["sequence"], sequence_chunk(),
+        base, ["aid"], ["sequence"], sequence_chunk(), whole,
         reads=running_sum(read.cast("int")), prev=last_seen(F.struct("event_id", "sequence")),
         gain_seq=last_seen(F.col("sequence"), F.col("admissibility") == "ADMISSIBLE", inclusive=True),
     ))
-    per_source = ordered_scan(seen.where(read), ["aid", "source"], ["sequence"], sequence_chunk(), own_reads=running_sum(F.lit(1))).select("aid", "event_id", "own_reads")
+    per_source = ordered_scan(seen.where(read), ["aid", "source"], ["sequence"], sequence_chunk(), whole, own_reads=running_sum(F.lit(1))).select("aid", "event_id", "own_reads")
     rows = seen.join(per_source, ["aid", "event_id"], "left")
     crowded = read & (F.col("reads") >= CONCENTRATION_READS) & (F.col("own_reads") / F.col("reads") >= CONCENTRATION_SHARE)
     stalled = F.col("gain_seq").isNotNull() & (F.col("sequence") - F.col("gain_seq") >= NO_GAIN_WINDOW)
@@ -310,7 +311,7 @@ def _select(key: tuple, rows: list[dict], budget: int, cooldown: int) -> list[tu
     return picked
 
 
-def select_checkpoints(scoped: DataFrame, evidence: DataFrame, budget: int = CHECKPOINT_BUDGET, cooldown: int = COOLDOWN) -> DataFrame:
+def select_checkpoints(scoped: DataFrame, evidence: DataFrame, budget: int = CHECKPOINT_BUDGET, cooldown: int = COOLDOWN, whole: bool = False) -> DataFrame:
     """At most ``budget`` checkpoints per answer.
 
     The budget bounds what can matter. Urgent candidates are chosen until it is spent. A plain one is passed over only
@@ -319,14 +320,14 @@ def select_checkpoints(scoped: DataFrame, evidence: DataFrame, budget: int = CHE
     can never be chosen, so each answer's selection runs over a bounded number of rows.
     """
     most = budget * (cooldown + 3)
-    cand = stage(checkpoint_triggers(scoped, evidence))
+    cand = stage(checkpoint_triggers(scoped, evidence, whole))
     urgent = F.col("advice") | F.array_contains("fixed", "CONTRADICTION")
     plain = ~urgent & (F.size("fixed") > 0)
     lone = ~urgent & (F.size("fixed") == 0)
-    ranked = ordered_scan(cand, ["aid"], ["sequence"], sequence_chunk(), _u=running_sum(urgent.cast("int")), _p=running_sum(plain.cast("int")))
+    ranked = ordered_scan(cand, ["aid"], ["sequence"], sequence_chunk(), whole, _u=running_sum(urgent.cast("int")), _p=running_sum(plain.cast("int")))
     kept = ranked.where((urgent & (F.col("_u") <= budget)) | (plain & (F.col("_p") <= most))).drop("_u", "_p")
-    stalls = ordered_scan(cand.where(lone), ["aid", "gain_seq"], ["sequence"], sequence_chunk(), _r=running_sum(F.lit(1)))
-    windows = ordered_scan(stalls.where("_r = 1").select("aid", "gain_seq"), ["aid"], ["gain_seq"], sequence_chunk("gain_seq"), _w=running_sum(F.lit(1)))
+    stalls = ordered_scan(cand.where(lone), ["aid", "gain_seq"], ["sequence"], sequence_chunk(), whole, _r=running_sum(F.lit(1)))
+    windows = ordered_scan(stalls.where("_r = 1").select("aid", "gain_seq"), ["aid"], ["gain_seq"], sequence_chunk("gain_seq"), whole, _w=running_sum(F.lit(1)))
     first = stalls.where(F.col("_r") <= most).join(windows.where(F.col("_w") <= most), ["aid", "gain_seq"]).select(*kept.columns)
     return fold_groups(
         kept.unionByName(first), ["aid"], ["sequence"], partial(_select, budget=budget, cooldown=cooldown), "aid string, ordinal bigint, anchor_event string, anchor_seq bigint, source_event string, triggers string, from_seq bigint"

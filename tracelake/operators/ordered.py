@@ -61,8 +61,18 @@ def sequence_chunk(sequence: str = "sequence", rows: int = SEQUENCE_CHUNK) -> Co
     return F.floor(F.col(sequence) / rows)
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, **scans: Scan) -> DataFrame:
-    """Add one column per named scan. Keys must be non-null and ``order`` must be total per key."""
+def one_chunk(df: DataFrame, sequence: str = "sequence") -> bool:
+    """Whether all rows lie in one chunk of ``sequence``. Reads one column, so only for frames that are stored."""
+    at = sequence_chunk(sequence)
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    return low == high
+
+
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, whole: bool = False, **scans: Scan) -> DataFrame:
+    """Add one column per named scan. Keys must be non-null and ``order`` must be total per key.
+
+    ``whole`` says that no key has rows in two chunks (``one_chunk``): then there are no borders to carry anything over.
+    """
     parts = [*keys, "_chunk"]
     cols = df.columns
     fwd = Window.partitionBy(*parts).orderBy(*order)
@@ -101,6 +111,11 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
             local[f"_l_{name}"] = F.last(v, ignorenulls=True).over(bwd.rowsBetween(*before))
             summary.append(F.min_by(v, seen).alias(f"_s_{name}"))
 
+    if whole:
+        near = {name: F.col(f"_l_{name}") for name in scans}
+        out = [(F.coalesce(near[n], F.lit(0)) if s.kind == "sum" else near[n] if s.kind == "min" else near[n]["v"]).alias(n) for n, s in scans.items()]
+        return df.withColumns(local).select(*cols, *out)
+
     borders = df.groupBy(*parts).agg(*summary)
     over_key = Window.partitionBy(*keys)
     earlier = over_key.orderBy("_chunk").rowsBetween(*before)

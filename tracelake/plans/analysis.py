@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evidence as E, lens as L
+from ..operators.ordered import one_chunk
 from ..runtime import stage
 
 
@@ -22,17 +23,26 @@ class Analysis:
     def refs(self) -> DataFrame:
         return self._keep("refs", lambda: E.source_refs(self.scoped))
 
+    @cached_property
+    def whole(self) -> bool:
+        """Whether no answer reaches over a border of the ordered scans. A bound of the stored frames, read once."""
+        return one_chunk(self.scoped)
+
+    @cached_property
+    def captures(self) -> DataFrame:
+        return self._keep("captures", lambda: E.source_captures(self.refs))
+
     @cached_property
     def sources(self) -> DataFrame:
-        return self._keep("sources", lambda: E.flag_spoof(E.source_ledger(self.refs)))
+        return self._keep("sources", lambda: E.flag_spoof(E.source_ledger(self.captures)))
 
     @cached_property
     def canonical(self) -> DataFrame:
-        return E.canonical_sources(self.refs, self.sources)
+        return E.canonical_sources(self.captures, self.sources)
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return self._keep("evidence", lambda: E.adjudicate(self.scoped, self.refs, self.sources))
+        return self._keep("evidence", lambda: E.adjudicate(self.scoped, self.captures, self.sources, self.whole))
 
     @cached_property
     def claims(self) -> DataFrame:
@@ -40,7 +50,7 @@ class Analysis:
 
     @cached_property
     def condition_rows(self) -> DataFrame:
-        return E.condition_rows(self.scoped)
+        return self._keep("condition_rows", lambda: E.condition_rows(self.scoped))
 
     @cached_property
     def missing(self) -> DataFrame:
@@ -81,7 +91,7 @@ class Analysis:
 
     @cached_property
     def branched(self) -> DataFrame:
-        return self._keep("branched", lambda: L.with_branch(self.scoped))
+        return self._keep("branched", lambda: L.with_branch(self.scoped, self.whole))
 
     @cached_property
     def filed(self) -> DataFrame:
@@ -89,4 +99,4 @@ class Analysis:
 
     @cached_property
     def checkpoints(self) -> DataFrame:
-        return self._keep("checkpoints", lambda: L.select_checkpoints(self.scoped, self.evidence))
+        return self._keep("checkpoints", lambda: L.select_checkpoints(self.scoped, self.evidence, whole=self.whole))
