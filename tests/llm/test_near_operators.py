@@ -208,3 +208,23 @@ def test_graph_search_meets_all_links_of_a_part(monkeypatch, gathered):
     assert ((score >= 0.95) == (exact >= 0.95)).mean() > 0.9999
     one = x[:1]
     assert near_vectors.greedy_search(one, one, *near_vectors.pruned_edges(one), np.array([0]), 0.95, 32).shape == (1, 1)
+
+
+def test_components_shuffle_three_times_a_round(spark, monkeypatch):
+    """A round used to read and join its pairs in four places, which a large number of partitions made slow."""
+    import random
+
+    from tracelake.llm import graph
+
+    plans, keep = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    pick = random.Random(4)
+    edges = [(pick.randrange(300), pick.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, i) for i in range(5001, 5200)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {n: n for pair in edges if pair[0] != pair[1] for n in pair}
+    for _ in want:
+        for x, y in edges:
+            if x != y:
+                want[x] = want[y] = min(want[x], want[y])
+    assert got == want
+    assert len(plans) > 2 and all("Join" not in p and p.count("Exchange hashpartitioning") == 3 for p in plans[1:])
