@@ -86,3 +86,20 @@ def test_scans_within_one_chunk_carry_nothing_over(spark):
     sources = E.flag_spoof(E.source_ledger(captures))
     both = [sorted(E.adjudicate(events, captures, sources, whole).collect()) for whole in (True, False)]
     assert both[0] == both[1] and [r.source for r in sorted(both[0], key=lambda r: r.sequence)][:4] == ["src-s1", "src-s2", "src-s1", "src-s2"]
+
+
+def test_scans_over_a_named_chunk_move_the_rows_once(spark):
+    """Each of the three scans of hook packets used to shuffle the packets with all they hold."""
+    from tracelake.operators.ordered import last_seen, ordered_scan, running_sum
+
+    rows = spark.range(200).select(F.concat(F.lit("k"), F.col("id") % 3).alias("key"), F.col("id").alias("line_no"), F.lit("text").alias("payload"), F.floor(F.col("id") / 20).alias("slice"))
+
+    def scans(chunk):
+        one = ordered_scan(rows, ["key"], ["line_no"], chunk, a=running_sum(F.col("line_no")))
+        return ordered_scan(one, ["key"], ["line_no"], chunk, b=last_seen(F.col("a"), F.col("a") % 2 == 0))
+
+    moved = {}
+    for name, chunk in (("named", "slice"), ("worked out", F.col("slice") + 0)):
+        moved[name] = scans(chunk)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key")
+    assert moved["named"] < moved["worked out"]
+    assert sorted(scans("slice").collect()) == sorted(scans(F.col("slice") + 0).collect())

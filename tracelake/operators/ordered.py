@@ -68,19 +68,22 @@ def one_chunk(df: DataFrame, sequence: str = "sequence") -> bool:
     return low == high
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column, whole: bool = False, **scans: Scan) -> DataFrame:
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str, whole: bool = False, **scans: Scan) -> DataFrame:
     """Add one column per named scan. Keys must be non-null and ``order`` must be total per key.
 
     ``whole`` says that no key has rows in two chunks (``one_chunk``): then there are no borders to carry anything over.
+    A chunk that is named, as a column of ``df``, stays there: scans in a row over it move the rows once.
     """
-    parts = [*keys, "_chunk"]
+    named = chunk if isinstance(chunk, str) else "_chunk"
+    parts = [*keys, named]
     cols = df.columns
     fwd = Window.partitionBy(*parts).orderBy(*order)
     bwd = Window.partitionBy(*parts).orderBy(*[F.col(c).desc() for c in order])
     before = (Window.unboundedPreceding, -1)
     upto = (Window.unboundedPreceding, 0)
 
-    df = df.withColumn("_chunk", chunk)
+    if not isinstance(chunk, str):
+        df = df.withColumn(named, chunk)
     boxed = {}
     for name, s in scans.items():
         if s.kind == "sum":
@@ -118,8 +121,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], chunk: Column
 
     borders = df.groupBy(*parts).agg(*summary)
     over_key = Window.partitionBy(*keys)
-    earlier = over_key.orderBy("_chunk").rowsBetween(*before)
-    later = over_key.orderBy(F.col("_chunk").desc()).rowsBetween(*before)
+    earlier = over_key.orderBy(named).rowsBetween(*before)
+    later = over_key.orderBy(F.col(named).desc()).rowsBetween(*before)
     carry = []
     for name, s in scans.items():
         v = F.col(f"_s_{name}")

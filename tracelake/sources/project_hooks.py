@@ -31,11 +31,10 @@ def _turns(lines: DataFrame) -> DataFrame:
     rows = lines.select("line_no", p.alias("p")).select("line_no", "p.*").where((F.coalesce("session_id", F.lit("")) != "") & F.col("hook_event_name").isin(*EVENTS))
     name, own = F.col("hook_event_name"), F.col("agent_id").isNull()
     kind = F.when(own & name.isin(*TOOL_EVENTS), "T").when(own & (name == "Stop"), "C").when(own & (name == "StopFailure"), "F")
-    rows = stage(rows.withColumns({"run_id": F.concat(F.lit("run-claude-hook-"), native_id("session_id")), "kind": kind}))
-    chunk = F.floor(F.col("line_no") / 65_536)
+    rows = stage(rows.withColumns({"run_id": F.concat(F.lit("run-claude-hook-"), native_id("session_id")), "kind": kind, "slice": F.floor(F.col("line_no") / 65_536)}))
 
     def scan(df: DataFrame, **scans) -> DataFrame:
-        return ordered_scan(df, ["run_id"], ["line_no"], chunk, **scans)
+        return ordered_scan(df, ["run_id"], ["line_no"], "slice", **scans)
 
     rows = scan(rows, worked=last_seen(F.col("kind"), F.col("kind").isin("T", "F")), place=running_sum(F.lit(1)))
     said = (F.coalesce("last_assistant_message", F.lit("")) != "") & ~F.coalesce("stop_hook_active", F.lit(False)) & ~F.coalesce(F.col("worked") == "F", F.lit(False))
@@ -44,7 +43,7 @@ def _turns(lines: DataFrame) -> DataFrame:
     opens = ((F.col("mark") == "T") & F.col("before").isin("S", "F")) | ((F.col("mark") == "S") & (F.col("before") == "S"))
     rows = rows.withColumn("opens", F.coalesce(opens, F.lit(False)).cast("int"))
     rows = scan(rows, opened=running_sum(F.col("opens")), stops=running_sum(F.coalesce(F.col("kind") == "C", F.lit(False)).cast("int"), inclusive=False))
-    return stage(rows.withColumn("turn", F.col("opened") + 1))
+    return stage(rows.withColumn("turn", F.col("opened") + 1).drop("slice"))
 
 
 def _given(source: str) -> Column:
