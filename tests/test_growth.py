@@ -103,3 +103,26 @@ def test_scans_over_a_named_chunk_move_the_rows_once(spark):
         moved[name] = scans(chunk)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key")
     assert moved["named"] < moved["worked out"]
     assert sorted(scans("slice").collect()) == sorted(scans(F.col("slice") + 0).collect())
+
+
+def test_light_queries_build_no_verdicts(spark, monkeypatch):
+    """The choice of an answer, its lanes and its sequence used to build the whole analysis or all columns of the scoped events first."""
+    from tracelake.plans import catalog_evidence as C
+    from tracelake.operators import evidence as E
+
+    kept = []
+    keep = C.silver
+    monkeypatch.setattr(C, "silver", lambda s, d, name, build: kept.append(name) or keep(s, d, name, build))
+    d = "/root/testdata/sf0.001"
+    needs = {"prj_decide": set(), "evd_lane_counts": set(), "top_sequence_edges": {"evd_branched"}, "top_facet_nodes": {"evd_refs", "evd_captures", "evd_sources"}}
+    for name, wanted in needs.items():
+        kept.clear()
+        C.QUERIES[name](spark, d)
+        assert set(kept) - {"trace_events"} == wanted, name
+    kept.clear()
+    C.QUERIES["prj_overview"](spark, d)
+    assert not {"evd_checks", "evd_verdicts", "evd_support_rows", "evd_answer_support"} & set(kept)
+
+    a = C.analysis(spark, d)
+    assert sorted(E.provenance(a.lean).collect()) == sorted(a.evidence.select("aid", "effective").collect())
+    assert sorted(a.conflicts.collect(), key=str) == sorted(E.conflicts(a.scoped, a.matches, a.checks).collect(), key=str)

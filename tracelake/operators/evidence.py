@@ -161,6 +161,17 @@ def canonical_sources(refs: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def _effective() -> tuple[Column, Column]:
+    """Whether an event claims to be observed without saying where, and the category that it has then."""
+    forged = (F.col("category") == "OBSERVED") & ~F.col("has_locator")
+    return forged, F.when(forged, "INFERRED").otherwise(F.col("category"))
+
+
+def provenance(scoped: DataFrame) -> DataFrame:
+    """Effective category of each event: that of its evidence item, which needs no source."""
+    return scoped.select("aid", _effective()[1].alias("effective"))
+
+
 def adjudicate(scoped: DataFrame, captures: DataFrame, sources: DataFrame, whole: bool = False) -> DataFrame:
     """One evidence item per event: integrity, admissibility and grounding, as known at the event.
 
@@ -177,8 +188,7 @@ def adjudicate(scoped: DataFrame, captures: DataFrame, sources: DataFrame, whole
     )
     rows = known.where("_own = 1").unionByName(events.where("_sid is null").withColumn("_then", F.col("_e")))
     read = F.col("type") == "READ"
-    observed = F.col("category") == "OBSERVED"
-    forged = observed & ~F.col("has_locator")
+    forged, effective = _effective()
     spoofed = F.coalesce(F.col("_then.spoof") & (F.col("_then.titled.sequence") <= F.col("sequence")), F.lit(False))
     integrity = (
         F.when(forged, "FORGED_OBSERVED").when(F.col("category") == "REPORTED", "REPORTED_ONLY")
@@ -196,7 +206,7 @@ def adjudicate(scoped: DataFrame, captures: DataFrame, sources: DataFrame, whole
             "aid", "run_id", "event_id", F.concat(F.lit("ev-"), "event_id").alias("evidence_id"), "sequence", "type",
             F.col("_then.source").alias("source"),
             F.col("category").alias("claimed"),
-            F.when(forged, "INFERRED").otherwise(F.col("category")).alias("effective"),
+            effective.alias("effective"),
             "integrity",
             "admissibility",
             F.when(~read, "ACTIVITY_ONLY").when(F.col("_then").isNull(), "UNKNOWN")
@@ -375,11 +385,7 @@ def _claims_named(needles: DataFrame, claims: DataFrame) -> DataFrame:
 
 def verifications(scoped: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Assessment of each VERIFY: was its target known by then, and does grounded evidence back it."""
-    v = scoped.where("type = 'VERIFY'").select("aid", "event_id", "sequence", "verify.*")
-    known = scoped.select("aid", F.col("event_id").alias("target_event_id"), F.col("sequence").alias("_tseq"))
-    by_id = v.where("target_event_id is not null").join(known, ["aid", "target_event_id"], "left").select(
-        "aid", "event_id", F.when(F.col("_tseq") < F.col("sequence"), "MATCHED").otherwise("MISSING").alias("resolution"), F.lit(None).cast("string").alias("claim_id")
-    )
+    v = _checks(scoped)
     needles = v.where("target_event_id is null and target_claim_text <> ''").select("aid", "event_id", "sequence", F.lower("target_claim_text").alias("needle"))
     hits = _claims_named(needles, claims).groupBy("aid", "event_id").agg(F.count("*").alias("_n"), F.min("claim_id").alias("claim_id"))
     by_text = needles.join(hits, ["aid", "event_id"], "left").select(
@@ -387,6 +393,28 @@ def verifications(scoped: DataFrame, claims: DataFrame, evidence: DataFrame) ->
         F.when(F.col("_n") == 1, "MATCHED").when(F.col("_n") > 1, "AMBIGUOUS").otherwise("MISMATCHED").alias("resolution"),
         F.when(F.col("_n") == 1, F.col("claim_id")).alias("claim_id"),
     )
+    return _assessed(v, _resolved(v, scoped).unionByName(by_text), evidence)
+
+
+def proofs(scoped: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The verifications that name their target by id, which are those that may resolve a conflict. No text is looked up."""
+    v = _checks(scoped).where("target_event_id is not null")
+    return _assessed(v, _resolved(v, scoped), evidence)
+
+
+def _checks(scoped: DataFrame) -> DataFrame:
+    return scoped.where("type = 'VERIFY'").select("aid", "event_id", "sequence", "verify.*")
+
+
+def _resolved(v: DataFrame, scoped: DataFrame) -> DataFrame:
+    """Targets given by id, and whether they were known by then."""
+    known = scoped.select("aid", F.col("event_id").alias("target_event_id"), F.col("sequence").alias("_tseq"))
+    return v.where("target_event_id is not null").join(known, ["aid", "target_event_id"], "left").select(
+        "aid", "event_id", F.when(F.col("_tseq") < F.col("sequence"), "MATCHED").otherwise("MISSING").alias("resolution"), F.lit(None).cast("string").alias("claim_id")
+    )
+
+
+def _assessed(v: DataFrame, found: DataFrame, evidence: DataFrame) -> DataFrame:
     cited = v.select("aid", "event_id", "sequence", F.explode("evidence_event_ids").alias("_eid"))
     # An item is cited by its event's id or by its own, which is that with a prefix.
     bare = F.when(F.startswith("_eid", F.lit("ev-")), F.substring("_eid", F.lit(4), F.length("_eid")))
@@ -397,7 +425,6 @@ def verifications(scoped: DataFrame, claims: DataFrame, evidence: DataFrame) ->
     backing = cited.join(items, ["aid", "_eid"]).where("_es <= sequence").groupBy("aid", "event_id").agg(
         F.count("*").alias("resolver_evidence"), F.bool_or("_good").alias("_backed")
     )
-    found = by_id.unionByName(by_text)
     valid = (F.col("resolution") == "MATCHED") & F.coalesce("_backed", F.lit(False)) & F.col("result").isin("CONFIRMED", "REFUTED")
     return (
         v.join(found, ["aid", "event_id"], "left").join(backing, ["aid", "event_id"], "left")

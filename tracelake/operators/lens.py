@@ -88,6 +88,11 @@ def compare_matrix(scoped: DataFrame) -> DataFrame:
     )
 
 
+def choices(scoped: DataFrame) -> DataFrame:
+    """The last choice per answer, and how often it was advised."""
+    return scoped.where("type = 'RECOMMEND'").groupBy("aid").agg(F.max_by("recommend.choice", "sequence").alias("choice"), F.count("*").alias("recommendations"))
+
+
 def decide(scoped: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The last choice per answer, and each rejected option with the supported claims that mention it.
 
@@ -95,7 +100,6 @@ def decide(scoped: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame
     the words of the answer's claims, then checked in full, so claims and options are not all paired.
     """
     advice = scoped.where("type = 'RECOMMEND'")
-    choice = advice.groupBy("aid").agg(F.max_by("recommend.choice", "sequence").alias("choice"), F.count("*").alias("recommendations"))
     options = advice.select("aid", "event_id", F.explode("recommend.alternatives").alias("option"))
     needle = F.lower("option")
     probe = options.select("aid", "option").distinct().withColumn("gram", F.substring(needle, 1, 3)).where("gram <> ''")
@@ -111,7 +115,7 @@ def decide(scoped: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame
     met = probe.hint("merge").join(grams, ["aid", "gram"]).select("aid", "option", "claim_id").distinct()
     named = F.contains("_text", needle) | F.contains("claim_id", F.concat(F.lit("-"), "option", F.lit("-")))
     found = met.hint("merge").join(texts.drop("_all"), ["aid", "claim_id"]).where(named).select("aid", "option", "claim_id").distinct()
-    return choice, options.join(found.hint("merge"), ["aid", "option"], "left").select("aid", "event_id", "option", "claim_id")
+    return choices(scoped), options.join(found.hint("merge"), ["aid", "option"], "left").select("aid", "event_id", "option", "claim_id")
 
 
 def verify_ledger(checks: DataFrame, found: DataFrame) -> DataFrame:
@@ -120,8 +124,9 @@ def verify_ledger(checks: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def overview(verdicts: DataFrame, found: DataFrame) -> DataFrame:
-    return verdicts.select("aid", F.lit("CLAIM").alias("row"), F.col("claim_id").alias("id")).unionByName(
+def overview(claims: DataFrame, found: DataFrame) -> DataFrame:
+    """Every claim, whatever its verdict, and the conflicts that are not resolved."""
+    return claims.select("aid", F.lit("CLAIM").alias("row"), F.col("claim_id").alias("id")).unionByName(
         found.where("status <> 'RESOLVED'").select("aid", F.lit("OPEN_CONFLICT").alias("row"), F.col("conflict_id").alias("id"))
     )
 

@@ -66,7 +66,7 @@ class Analysis:
 
     @cached_property
     def conflicts(self) -> DataFrame:
-        return self._keep("conflicts", lambda: E.conflicts(self.scoped, self.matches, self.checks))
+        return self._keep("conflicts", lambda: E.conflicts(self.scoped, self.matches, E.proofs(self.scoped, self.evidence)))
 
     @cached_property
     def under(self) -> DataFrame:

@@ -353,7 +353,7 @@ _TRACE_TYPE = """CASE event_type WHEN 'view' THEN 'SEARCH' WHEN 'click' THEN 'RE
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ordered import ordered_scan, running_sum, sequence_chunk
 
-    raw = raw_events(spark, sf_dir).withColumn("run_id", F.concat(F.lit("r"), F.col("user_id"))).withColumn("type", F.expr(_TRACE_TYPE))
+    raw = raw_events(spark, sf_dir).select(F.concat(F.lit("r"), F.col("user_id")).alias("run_id"), "event_id", F.expr(_TRACE_TYPE).alias("type"), "k", "ts_ms")
     numbered = ordered_scan(raw, ["run_id"], ["event_id"], sequence_chunk("event_id"), seq=running_sum(F.lit(1)))
     flat = numbered.selectExpr(*_TRACE_COLUMNS.format(a="array", s="string").split(",\n"))
     none = F.lit(None).cast("string")
