@@ -126,3 +126,17 @@ def test_light_queries_build_no_verdicts(spark, monkeypatch):
     a = C.analysis(spark, d)
     assert sorted(E.provenance(a.lean).collect()) == sorted(a.evidence.select("aid", "effective").collect())
     assert sorted(a.conflicts.collect(), key=str) == sorted(E.conflicts(a.scoped, a.matches, a.checks).collect(), key=str)
+
+
+def test_lifecycle_and_agents_are_built_once(spark, monkeypatch):
+    """Problems, outcome and root each built the graph of agents, and two of them the liveness of all sessions."""
+    from tracelake.operators import sessions as S
+    from tracelake.plans import catalog_sessions as C, silver
+
+    calls = []
+    monkeypatch.setattr(silver, "_BUILT", {})
+    for name in ("agent_graph", "liveness"):
+        real = getattr(S, name)
+        monkeypatch.setattr(S, name, lambda *a, real=real, name=name: calls.append(name) or real(*a))
+    C.QUERIES["ses_root_agent"](spark, "/root/testdata/sf0.001")
+    assert sorted(calls) == ["agent_graph", "liveness"]

@@ -19,13 +19,20 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def lifecycle(spark, d):
     """Lifecycle with liveness: the last event time stands for the file's modification time."""
-    base = S.session_lifecycle(events(spark, d))
-    files = base.select("session_id", F.col("last_ms").alias("modified_ms"))
-    now = events(spark, d).agg(F.max("ts_ms")).first()[0]
-    live = S.liveness(files, base, now, LIVE_MS).where("running")
+    def build():
+        base = S.session_lifecycle(events(spark, d))
+        files = base.select("session_id", F.col("last_ms").alias("modified_ms"))
+        now = events(spark, d).agg(F.max("ts_ms")).first()[0]
+        return S.liveness(files, base, now, LIVE_MS).where("running")
+
+    live = silver(spark, d, "session_live", build)
     return S.session_lifecycle(events(spark, d), live), live
 
 
+def graph(spark, d):
+    return silver(spark, d, "agent_graph", lambda: S.agent_graph(events(spark, d)))
+
+
 def families(spark, d):
     return silver(spark, d, "agent_families", lambda: S.agent_families(events(spark, d)))
 
@@ -33,7 +40,7 @@ def families(spark, d):
 def problems(spark, d):
     def build():
         ev = events(spark, d)
-        return Pr.detect_problems(ev, families(spark, d), S.agent_graph(ev), lifecycle(spark, d)[1])
+        return Pr.detect_problems(ev, families(spark, d), graph(spark, d), lifecycle(spark, d)[1])
 
     return silver(spark, d, "problems", build)
 
@@ -42,7 +49,7 @@ def outcome(spark, d):
     ev = events(spark, d)
     return silver(
         spark, d, "session_outcome",
-        lambda: S.session_outcome(ev, lifecycle(spark, d)[0], problems(spark, d), S.agent_graph(ev)),
+        lambda: S.session_outcome(ev, lifecycle(spark, d)[0], problems(spark, d), graph(spark, d)),
     )
 
 
@@ -110,8 +117,7 @@ def ses_files(spark, d):
 
 
 def ses_root(spark, d):
-    ev = events(spark, d)
-    return S.settle_root(S.agent_graph(ev), S.root_agent(ev), outcome(spark, d)).select("session_id", "agent_id", "status")
+    return S.settle_root(graph(spark, d), S.root_agent(events(spark, d)), outcome(spark, d)).select("session_id", "agent_id", "status")
 
 
 def ses_problems_only(spark, d):
