@@ -140,3 +140,21 @@ def test_lifecycle_and_agents_are_built_once(spark, monkeypatch):
         monkeypatch.setattr(S, name, lambda *a, real=real, name=name: calls.append(name) or real(*a))
     C.QUERIES["ses_root_agent"](spark, "/root/testdata/sf0.001")
     assert sorted(calls) == ["agent_graph", "liveness"]
+
+
+def test_attempts_within_one_chunk_move_the_rows_once(spark):
+    """Each of the two scans used to shuffle the events and to join them with a summary of their chunks."""
+    from tracelake.operators import replay as R
+
+    rows = spark.range(1, 60).select(F.concat(F.lit("s"), F.col("id") % 3).alias("session_id"), F.col("id").alias("seq"), F.when(F.col("id") % 5 < 2, "verification").when(F.col("id") % 7 == 0, "other").otherwise("implementation").alias("event_type"))
+    short, long = R.segment(rows, True), R.segment(rows)
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(session_id") == 1 and "Join" not in plan
+    assert sorted(short.collect()) == sorted(long.collect())
+
+
+def test_rollout_lines_are_written_on_all_cores(spark):
+    """The lines of a small file of events were written and parsed in as many tasks as the file has parts."""
+    from tracelake.plans import catalog_rollout as C
+
+    assert "RoundRobinPartitioning" in C.rollout_log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

@@ -19,19 +19,21 @@ def _is(kind: str) -> Column:
     return F.col("event_type") == kind
 
 
-def segment(events: DataFrame) -> DataFrame:
+def segment(events: DataFrame, whole: bool = False) -> DataFrame:
     """Implementation and verification events with the attempt they belong to.
 
     A new attempt starts at an implementation that follows a verification; verifications before the
-    first implementation belong to none and are dropped.
+    first implementation belong to none and are dropped. ``whole`` says that all lie in one chunk (``one_chunk``):
+    then both scans run over one shuffle.
     """
-    work = events.where(F.col("event_type").isin("implementation", "verification"))
-    seen = stage(ordered_scan(work, ["session_id"], ["seq"], sequence_chunk("seq"), _before=last_seen(F.col("event_type"))))
+    work = events.where(F.col("event_type").isin("implementation", "verification")).withColumn("_slice", sequence_chunk("seq"))
+    seen = ordered_scan(work, ["session_id"], ["seq"], "_slice", whole, _before=last_seen(F.col("event_type")))
+    seen = seen if whole else stage(seen)
     start = _is("implementation") & (F.col("_before").isNull() | (F.col("_before") == "verification"))
     return (
-        ordered_scan(seen, ["session_id"], ["seq"], sequence_chunk("seq"), attempt_no=running_sum(start.cast("int")))
+        ordered_scan(seen, ["session_id"], ["seq"], "_slice", whole, attempt_no=running_sum(start.cast("int")))
         .where("attempt_no > 0")
-        .drop("_before")
+        .drop("_before", "_slice")
     )
 
 

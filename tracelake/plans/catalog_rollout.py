@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import replay as R
+from ..operators.ordered import one_chunk
+from ..runtime import spread
 from ..sources import rollout_logs as P
 from . import bind
 from .catalog_replay import ORACLES as REPLAY
@@ -15,7 +17,7 @@ from .silver import silver
 def rollout_log(s, d):
     """Events as rollout lines, one file per user; every third user never checks anything. By event type a patch call, a shell call, a program with a patch and a check, a program without
     either, or a patch in call arguments; outputs for most, a boundary before every sixth, a token counter after every third."""
-    e = bind.raw_events(s, d).withColumn("at", F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+    e = spread(bind.raw_events(s, d).select("event_id", "user_id", "event_type", "k", "ts_ms")).withColumn("at", F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
     k, kind, text, none = F.col("k"), F.col("event_type"), F.col("k").cast("string"), F.lit(None).cast("string")
     quiet = F.col("user_id") % 3 == 0
     path = F.concat(F.lit("src/m"), text, F.when(k % 3 == 0, ".test.ts").otherwise(".ts"))
@@ -85,7 +87,7 @@ def window_tokens(s, d):
 
 
 def segmented(s, d):
-    return silver(s, d, "rollout_segmented", lambda: R.segment(events(s, d).withColumn("session_id", F.col("file"))))
+    return silver(s, d, "rollout_segmented", lambda: R.segment(events(s, d).withColumn("session_id", F.col("file")), one_chunk(events(s, d), "seq")))
 
 
 def attempts(s, d):
