@@ -99,6 +99,36 @@ def test_signatures_of_linked_sets_meet():
                 assert len(set(jaccard.signatures(a, measure).tolist()) & set(jaccard.signatures(b, measure).tolist())) >= jaccard.SHARED
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (60, 100), (100, 100)])
+def test_signatures_meet_in_any_order_of_shingles(num, den):
+    rnd, measure = np.random.default_rng(1), jaccard.Measure(3, num, den)
+    common = rnd.integers(0, 3, 1 << jaccard.SLOT_BITS).astype(np.uint16)
+    for _ in range(600):
+        pool = rnd.integers(0, 2**64, size=60, dtype=np.uint64)
+        a = np.unique(rnd.choice(pool, size=int(rnd.integers(1, 40))))
+        b = np.unique(np.concatenate([a[int(rnd.integers(0, 3)) :], rnd.choice(pool, size=int(rnd.integers(0, 4)))]))
+        if len(a) != len(b) or (a != b).any():
+            if measure.reaches(len(np.intersect1d(a, b)), len(a), len(b)):
+                both = set(jaccard.signatures(a, measure, common).tolist()) & set(jaccard.signatures(b, measure, common).tolist())
+                assert len(both) >= measure.least_shared
+
+
+def test_a_passage_of_many_documents_makes_no_family(spark, monkeypatch):
+    """Documents that share a passage, and nothing else, used to be one wide family, searched in pairs of blocks."""
+    rnd, edges, closed = random.Random(4), [], jaccard.components
+    passage = [f"p{i}" for i in range(30)]
+    docs = [(i, " ".join([f"w{rnd.randrange(10**9)}" for _ in range(70)] + passage)) for i in range(200)]
+    docs += [(1_000, docs[0][1] + " more"), (1_001, docs[1][1] + " more")]
+
+    def spied(links, *names):
+        edges.append(links.distinct().count())
+        return closed(links, *names)
+
+    monkeypatch.setattr(jaccard, "components", spied)
+    got = {r.doc_id: r.component_id for r in jaccard.join_classes(spark.createDataFrame(docs, "doc_id bigint, text string"), 5, 80, 100).collect()}
+    assert edges[0] == 2 and got == {i: {1_000: 0, 1_001: 1}.get(i, i) for i, _ in docs}
+
+
 def vector_brute(rows, threshold=0.95):
     ok = {i: v for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = list(ok)

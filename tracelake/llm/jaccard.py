@@ -1,9 +1,9 @@
-"""Jaccard self-join on word n-grams: T-occurrence search with DivideSkip, sharded by part signatures.
+"""Jaccard self-join on word n-grams: T-occurrence search with DivideSkip, sharded by rare shingles.
 
-Sets of equal shingles are one class from the start. Two sets that reach the threshold differ in at most ``d``
-shingles, ``d`` following from their sizes; cut into ``d`` + ``SHARED`` parts and more by shingle hash, ``SHARED`` parts of both are
-equal. Classes that share so many parts are one family (a part holds several shingles, so a passage or
-word pair that many documents share makes no family), and only families are searched. A family is searched in
+Sets of equal shingles are one class from the start. Shingles have one order for all sets, rare ones first, by counts in a table of fixed size.
+Two sets that reach the threshold have ``SHARED`` of their first shingles in common, of so many as may be missing in a partner and ``SHARED``
+more. Classes that share so many are one family (a passage that many documents hold comes last in their order, so it makes no
+family), and only families are searched. A family is searched in
 blocks of bounded weight: per block an inverted list for each shingle; per set, the short lists are merged by
 a heap, sets seen often enough are probed in the long lists by binary search, and those that reach the required overlap are links.
 A link joins two classes at once, so a block gives at most one edge per set; no pair list of a group exists anywhere.
@@ -16,12 +16,10 @@ id and text columns are read, so others may have any name.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 from itertools import groupby
-from math import ceil, exp, log2, sqrt
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +28,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import stage
 from .graph import components
+from .mixing import CHUNK, _packed, _unpacked
 
 #: Rows up to which the ids of documents in families are broadcast; above, they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 #: Shingles in one side of a block. A family that has more is searched in several blocks.
 BLOCK_SHINGLES = 1_500_000
-#: Parts that two linked sets have in common at least. Lists of up to ``SHORT_LIST`` sets with an equal part are counted pair by
-#: pair; a longer list counts as enough by itself, so that no long one is written out as pairs.
+#: Signatures that two linked sets have in common at least, if they have so many shingles. Lists of up to ``SHORT_LIST`` sets with an equal
+#: signature are counted pair by pair; a longer list counts as enough by itself, so that no long one is written out as pairs.
 SHARED, SHORT_LIST = 3, 32
+#: Slots of the table that counts shingles, by their upper bits.
+SLOT_BITS = 22
 #: Weight of the length of the longest list in the choice of how many lists are long.
 MU = 0.01
-_ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
+_ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,48 +83,29 @@ class Measure:
         smaller = -(-self.num * a // self.den)
         return -(-self.num * (a + smaller) // (self.num + self.den))
 
+    @property
+    def least_shared(self) -> int:
+        """Signatures that different linked sets share: ``SHARED``, or all shingles that the smallest of them have in common."""
+        return min(SHARED, -(-self.num // max(self.den - self.num, 1)))
 
-@cache
-def _levels(measure: Measure, upto: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Lower bounds of size bands, and for each band (parts, empty parts that may be left out).
 
-    A band is so wide that a partner lies in the same or the next one. ``parts`` exceed the largest
-    difference of a linked pair by ``SHARED`` and the parts that may be left out: so many equal parts are not empty.
+def _slots(sets: np.ndarray) -> np.ndarray:
+    return (sets >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def signatures(sets: np.ndarray, measure: Measure, common: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set, rare ones first by ``common`` (a rank for each slot), then by hash.
+
+    The set has a share of its size in common with any partner. As many shingles as may be missing in the partner, and ``SHARED``
+    more, hold the ``SHARED`` first common ones of both sets, whatever the order is.
     """
-    width = max(1.3, measure.den / measure.num)
-    bounds, parts = [1], []
-    while bounds[-1] <= upto:
-        bounds.append(max(bounds[-1] + 1, ceil(bounds[-1] * width)))
-        low, most = bounds[-2], bounds[-1] - 1
-        d = 2 * most * (measure.den - measure.num) // (measure.den + measure.num)
-        spare = 0
-        for _ in range(4):
-            empty = (d + SHARED + spare) * exp(-low / (d + SHARED + spare))
-            spare = ceil(empty + 4 * sqrt(empty) + 1)
-        parts.append((d + SHARED + spare, spare) if d else (0, 0))
-    return bounds, parts
-
-
-def signatures(sets: np.ndarray, measure: Measure) -> np.ndarray:
-    """Hashes of the parts of a set, at the level of its size and, if a partner may be there, at the next."""
     size = len(sets)
-    if not size:
+    if measure.den * size < measure.num * (size + 1):  # too small for any other set
         return np.zeros(0, dtype=np.int64)
-    bounds, parts = _levels(measure, 1 << (2 * size).bit_length())
-    level = bisect_right(bounds, size) - 1
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(sets), dtype=np.uint64)])
-    out = []
-    for at in (level, level + 1):
-        k, spare = parts[at]
-        if not k or (at > level and size * measure.den // measure.num < bounds[at]):
-            continue
-        edges = (np.arange(1, k) * (2.0**64 / k)).astype(np.uint64)
-        cut = np.concatenate([[0], np.searchsorted(sets, edges), [size]])
-        empty = cut[1:] == cut[:-1]
-        label = np.arange(k, dtype=np.uint64) * _ODD[2] + np.uint64(at)
-        part = _mixed(_mixed(label) + sums[cut[1:]] - sums[cut[:-1]])
-        out.append(part if empty.sum() > spare else part[~empty])
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
+    first = size + measure.num * size // -measure.den + SHARED
+    if common is not None:
+        sets = sets[np.argsort(common[_slots(sets)], kind="stable")]
+    return sets[:first].view(np.int64)
 
 
 def search(sets: list[np.ndarray], sides: list[int], measure: Measure) -> list[tuple[int, int]]:
@@ -194,8 +176,39 @@ def search(sets: list[np.ndarray], sides: list[int], measure: Measure) -> list[t
     return links
 
 
+def _commonness(docs: DataFrame, measure: Measure, text: str) -> np.ndarray:
+    """A rank for each slot of shingles, by how many sets have a shingle there: counted over all texts, of fixed size whatever the input."""
+    fields, slots = "chunk int, data binary", 1 << SLOT_BITS
+
+    def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["chunk", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, any_row = np.zeros(slots, dtype=np.uint32), False
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(counts, _slots(shingles(t.as_py(), measure.n)), 1)
+                any_row = True
+        if any_row:
+            yield batch_of([(i, _packed(counts[i * CHUNK : (i + 1) * CHUNK])) for i in range(-(-slots // CHUNK))])
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for chunk, group in groupby(rows, key=lambda r: r[0]):
+            total = sum(_unpacked(data, "<u4").astype(np.uint64) for _, data in group)
+            yield batch_of([(chunk, _packed(np.log2(total + 1.0).astype(np.float32)))])
+
+    parts = docs.select(F.col(text).cast("string")).mapInArrow(count, fields)
+    out = np.zeros(slots, dtype=np.float32)
+    for row in parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(united, fields).collect():
+        own = _unpacked(row["data"], "<f4")
+        out[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(own)] = own
+    return (out * 2047).astype(np.uint16)
+
+
 def _shingled(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set; null if empty) and signatures of the parts."""
+    """doc_id, n_shingles, node (a digest of the set; null if empty) and signatures."""
+    common = docs.sparkSession.sparkContext.broadcast(_commonness(docs, measure, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +221,7 @@ def _shingled(docs: DataFrame, measure: Measure, doc_id: str, text: str) -> Data
                         ids.slice(at, 1_000),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
-                        pa.array([signatures(s, measure) for s in sets], pa.list_(pa.int64())),
+                        pa.array([signatures(s, measure, common.value) for s in sets], pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n_shingles", "node", "parts"],
                 )
@@ -228,11 +241,11 @@ def _classes(sets: DataFrame) -> DataFrame:
     return named.join(copies, "row", "left_anti")
 
 
-def _families(classes: DataFrame) -> DataFrame:
-    """(row, family): classes that have ``SHARED`` parts in common with another class, directly or through others.
+def _families(classes: DataFrame, measure: Measure) -> DataFrame:
+    """(row, family): classes that have enough signatures in common with another class, directly or through others.
 
-    The parts are dealt out once, for the aggregate that finds the shared ones and for the join that names who shares
-    them. A group of near copies has many parts, so it spreads over as many tasks, and each is passed through as it comes.
+    The signatures are dealt out once, for the aggregate that finds the shared ones and for the join that names who shares
+    them. A group of near copies has many of them, so it spreads over as many tasks, and each is passed through as it comes.
     """
     parts = classes.select("row", F.explode("parts").alias("part")).repartition("part")
     shared = parts.groupBy("part").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1")
@@ -240,14 +253,14 @@ def _families(classes: DataFrame) -> DataFrame:
     long = lists.where(F.col("n") > SHORT_LIST).where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
     held = lists.where(F.col("n") <= SHORT_LIST).groupBy("part").agg(F.array_sort(F.collect_set("row")).alias("held"))
     pairs = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, SHORT_LIST), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    short = held.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+    short = held.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= measure.least_shared).select("a", "b")
     return components(long.union(short)).withColumnsRenamed({"node": "row", "component": "family"})
 
 
 def _links(docs: DataFrame, sets: DataFrame, measure: Measure, doc_id: str, text: str) -> DataFrame:
     """(a, b): digests of linked classes, at most one row for each class of a block."""
     rows = _classes(sets)
-    classes = stage(rows.select("row", "node", "doc_id", F.col("n_shingles").alias("n")).join(_families(rows), "row").drop("row"))
+    classes = stage(rows.select("row", "node", "doc_id", F.col("n_shingles").alias("n")).join(_families(rows, measure), "row").drop("row"))
     weight = classes.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.count("*").alias("n")).where("n > 1")
     members = classes.drop("n").join(weight.drop("n"), "family").select("doc_id", "node", "family", "blocks")
     if classes.count() <= BROADCAST_ROWS:
