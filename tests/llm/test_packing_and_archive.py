@@ -172,7 +172,7 @@ def test_templates_generalise_merge_and_reject(spark):
 
 
 def test_the_memo_of_a_worker_stays_small():
-    """A worker keeps the memo through later stages; with a million chunks it took 150 MB and more."""
+    """A worker keeps the memo through later stages; at about 145 bytes a chunk."""
     memo = tokens._memo(VOCABULARY)
     memo.clear()
     memo.update((f"chunk {i}", b"") for i in range(500_000))
