@@ -246,3 +246,32 @@ def test_looser_spans_keep_off_each_other_in_long_texts():
     assert Counter(s.kind for s in found) == {"person": 20_000, "phone": 1, "email": 2}
     held = sorted((s.start, s.end) for s in found)
     assert all(a[1] <= b[0] for a, b in zip(held, held[1:]))
+
+
+def test_copies_of_an_item_and_windows_of_an_alignment_are_judged_once(spark, monkeypatch):
+    """Each window that hit used to bring its whole document to each copy of an item: forty copies in ten documents were judged some 30,000 times instead of ten."""
+    rnd = random.Random(4)
+    text = " ".join(f"w{rnd.randrange(900)}" for _ in range(50))
+    bench = spark.createDataFrame([(i, text) for i in range(40)] + [(None, text), (99, "one two three four five six")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"{i} {text} end") for i in range(10)] + [(50, "x one two three four five six")], "doc_id bigint, text string")
+    kept, written = decontaminate.stage, {}
+
+    def counted(df):
+        out = kept(df)
+        written[tuple(df.columns)] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "stage", counted)
+    want = {(d, i, 50, 50, 1) for d in range(10) for i in range(40)} | {(50, 99, 6, 6, 1)}
+    for rows in (200_000, 3):  # by a broadcast, then by the bit set
+        monkeypatch.setattr(decontaminate, "SEED_ROWS", rows)
+        assert {tuple(r) for r in decontaminate.overlaps(docs, bench).collect()} == want
+        assert written["doc_id", "of", "start"] == 11 and written["of", "item_at", "seed"] < 120
+
+
+def test_the_bit_set_lets_all_seeds_through_and_few_others(spark, monkeypatch):
+    """Beyond the broadcast, all windows of all documents used to be shuffled."""
+    seeds = spark.range(40_000).selectExpr("xxhash64(id) AS seed")
+    windows = spark.range(400_000).selectExpr("id", "xxhash64(id) AS seed")
+    passed = decontaminate._likely(windows, seeds, 40_000).agg({"id": "count"}).first()[0], decontaminate._likely(windows, seeds, 40_000).where("id < 40000").count()
+    assert passed[1] == 40_000 and passed[0] < 45_000
