@@ -158,3 +158,23 @@ def test_rollout_lines_are_written_on_all_cores(spark):
     from tracelake.plans import catalog_rollout as C
 
     assert "RoundRobinPartitioning" in C.rollout_log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_are_compiled_and_fields_are_probed_for_their_kind_only(spark, monkeypatch):
+    """All rules used to be interpreted, under a filter by a lambda, and each record was searched for the fields of all kinds by its JSON text."""
+    frames = []
+    keep = V.stage
+    monkeypatch.setattr(V, "stage", lambda df: frames.append(df) or keep(df))
+    run = '{"recordKind":"run","schemaVersion":1,"runId":"r1","occurredAt":"2026-02-03T00:00:00Z","adapterId":"a","adapterVersion":"1","lifecycle":"RUNNING","payload":{"text":""},"source":3}'
+    lines = spark.createDataFrame([(0, run), (1, run.replace("RUNNING", "LOST")), (2, run.replace('"run"', '"event"')), (3, run.replace('"run"', "7")), (4, "3")], "id int, raw string")
+    valid, notes = V.validate_records(lines, "TRACE_")
+    assert [r.id for r in valid.collect()] == [0]
+    found = {(r.id, r.code, r.field) for r in notes.collect()}
+    assert {f for f in found if f[0] in (0, 1, 3, 4)} == {
+        (0, "UNKNOWN_FIELD_DROPPED", None), (1, "UNKNOWN_FIELD_DROPPED", None), (1, "INVALID_FIELD", "lifecycle"), (3, "INVALID_FIELD", "recordKind"), (4, "INVALID_RECORD", "record")}
+    assert {(2, "INVALID_FIELD", "source"), (2, "MISSING_FIELD", "eventId"), (2, "INVALID_FIELD", "type")} <= found and (2, "INVALID_FIELD", "lifecycle") not in found
+    probes, rules = (f._jdf.queryExecution().optimizedPlan().toString() for f in frames[:2])
+    assert "to_json" not in probes and "filter(array(" not in rules
+    place = next(f for f in frames[0].columns if f.startswith("_f"))
+    rows = {r.id: r for r in frames[0].select("id", *[c for c in frames[0].columns if c.startswith("_f") and c.endswith("k")]).collect()}
+    assert place and sum(x is not None for x in rows[0]) < sum(x is not None for x in rows[2])

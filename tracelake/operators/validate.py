@@ -77,17 +77,18 @@ class Probed:
         return self.doc.part(self.path, part)
 
 
-def _kind_of(first: Column) -> Column:
-    """Kind of a value from the first character of its JSON text."""
+def _kind_of(x: Column) -> Column:
+    """Kind of a value. Its JSON text would tell too, but costs a generator for each string."""
+    name = F.schema_of_variant(x)
     return (
-        F.when(first == '"', "STRING").when(first == "{", "OBJECT").when(first == "[", "ARRAY")
-        .when(first.isin("t", "f"), "BOOLEAN").when(first == "n", "VOID").when(first.isNotNull(), "NUMBER")
+        F.when(name == "STRING", "STRING").when(F.startswith(name, F.lit("OBJECT")), "OBJECT").when(F.startswith(name, F.lit("ARRAY")), "ARRAY")
+        .when(name.isin("BOOLEAN", "VOID"), name).when(name.isNotNull(), "NUMBER")
     )
 
 
 def _probe(x: Column) -> dict[str, Column]:
     return {
-        "k": _kind_of(F.substring(F.to_json(x), 1, 1)),
+        "k": _kind_of(x),
         "t": F.try_variant_get(x, "$", "string"),
         "n": F.try_variant_get(x, "$", "double"),
         "v": x,
@@ -95,10 +96,13 @@ def _probe(x: Column) -> dict[str, Column]:
 
 
 class Doc:
-    """A document whose tested paths are each probed once per row, in one projection before the rules."""
+    """A document whose tested paths are each probed once per row, in one projection before the rules.
 
-    def __init__(self, column: str):
-        self.column, self.fields, self.parts, self.known = column, {}, {}, {}
+    ``fields`` names the fields of each record kind, if there are any: a path below one is looked for in records of those kinds only.
+    """
+
+    def __init__(self, column: str, fields: dict[str, tuple[str, ...]] | None = None):
+        self.column, self.of_kind, self.fields, self.parts, self.known = column, fields or {}, {}, {}, {}
 
     def get(self, path: str) -> Probed:
         return self.fields.setdefault(path, Probed(self, path))
@@ -108,11 +112,21 @@ class Doc:
             self.parts[path, part] = f"_f{len(self.parts)}{part}"
         return F.col(self.parts[path, part])
 
+    def place(self, path: str) -> Column:
+        v = F.col(self.column)
+        if path == "":
+            return v
+        found = F.try_variant_get(v, f"$.{path}", "variant")
+        kinds = [k for k, names in self.of_kind.items() if path.split(".")[0] in names]
+        return F.when(F.col("_kind").isin(*kinds), found) if 0 < len(kinds) < len(self.of_kind) else found
+
     def attach(self, df: DataFrame) -> DataFrame:
         """Add the probes that were asked for; call it after the rules are built."""
-        v, base = F.col(self.column), df.columns
+        base = df.columns
+        if self.of_kind:
+            df = df.withColumn("_kind", F.try_variant_get(self.column, "$.recordKind", "string"))
         places = {p: f"_p{i}" for i, p in enumerate(dict.fromkeys(p for p, _ in self.parts))}
-        df = df.withColumns({n: v if p == "" else F.try_variant_get(v, f"$.{p}", "variant") for p, n in places.items()})
+        df = df.withColumns({n: self.place(p) for p, n in places.items()})
         # Written once: hundreds of rules read the probes, and the optimizer would otherwise fold each
         # probe back into every rule that uses it.
         return stage(df.select(*base, *[_probe(F.col(places[p]))[part].alias(n) for (p, part), n in self.parts.items()]))
@@ -227,7 +241,8 @@ def string_list(x) -> Column:
 
 
 def _broken(rules: list[tuple[Column, str]]) -> Column:
-    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), code) for bad, code in rules]), lambda c: c.isNotNull())
+    # a filter by a lambda would have Spark interpret all rules instead of compiling them
+    return F.array_remove(F.array(*[F.when(F.coalesce(bad, F.lit(True)), code).otherwise("") for bad, code in rules]), "")
 
 
 def validate_session_events(raw: DataFrame, body: str = "raw") -> tuple[DataFrame, DataFrame]:
@@ -437,7 +452,7 @@ def validate_records(lines: DataFrame, prefix: str, body: str = "raw") -> tuple[
     Diagnostics: the columns of the line, code, severity, field. Errors reject, the rest does not.
     """
     keep = [c for c in lines.columns if c != body]
-    v = Doc("v")
+    v = Doc("v", {"event": EVENT_FIELDS, "run": RUN_FIELDS, "answer": ANSWER_FIELDS})
     kind, version = at(v, "recordKind"), at(v, "schemaVersion")
     is_kind = one_of(kind, ("event", "run", "answer"))
     event, run, answer = (one_of(kind, (k,)) for k in ("event", "run", "answer"))
@@ -476,7 +491,7 @@ def validate_records(lines: DataFrame, prefix: str, body: str = "raw") -> tuple[
         )
         return ~good
 
-    of_event = _when(event, [
+    of_event = [
         *_id_rules(v, "eventId", is_event_id, "INVALID_ID"),
         (~one_of(at(v, "type"), DOMAIN_TYPES), "INVALID_FIELD:type"),
         (~is_object(prov), "INVALID_FIELD:provenance"),
@@ -496,27 +511,29 @@ def validate_records(lines: DataFrame, prefix: str, body: str = "raw") -> tuple[
         (~absent(rels) & ~is_array(rels), "INVALID_FIELD:relations"),
         (F.exists(items(rels), bad_relation), "INVALID_FIELD:relations.item"),
         *payload_errors,
-    ])
-    of_run = _when(run, [(~one_of(at(v, "lifecycle"), LIFECYCLES), "INVALID_FIELD:lifecycle"), _optional_text(at(v, "detail"), "detail")])
-    of_answer = _when(answer, _receipt_rules(v))
+    ]
+    of_run = [(~one_of(at(v, "lifecycle"), LIFECYCLES), "INVALID_FIELD:lifecycle"), _optional_text(at(v, "detail"), "detail")]
+    of_answer = _receipt_rules(v)
     size = [(F.octet_length("body") > MAX_RECORD_BYTES, "OVERSIZED_RECORD:record")]
     place = ~absent(at(source, "sourceId")) & absent(at(source, "location")) & ~one_of(at(source, "kind"), ("UNKNOWN", "TOOL_RESULT"))
-    warn = _when(event, [
+    warn = [
         (is_object(source) & place, "SOURCE_LOCATION_MISSING"),
         ((category == "OBSERVED") & ~located, "OBSERVED_WITHOUT_LOCATION"),
         ((category == "INFERRED") & (F.size(items(at(inferred, "inputEventIds"))) == 0), "INFERRED_WITHOUT_INPUTS"),
         *payload_warnings,
-    ])
+    ]
     known = F.when(event, F.array(*map(F.lit, EVENT_FIELDS))).when(run, F.array(*map(F.lit, RUN_FIELDS))).otherwise(F.array(*map(F.lit, ANSWER_FIELDS)))
     info = [
         (is_kind & (F.size(F.array_except(keys(v), known)) > 0), "UNKNOWN_FIELD_DROPPED"),
         (F.size("removed") > 0, "REDACTED_PRIVATE_FIELD"),
     ]
-    errors = F.when(~is_object(v), F.array(F.lit("INVALID_RECORD:record"))).otherwise(_broken(head + envelope + of_event + of_run + of_answer + size))
+    none = F.array().cast("array<string>")
+    own = F.when(event, _broken(of_event)).when(run, _broken(of_run)).when(answer, _broken(of_answer)).otherwise(none)
+    errors = F.when(~is_object(v), F.array(F.lit("INVALID_RECORD:record"))).otherwise(F.concat(_broken(head + envelope), own, _broken(size)))
     stripped = spread(lines).withColumn("_s", strip_private(F.col(body))).select(*keep, F.col("_s.body").alias("body"), F.col("_s.removed").alias("removed"))
     rows = v.attach(stripped.withColumn("v", parse_strict(F.col("body"))))
     # Written once: records and notes both read the findings, and a filter or a generator on them would work out the rules again.
-    checked = stage(rows.select(*keep, "v", "body", errors.alias("_e"), F.when(is_object(v), _broken(warn)).alias("_w"), F.when(is_object(v), _broken(info)).alias("_i")))
+    checked = stage(rows.select(*keep, "v", "body", errors.alias("_e"), F.when(event, _broken(warn)).alias("_w"), F.when(is_object(v), _broken(info)).alias("_i")))
 
     def tagged(name, severity):
         return F.transform(F.coalesce(name, F.array().cast("array<string>")), lambda c: F.struct(
@@ -554,5 +571,5 @@ def _receipt_rules(v) -> list[tuple[Column, str]]:
         (~string_list(shared), "INVALID_FIELD:sharedEventIds"),
         (bad_scope(own) | bad_scope(shared), "INVALID_SCOPE:scope"),
         (F.arrays_overlap(F.transform(items(own), text), F.transform(items(shared), text)), "INVALID_SCOPE:disjoint"),
-        (~absent(declared) & ~(is_string(declared) & (text(declared) == answer_hash(text(at(v, "answer"))))), "ANSWER_HASH_MISMATCH:answerHash"),
+        (~absent(declared) & ~(is_string(declared) & (text(declared) == answer_hash(F.when(is_string(declared), text(at(v, "answer")))))), "ANSWER_HASH_MISMATCH:answerHash"),
     ]
