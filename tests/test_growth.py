@@ -178,3 +178,17 @@ def test_rules_are_compiled_and_fields_are_probed_for_their_kind_only(spark, mon
     place = next(f for f in frames[0].columns if f.startswith("_f"))
     rows = {r.id: r for r in frames[0].select("id", *[c for c in frames[0].columns if c.startswith("_f") and c.endswith("k")]).collect()}
     assert place and sum(x is not None for x in rows[0]) < sum(x is not None for x in rows[2])
+
+
+def test_lines_are_written_once_before_their_scan(spark, monkeypatch):
+    """Records and losses each used to build and parse all lines, in as many tasks as the source has splits."""
+    from tracelake.plans import catalog_intake, intake
+
+    scanned = []
+    keep = intake.scan_losses
+    monkeypatch.setattr(intake, "scan_losses", lambda lines: scanned.append(lines) or keep(lines))
+    lines = catalog_intake.trace_lines(spark, "/root/testdata/sf0.001")
+    assert lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    intake.ingest_lines(lines, "TRACE_")
+    plan = scanned[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Relation") and scanned[0].count() == lines.count()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from . import bind
 from .intake import Intake, ingest_lines
 
@@ -13,7 +14,7 @@ def trace_lines(s, d):
 
     Files 0 and 1 have torn and blank lines, files 1 and 2 records of a future schema and unknown states.
     """
-    e = bind.raw_events(s, d).withColumn("m", F.floor(F.col("event_id") / 6).cast("bigint"))
+    e = spread(bind.table(s, d, "events").select("event_id", "props")).withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("m", F.floor(F.col("event_id") / 6).cast("bigint"))
     e = e.withColumns({"run": F.col("m") % 40, "file_no": F.col("m") % 4})
     k, eid, m, text = F.col("k"), F.col("event_id"), F.col("m"), lambda c: c.cast("string")
     refusing = F.col("file_no").isin(1, 2)

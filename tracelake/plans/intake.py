@@ -57,7 +57,8 @@ def trace_rows(valid: DataFrame) -> DataFrame:
 
 def ingest_lines(lines: DataFrame, prefix: str) -> Intake:
     """Ingest numbered lines (file, line_no, byte_offset, byte_length, raw, ended); ``prefix`` as in ``validate_records``."""
-    good, losses, _ = scan_losses(lines)
+    # written once: records and losses both read the lines, and their filters would go below whatever spreads them
+    good, losses, _ = scan_losses(stage(lines))
     valid, notes = validate_records(good.select("file", "line_no", "raw"), prefix)
     notes = stage(notes)
     losses = stage(losses)
